@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from . import substrings
+from . import bpe, minhash, repetition, substrings
 
 
 def queries():
     return {
+        "op2_bpe": bpe.op2_bpe,
+        "op4_minhash": minhash.op4_minhash,
+        "op6_repetition": repetition.op6_repetition,
         "op7_substrings": substrings.op7_substrings,
     }
 
 
 def oracle_sql():
     return {
+        "op4_minhash": minhash.ORACLE_SQL,
+        "op6_repetition": repetition.ORACLE_SQL,
         "op7_substrings": substrings.ORACLE_SQL,
     }
