@@ -6,8 +6,10 @@ one bin each: every coordinate fills, with concentration as for t independent ha
 
 Texts with the same shingles form a class. Classes meet in bands of the sketch; each class is first
 compared with the smallest class of every bucket, which joins a group of copies without listing its
-pairs. Classes of one bucket that are still apart after that are compared with each other, so no pair
-that shares a bucket goes unchecked. Every link is confirmed on the full shingle sets.
+pairs. Classes that are still apart from their bucket's smallest after that are compared with all of the
+bucket, so no pair that shares a bucket goes unchecked. A bitmap of each set bounds the
+intersection from above inside the joins: of two sets, at least as many members are not shared as there are bits set in one
+bitmap only. Links are confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from .words import Words, mix, texts
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _M64 = (1 << 64) - 1
+#: Bits of the bitmap of a set.
+BITS = 1024
 
 
 def _shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +88,19 @@ def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else b""
 
 
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    out = np.zeros(BITS, bool)
+    out[(mix(s ^ _GOLD) % np.uint64(BITS)).astype(np.int64)] = True
+    return np.packbits(out).view(np.int64)
+
+
+def _may_link(n, m, x, y, percent: int):
+    """Whether two sets of n and m members with bitmaps x and y can reach the similarity."""
+    lacking = lambda p, q: sum(F.bit_count(p[i].bitwiseAND(F.bitwise_not(q[i]))) for i in range(BITS // 64))
+    both = F.least(n - lacking(x, y), m - lacking(y, x))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (100 * both >= percent * (n + m - both))
+
+
 def _signatures(n: int, bands: int, rows: int):
     def run(batches):
         for batch in batches:
@@ -94,8 +111,8 @@ def _signatures(n: int, bands: int, rows: int):
                 for i, k in zip(full, _bands(sketch([sets[i] for i in full], bands * rows), rows) if full else [], strict=True):
                     keys[i] = k
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "digest", "bands"],
+                    [batch.column("doc_id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array([_bitmap(s) if len(s) else None for s in sets], pa.list_(pa.int64()))],
+                    ["doc_id", "n_shingles", "digest", "bands", "bits"],
                 )
 
     return run
@@ -140,29 +157,31 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     An empty table gives an empty result. Other columns are ignored.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sig = stored(base.mapInArrow(_signatures(words, bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signatures")
+    sig = stored(base.mapInArrow(_signatures(words, bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>"), "signatures")
     full = sig.where("n_shingles > 0")
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    # of each class, one row's bands: of the smallest id's (ids may repeat, so once more by digest)
-    posts = full.join(classes.withColumnRenamed("digest", "d").withColumnRenamed("doc_id", "i").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")), "left_semi")
-    posts = stored(posts.select("digest", "n_shingles", F.explode("bands").alias("band")).distinct(), "bands")
-    heads = posts.groupBy("band").agg(F.min(F.struct("digest", "n_shingles")).alias("head"), F.count("*").alias("c")).where("c > 1").select("band", "head")
+    least = full.groupBy("digest").agg(F.min("doc_id").alias("i")).withColumnRenamed("digest", "d")
+    # of each class the row with the smallest id; rows may repeat, so once more by digest
+    own = full.join(least.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")), "left_semi")
+    cls = stored(own.groupBy("digest").agg(*(F.any_value(c).alias(c) for c in ("n_shingles", "bands", "bits"))), "classes")
+    bits = cls.select("digest", F.col("n_shingles").alias("n"), "bits")
+    posts = cls.select("digest", F.explode("bands").alias("band"))
+    heads = posts.groupBy("band").agg(F.min("digest").alias("head"), F.count("*").alias("c")).where("c > 1").select("band", "head")
     met = stored(posts.join(heads, "band"), "met")
-    sized = lambda x, y: (F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y))
-    star = met.where("digest <> head.digest").where(sized(F.col("n_shingles"), F.col("head.n_shingles"))).select(F.col("digest").alias("a"), F.col("head.digest").alias("b")).distinct()
-    star = stored(star, "star")
+    star = met.where("digest <> head").select(F.col("digest").alias("a"), F.col("head").alias("b")).distinct()
+    star = star.join(bits.select(F.col("digest").alias("a"), F.col("n"), F.col("bits").alias("x")), "a")
+    star = star.join(bits.select(F.col("digest").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y")), "b")
+    star = stored(star.where(_may_link(F.col("n"), F.col("m"), F.col("x"), F.col("y"), percent)).select("a", "b"), "star")
     links = stored(_verified(base, sig, star, words, percent), "links")
     label = components(links)
-    # buckets whose classes are not all in one component yet: every pair of classes across components
-    named = met.join(label, met.digest == label.node, "left").select("band", "digest", "n_shingles", F.coalesce("root", "digest").alias("root"))
-    mixed = named.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    apart = stored(named.join(mixed, "band", "left_semi"), "apart")
-    roots = apart.select("band", "root").distinct()
-    pairs = roots.join(roots.withColumnRenamed("root", "root2"), "band").where("root < root2")
-    left = apart.withColumnsRenamed({"digest": "a", "n_shingles": "n"})
-    right = apart.select("band", F.col("root").alias("root2"), F.col("digest").alias("b"), F.col("n_shingles").alias("m"))
-    rest = pairs.join(left, ["band", "root"]).join(right, ["band", "root2"]).where(sized(F.col("n"), F.col("m"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    rest = stored(rest.join(star, ["a", "b"], "left_anti"), "rest")
+    # classes that are not in the component of their bucket's smallest, against all of the bucket
+    named = met.join(label.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    named = named.join(label.select(F.col("node").alias("head"), F.col("root").alias("head_root")), "head", "left").withColumn("major", F.col("root") == F.coalesce("head_root", "head"))
+    mixed = named.where("not major").select("band").distinct()
+    apart = stored(named.join(mixed, "band", "left_semi").join(bits, "digest").select("band", "digest", "root", "major", "n", "bits"), "apart")
+    left = apart.where("not major").select("band", F.col("digest").alias("a"), F.col("root").alias("p"), "n", F.col("bits").alias("x"))
+    right = apart.select("band", F.col("digest").alias("b"), F.col("root").alias("q"), F.col("n").alias("m"), F.col("bits").alias("y"), "major")
+    rest = left.join(right, (left.band == right.band) & (F.col("p") != F.col("q")) & (F.col("major") | (F.col("a") > F.col("b"))) & _may_link(F.col("n"), F.col("m"), F.col("x"), F.col("y"), percent))
+    rest = stored(rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "rest")
     more = _verified(base, sig, rest, words, percent)
     label = components(stored(links.unionByName(more), "links"))
     root = sig.join(label, sig.digest == label.node, "left").select("doc_id", "n_shingles", "digest", "root")
