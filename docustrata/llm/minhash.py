@@ -111,8 +111,8 @@ def _signatures(n: int, bands: int, rows: int):
                 for i, k in zip(full, _bands(sketch([sets[i] for i in full], bands * rows), rows) if full else [], strict=True):
                     keys[i] = k
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array([_bitmap(s) if len(s) else None for s in sets], pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "digest", "bands", "bits"],
+                    [batch.column("doc_id").slice(a, b - a), batch.column("text_hash").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array([_bitmap(s) if len(s) else None for s in sets], pa.list_(pa.int64()))],
+                    ["doc_id", "text_hash", "n_shingles", "digest", "bands", "bits"],
                 )
 
     return run
@@ -148,7 +148,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     """Groups texts linked by 100 * intersection >= percent * union of their distinct word shingles.
 
     ASCII letters are lower-cased. One row for each input row: doc_id, n_shingles, component_id (the
-    smallest doc_id reachable), kept (doc_id = component_id), digest (of the shingle set). With the
+    smallest doc_id reachable), kept (doc_id = component_id), digest (of the shingle set), text_hash (xxhash64 of the text). With the
     default bands a pair at exactly 0.8 is missed with probability 3e-6, one at 0.85 with 1e-9.
 
     A null or wordless text has no shingles, links with nothing and is its own component. Rows that
@@ -157,7 +157,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     An empty table gives an empty result. Other columns are ignored.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sig = stored(base.mapInArrow(_signatures(words, bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>"), "signatures")
+    sig = stored(base.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_signatures(words, bands, rows), "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>, bits array<long>"), "signatures")
     full = sig.where("n_shingles > 0")
     least = full.groupBy("digest").agg(F.min("doc_id").alias("i")).withColumnRenamed("digest", "d")
     # of each class the row with the smallest id; rows may repeat, so once more by digest
@@ -184,11 +184,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     rest = stored(rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "rest")
     more = _verified(base, sig, rest, words, percent)
     label = components(stored(links.unionByName(more), "links"))
-    root = sig.join(label, sig.digest == label.node, "left").select("doc_id", "n_shingles", "digest", "root")
+    root = sig.join(label, sig.digest == label.node, "left").select("doc_id", "text_hash", "n_shingles", "digest", "root")
     smallest = root.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     single = full.groupBy("digest").agg(F.min("doc_id").alias("own"))
     out = root.join(smallest, "root", "left").join(single, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("least", "own")).alias("component_id"), "digest").select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "digest")
+    least = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("least", "own"))
+    return out.select("doc_id", "n_shingles", least.alias("component_id"), F.col("doc_id").eqNullSafe(least).alias("kept"), "digest", "text_hash")
 
 
 def _verified(base: DataFrame, sig: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from . import bpe, minhash, repetition, substrings
+import corpus_pipeline
+
+from . import bpe, counts, minhash, packing, privacy, quality, repetition, secrets, substrings, vectors
 
 
 def queries():
     return {
+        "op1_quality": quality.op1_quality,
         "op2_bpe": bpe.op2_bpe,
+        "op3_token_counts": counts.op3_token_counts,
         "op4_minhash": minhash.op4_minhash,
+        "op5_secrets": secrets.op5_secrets,
         "op6_repetition": repetition.op6_repetition,
         "op7_substrings": substrings.op7_substrings,
+        "op8_privacy": privacy.op8_privacy,
+        "op9_vectors": vectors.op9_vectors,
+        "op10_packing": packing.op10_packing,
+        "pipeline": corpus_pipeline.run,
     }
 
 
@@ -19,4 +28,5 @@ def oracle_sql():
         "op4_minhash": minhash.ORACLE_SQL,
         "op6_repetition": repetition.ORACLE_SQL,
         "op7_substrings": substrings.ORACLE_SQL,
+        "op9_vectors": vectors.ORACLE_SQL,
     }
