@@ -114,7 +114,7 @@ def disclosures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     entities = some.select("row", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
     wanted = pairs.select("term").distinct()
     words = base.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    words = stored(words.join(wanted, "term", "left_semi"), "words")
+    words = stored(words.join(wanted, "term"), "words")  # an inner join: a semi join would go below the count, to every single word
     total = F.lit(float(rows.count()))
     share = F.log2(total * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log2(total / F.col("n_e"))
     telling = pairs.join(words, "term").join(entities, "entity").where(F.col("n_e") < total).withColumn("share", share).where(F.col("share") >= GENERALISE).select("entity", "term", "share")
