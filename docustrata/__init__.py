@@ -1,0 +1 @@
+"""Analytics over collections of macro-enabled office documents, as Spark jobs."""
