@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import struct
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binary import read_u16, read_u32, unsigned
 from ..functions.text import hex_pairs
 
 
@@ -17,3 +23,143 @@ def entropy(rows: DataFrame, key: str, column: str) -> DataFrame:
     counts = each.groupBy(key, "byte").agg(F.count("byte").alias("n"))
     sums = counts.groupBy(key).agg(F.sum("n").alias("t"), F.sum(F.when(F.col("n") > 0, F.col("n") * F.log2("n"))).alias("s"))
     return sums.select(key, F.when(F.col("t") > 0, F.log2("t") - F.col("s") / F.col("t")).otherwise(F.lit(0.0)).alias("entropy"))
+
+
+def _scan(find, names: list[str], types: list[pa.DataType]):
+    """Rows that ``find`` yields for each (key, content) of a batch."""
+
+    def run(batches):
+        for batch in batches:
+            rows, keys = [], []
+            for key, content in zip(batch.column(0), batch.column(1), strict=True):
+                got = list(find(content.as_py() or b""))
+                rows += got
+                keys += [key.as_py()] * len(got)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], [batch.schema.names[0], *names])
+
+    return run
+
+
+def _each(rows: DataFrame, key: str, column: str, find, fields: str, types: list[pa.DataType]) -> DataFrame:
+    names = [f.split()[0] for f in fields.split(", ")]
+    return rows.select(key, column).mapInArrow(_scan(find, names, types), f"`{key}` {rows.schema[key].dataType.simpleString()}, {fields}")
+
+
+def find_strings(data: bytes) -> list[tuple[str, int, str]]:
+    """(encoding, offset, value) of runs of four and more printable ASCII characters, one byte each or two at even offsets, by offset."""
+    out = [("ASCII", m.start(), m.group().decode("ascii")) for m in re.finditer(rb"[\x20-\x7e]{4,}", data)]
+    words = np.frombuffer(data[: len(data) // 2 * 2], "<u2")
+    inside = np.concatenate([[False], (words >= 0x20) & (words <= 0x7E), [False]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    out += [("UTF-16LE", 2 * int(a), data[2 * a : 2 * b].decode("utf-16-le")) for a, b in zip(edge[::2], edge[1::2], strict=True) if b - a >= 4]
+    return sorted(dict.fromkeys(out), key=lambda s: s[1])
+
+
+def find_guids(data: bytes) -> list[tuple[int, str]]:
+    """(offset, GUID) of 16-byte windows with the marks of one; the windows do not overlap."""
+    b = np.frombuffer(data, np.uint8)
+    if len(b) < 16:
+        return []
+    n = len(b) - 15
+    likely = np.flatnonzero(((b[8 : 8 + n] & 0xC0) == 0x80) & ((b[7 : 7 + n] >> 4) <= 5))
+    out, free = [], 0
+    for at in likely.tolist():
+        window = data[at : at + 16]
+        if at >= free and window not in (b"\0" * 16, b"\xff" * 16):
+            h = window.hex().upper()
+            out.append((at, "{%s-%s-%s-%s-%s}" % (bytes.fromhex(h[:8])[::-1].hex().upper(), bytes.fromhex(h[8:12])[::-1].hex().upper(), bytes.fromhex(h[12:16])[::-1].hex().upper(), h[16:20], h[20:])))
+            free = at + 16
+    return out
+
+
+#: How media begin.
+_STARTS = re.compile(rb"\x89PNG\r\n\x1a\n|\xff\xd8\xff|GIF8[79]a|BM|\x00\x00[\x01\x02]\x00|II\*\x00|MM\x00\*|\xd7\xcd\xc6\x9a|\x01\x00\x00\x00")
+
+
+def _media_at(data: bytes, at: int) -> tuple[str, str, int] | None:
+    """(extension, MIME type, length) of the media that begin at an offset."""
+    u16 = lambda o: struct.unpack_from("<H", data, at + o)[0] if at + o + 2 <= len(data) else 0
+    u32 = lambda o: struct.unpack_from("<I", data, at + o)[0] if at + o + 4 <= len(data) else 0
+    if data.startswith(b"\x89PNG\r\n\x1a\n", at):
+        end = data.find(b"IEND", at)
+        return ("png", "image/png", end + 8 - at) if 0 <= end <= len(data) - 8 else None
+    if data.startswith(b"\xff\xd8", at):
+        end = data.find(b"\xff\xd9", at + 2)
+        return ("jpg", "image/jpeg", end + 2 - at) if end >= 0 else None
+    if data[at : at + 6] in (b"GIF87a", b"GIF89a"):
+        end = data.find(b";", at + 13)
+        return ("gif", "image/gif", end + 1 - at) if end >= 0 else None
+    if data.startswith(b"BM", at):
+        return ("bmp", "image/bmp", u32(2)) if 26 < u32(2) <= len(data) - at and u32(10) < u32(2) else None
+    if data[at : at + 4] in (b"\0\0\1\0", b"\0\0\2\0"):
+        count, end = u16(4), 0
+        if not 0 < count < 64 or at + 6 + 16 * count > len(data):
+            return None
+        for i in range(count):
+            size, offset = u32(6 + 16 * i + 8), u32(6 + 16 * i + 12)
+            if not size or offset < 6 + 16 * count or at + offset + size > len(data):
+                return None
+            end = max(end, offset + size)
+        return ("ico", "image/x-icon", end) if u16(2) == 1 else ("cur", "image/x-cursor", end)
+    if data[at : at + 4] in (b"II*\0", b"MM\0*", b"\xd7\xcd\xc6\x9a"):
+        later = re.compile(rb"\x89PNG|\xff\xd8\xff|GIF8|BM").search(data, at + 4)
+        length = min(later.start() if later else len(data), at + 2_000_000) - at
+        return ("wmf", "image/wmf", length) if data[at] == 0xD7 else ("tif", "image/tiff", length)
+    if u32(0) == 1 and data[at + 40 : at + 44] == b" EMF":
+        return ("emf", "image/emf", u32(48)) if 88 <= u32(48) <= len(data) - at else None
+    return None
+
+
+def find_media(data: bytes) -> list[tuple[int, str, str, int, bytes]]:
+    """(offset, extension, MIME type, length, bytes) of media inside a stream, from the front, without overlaps."""
+    out, at = [], 0
+    while m := _STARTS.search(data, at):
+        at = m.start()
+        if got := _media_at(data, at):
+            out.append((at, *got, data[at : at + got[2]]))
+            at += max(1, got[2])
+        else:
+            at += 1
+    return out
+
+
+def strings(rows: DataFrame, key: str, column: str) -> DataFrame:
+    return _each(rows, key, column, find_strings, "encoding string, offset long, value string", [pa.string(), pa.int64(), pa.string()])
+
+
+def guids(rows: DataFrame, key: str, column: str) -> DataFrame:
+    return _each(rows, key, column, find_guids, "offset long, guid string", [pa.int64(), pa.string()])
+
+
+def media(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """Media in binary streams; equal bytes of one row are kept once, at their first place."""
+    found = _each(rows, key, column, find_media, "offset long, extension string, mime_type string, length long, bytes binary", [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()])
+    first = found.groupBy(key, F.sha2("bytes", 256).alias("digest"), "extension").agg(F.min_by(F.struct("offset", "mime_type", "length", "bytes"), "offset").alias("m"))
+    return first.select(key, "m.offset", "extension", "m.mime_type", "m.length", "m.bytes")
+
+
+# Bit -> property of a form's and of a site's property mask (public MS-OFORMS format).
+FORM_FLAGS = {1: "BackColor", 2: "ForeColor", 3: "NextAvailableID", 6: "BooleanProperties", 7: "BorderStyle", 8: "MousePointer", 9: "ScrollBars", 10: "DisplayedSize", 11: "LogicalSize", 12: "ScrollPosition", 13: "GroupCount", 15: "MouseIcon", 16: "Cycle", 17: "SpecialEffect", 18: "BorderColor", 19: "Caption", 20: "Font", 21: "Picture", 22: "Zoom", 23: "PictureAlignment", 24: "PictureTiling", 25: "PictureSizeMode", 26: "ShapeCookie", 27: "DrawBuffer"}
+SITE_FLAGS = {0: "Name", 1: "Tag", 2: "Position", 3: "ControlTipText", 4: "RuntimeLicKey", 5: "ControlSource", 6: "RowSource", 7: "Enabled/visibility flags"}
+
+
+def mask_flags(mask: Column, flags: dict[int, str]) -> Column:
+    """Names of the bits that are set, by bit."""
+    return F.filter(F.array(*(F.when(F.getbit(mask, F.lit(b)) == 1, F.lit(n)) for b, n in flags.items())), lambda x: x.isNotNull())
+
+
+def form_headers(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """Header of form streams: size and the properties that its mask names. Streams without a valid header give no row."""
+    x = F.col(column)
+    size = read_u16(x, 2)
+    ok = (F.octet_length(x) >= 8) & (unsigned(x, 0, 1) == 0) & unsigned(x, 1, 1).isin(2, 4) & (size >= 4) & (size <= F.octet_length(x))
+    return rows.where(ok).select(key, (size + 4).alias("size"), read_u32(x, 4).alias("mask"), mask_flags(read_u32(x, 4), FORM_FLAGS).alias("properties"))
+
+
+def profiles(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """Of each stream: size, entropy, numbers of strings, GUIDs and media."""
+    count = lambda found, name: found.groupBy(key).agg(F.count("*").alias(name))
+    out = rows.select(key, F.octet_length(column).cast("long").alias("size")).join(entropy(rows, key, column), key, "left")
+    for found, name in ((strings(rows, key, column), "n_strings"), (guids(rows, key, column), "n_guids"), (media(rows, key, column), "n_media")):
+        out = out.join(count(found, name), key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out
