@@ -94,7 +94,7 @@ def token_counts(docs: DataFrame, path: str, cache: str, limit: int = 1024, id_c
     # one row of each distinct content that misses; the id finds its text again without a shuffle of all copies
     new = rows.join(known, "content_digest", "left_anti").groupBy("content_digest").agg(F.min("doc_id").alias("i"))
     mine = base.join(new.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("i")), "inner").where(F.unhex(F.sha2("text", 256)) == F.col("content_digest")).select("content_digest", "text")
-    counted = mine.mapInArrow(_counted(path, by_chunk), "content_digest binary, n_tokens long")
+    counted = mine.mapInArrow(_counted(path, by_chunk), "content_digest binary, n_tokens long").dropDuplicates(["content_digest"])  # rows may repeat
     counted.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache)
     known = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer_digest") == F.lit(version)).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
     return rows.join(known, "content_digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -15,6 +15,7 @@ bitmap only. Links are confirmed on the full shingle sets.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -94,11 +95,33 @@ def _bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(out).view(np.int64)
 
 
+def _signs(values: np.ndarray) -> np.ndarray:
+    """The lowest bit of every coordinate of the sketches, as rows of four 64-bit integers and more."""
+    bits = (values & np.uint64(1)).astype(bool)
+    width = -(-bits.shape[1] // 64) * 64
+    return np.packbits(np.pad(bits, ((0, 0), (0, width - bits.shape[1]))), axis=1).view(np.int64)
+
+
+def _sized(n, m, percent: int):
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
 def _may_link(n, m, x, y, percent: int):
-    """Whether two sets of n and m members with bitmaps x and y can reach the similarity."""
-    lacking = lambda p, q: sum(F.bit_count(p[i].bitwiseAND(F.bitwise_not(q[i]))) for i in range(BITS // 64))
-    both = F.least(n - lacking(x, y), m - lacking(y, x))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (100 * both >= percent * (n + m - both))
+    """Whether two sets of n and m members with bitmaps x and y can reach the similarity: what they share is at most n less the bits of x only."""
+    lacking = lambda p, q: F.aggregate(F.zip_with(p, q, lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b)))), F.lit(0), lambda t, c: t + c)
+    enough = lambda k, p, q: (100 + percent) * (k - lacking(p, q)) >= percent * (n + m)
+    return enough(n, x, y) & enough(m, y, x)
+
+
+def _signs_agree(x, y, t: int, percent: int):
+    """Whether two rows of signs disagree no more often than six standard deviations over what the similarity gives (chance under 1e-7)."""
+    q = (1 - percent / 100) / 2
+    most = math.floor(t * q + 6 * math.sqrt(t * q * (1 - q)))
+    apart = None
+    for a, b in zip(x, y, strict=True):
+        one = F.bit_count(a.bitwiseXOR(b))
+        apart = one if apart is None else apart + one
+    return apart <= most
 
 
 def _signatures(n: int, bands: int, rows: int):
@@ -107,12 +130,14 @@ def _signatures(n: int, bands: int, rows: int):
             for a, b, data, offsets in texts(batch.column("text")):
                 sets = _sets(Words(data, offsets, lower=True), n)
                 full = [i for i, s in enumerate(sets) if len(s)]
-                keys = [None] * len(sets)
-                for i, k in zip(full, _bands(sketch([sets[i] for i in full], bands * rows), rows) if full else [], strict=True):
-                    keys[i] = k
+                keys, signs = [None] * len(sets), [None] * len(sets)
+                if full:
+                    values = sketch([sets[i] for i in full], bands * rows)
+                    for i, k, g in zip(full, _bands(values, rows), _signs(values), strict=True):
+                        keys[i], signs[i] = k, g
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), batch.column("text_hash").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array([_bitmap(s) if len(s) else None for s in sets], pa.list_(pa.int64()))],
-                    ["doc_id", "text_hash", "n_shingles", "digest", "bands", "bits"],
+                    [batch.column("doc_id").slice(a, b - a), batch.column("text_hash").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array([_bitmap(s) if len(s) else None for s in sets], pa.list_(pa.int64())), pa.array(signs, pa.list_(pa.int64()))],
+                    ["doc_id", "text_hash", "n_shingles", "digest", "bands", "bits", "signs"],
                 )
 
     return run
@@ -157,12 +182,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     An empty table gives an empty result. Other columns are ignored.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sig = stored(base.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_signatures(words, bands, rows), "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>, bits array<long>"), "signatures")
+    sig = stored(base.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_signatures(words, bands, rows), "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>, bits array<long>, signs array<long>"), "signatures")
     full = sig.where("n_shingles > 0")
     least = full.groupBy("digest").agg(F.min("doc_id").alias("i")).withColumnRenamed("digest", "d")
     # of each class the row with the smallest id; rows may repeat, so once more by digest
     own = full.join(least.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")), "left_semi")
-    cls = stored(own.groupBy("digest").agg(*(F.any_value(c).alias(c) for c in ("n_shingles", "bands", "bits"))), "classes")
+    cls = stored(own.groupBy("digest").agg(*(F.any_value(c).alias(c) for c in ("n_shingles", "bands", "bits", "signs"))), "classes")
     bits = cls.select("digest", F.col("n_shingles").alias("n"), "bits")
     posts = cls.select("digest", F.explode("bands").alias("band"))
     heads = posts.groupBy("band").agg(F.min("digest").alias("head"), F.count("*").alias("c")).where("c > 1").select("band", "head")
@@ -170,17 +195,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     star = met.where("digest <> head").select(F.col("digest").alias("a"), F.col("head").alias("b")).distinct()
     star = star.join(bits.select(F.col("digest").alias("a"), F.col("n"), F.col("bits").alias("x")), "a")
     star = star.join(bits.select(F.col("digest").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y")), "b")
-    star = stored(star.where(_may_link(F.col("n"), F.col("m"), F.col("x"), F.col("y"), percent)).select("a", "b"), "star")
+    star = stored(star.where(_sized(F.col("n"), F.col("m"), percent) & _may_link(F.col("n"), F.col("m"), F.col("x"), F.col("y"), percent)).select("a", "b"), "star")
     links = stored(_verified(base, sig, star, words, percent), "links")
     label = components(links)
     # classes that are not in the component of their bucket's smallest, against all of the bucket
     named = met.join(label.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     named = named.join(label.select(F.col("node").alias("head"), F.col("root").alias("head_root")), "head", "left").withColumn("major", F.col("root") == F.coalesce("head_root", "head"))
     mixed = named.where("not major").select("band").distinct()
-    apart = stored(named.join(mixed, "band", "left_semi").join(bits, "digest").select("band", "digest", "root", "major", "n", "bits"), "apart")
-    left = apart.where("not major").select("band", F.col("digest").alias("a"), F.col("root").alias("p"), "n", F.col("bits").alias("x"))
-    right = apart.select("band", F.col("digest").alias("b"), F.col("root").alias("q"), F.col("n").alias("m"), F.col("bits").alias("y"), "major")
-    rest = left.join(right, (left.band == right.band) & (F.col("p") != F.col("q")) & (F.col("major") | (F.col("a") > F.col("b"))) & _may_link(F.col("n"), F.col("m"), F.col("x"), F.col("y"), percent))
+    words_ = -(-bands * rows // 64)
+    wide = cls.select("digest", F.col("n_shingles").alias("n"), "bits", "bands", *(F.get("signs", F.lit(i)).alias(f"s{i}") for i in range(words_)))
+    apart = stored(named.join(mixed, "band", "left_semi").join(wide, "digest").select("band", "digest", "root", "major", "n", "bits", "bands", *(f"s{i}" for i in range(words_))), "apart")
+    left = apart.where("not major").select("band", F.col("digest").alias("a"), F.col("root").alias("p"), "n", F.col("bits").alias("x"), F.col("bands").alias("u"), *(F.col(f"s{i}").alias(f"g{i}") for i in range(words_)))
+    right = apart.select(F.col("band").alias("band2"), F.col("digest").alias("b"), F.col("root").alias("q"), F.col("n").alias("m"), F.col("bits").alias("y"), F.col("bands").alias("v"), "major", *(f"s{i}" for i in range(words_)))
+    # cheap tests first; a pair is taken in the first band that it shares
+    first = F.get(F.filter(F.zip_with("u", "v", lambda c, d: F.when(c == d, c)), lambda c: c.isNotNull()), F.lit(0)) == F.col("band")
+    n, m = F.col("n"), F.col("m")
+    same = _signs_agree([F.col(f"g{i}") for i in range(words_)], [F.col(f"s{i}") for i in range(words_)], bands * rows, percent)
+    rest = left.join(right, (F.col("band") == F.col("band2")) & (F.col("p") != F.col("q")) & (F.col("major") | (F.col("a") > F.col("b"))) & _sized(n, m, percent) & same & first & _may_link(n, m, F.col("x"), F.col("y"), percent))
     rest = stored(rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "rest")
     more = _verified(base, sig, rest, words, percent)
     label = components(stored(links.unionByName(more), "links"))

@@ -1,0 +1,37 @@
+"""The pipeline's stages on the smallest tables."""
+
+import corpus_pipeline
+from docustrata.llm import minhash, registry
+from docustrata.llm.session import stored
+
+DATA = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    counts = [docs.count()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, DATA), name)
+        assert docs.columns == corpus_pipeline.COLUMNS
+        counts.append(docs.count())
+        if name == "near_dedup":
+            assert minhash.near_duplicates(docs, words=5).where("not kept").count() == 0
+    assert counts[0] > counts[1] > counts[2] == counts[3] == counts[4]
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
+    assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_toxic_documents_go_and_clean_ones_stay(spark):
+    data = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.quality_stage(spark, docs, data).select("doc_id").collect()}
+    labels = spark.read.parquet(f"{data}/labels.parquet").collect()
+    clean = [r.doc_id in kept for r in labels if r.quality and not r.toxic]
+    toxic = [r.doc_id in kept for r in labels if r.quality and r.toxic]
+    assert sum(clean) >= 0.9 * len(clean) and sum(toxic) <= 0.5 * len(toxic)
+
+
+def test_every_operator_is_registered():
+    names = list(registry.queries())
+    assert [n for n in names if n.startswith("op")] == sorted((n for n in names if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0]))
+    assert len(names) == 11 and set(registry.oracle_sql()) <= set(names)
