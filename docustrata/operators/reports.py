@@ -49,3 +49,41 @@ def summary_report(summary: DataFrame) -> DataFrame:
     """One line per module, by name."""
     line = F.format_string("- %s (%s): %d procedures, %d handlers, %d dependencies", "module", "kind", "n_procedures", "n_events", "n_dependencies")
     return joined(summary, ["doc_id"], ["module"], line)
+
+
+def _item(text: Column) -> Column:
+    return F.concat(F.lit("- [ ] "), text)
+
+
+def migration_checklist(dependencies: DataFrame, risks: DataFrame, unlinked: DataFrame, most: int = 80) -> DataFrame:
+    """Open points of a document: its dependencies, the first ``most`` risk markers, handlers without a control."""
+    d = dependencies.select("doc_id", F.lit(0).alias("section"), F.to_json(F.struct("ord", "value")).alias("place"), F.format_string("Replace or implement %s: %s (%s).", "category", "value", "file_name").alias("line"))
+    r = top(risks, ["doc_id"], ["file_ord", "line", "rule_ord"], most).select("doc_id", F.lit(1).alias("section"), F.lpad(F.col("rank").cast("string"), 9, "0").alias("place"), F.format_string("%s:%d %s", "module", "line", "category").alias("line"))
+    e = unlinked.select("doc_id", F.lit(2).alias("section"), F.format_string("%09d.%09d", "file_ord", "proc_ord").alias("place"), F.format_string("%s.%s (%s.%s) needs a control.", "module", "procedure", "control_name", "event_name").alias("line"))
+    return joined(d.unionByName(r).unionByName(e), ["doc_id"], ["section", "place"], _item(F.col("line")))
+
+
+def migration_test_plan(events: DataFrame, procedures: DataFrame, most: int = 80) -> DataFrame:
+    """Tests of a document: each handler, and of every module the first ``most`` procedures that compute, use or call something."""
+    e = events.select("doc_id", "file_ord", F.lit(0).alias("section"), "proc_ord", F.format_string("Trigger %s.%s and compare with %s.", "control_name", "event_name", "procedure").alias("line"))
+    p = top(procedures.where((F.col("kind") == "Function") | (F.size("uses") > 0)), ["doc_id", "file_ord"], ["proc_ord"], most)
+    p = p.select("doc_id", "file_ord", F.lit(1).alias("section"), "proc_ord", F.concat("name", F.when(F.size("uses") > 0, F.concat(F.lit(" ("), F.array_join("uses", ", "), F.lit(")"))).otherwise("")).alias("line"))
+    return joined(e.unionByName(p), ["doc_id"], ["section", "file_ord", "proc_ord"], _item(F.col("line")))
+
+
+def validation_report(validation: DataFrame) -> DataFrame:
+    """The counts and the score of a document as lines."""
+    names = [c for c in validation.columns if c.startswith("n_")]
+    parts = [F.concat(F.lit("Overall extraction confidence: "), F.col("score").cast("string"), F.lit("%"))] + [F.concat(F.lit(f"- {n[2:].replace('_', ' ')}: "), F.col(n).cast("string")) for n in names]
+    return validation.select("doc_id", F.concat_ws("\n", *parts).alias("text"))
+
+
+def references_report(references: DataFrame) -> DataFrame:
+    """References of a document by kind, in the order the kinds occur."""
+    from .labels import guid_label
+
+    first = references.groupBy("doc_id", "kind").agg(F.min("ord").alias("place"))
+    title = F.coalesce("name", "guid", "lib_id")
+    line = F.concat(F.lit("- "), title, F.coalesce(F.concat(F.lit(" ["), guid_label(F.col("guid")), F.lit("]")), F.lit("")), F.coalesce(F.concat(F.lit(", version "), "version"), F.lit("")), F.coalesce(F.concat(F.lit(", "), "path"), F.lit("")))
+    sections = joined(references, ["doc_id", "kind"], ["ord"], line).join(first, ["doc_id", "kind"])
+    return joined(sections, ["doc_id"], ["place"], F.concat(F.lit("## "), F.initcap("kind"), F.lit(" References\n"), "text"), "\n\n")

@@ -329,3 +329,38 @@ def dependency_report(spark, sf_dir):
 @_query("crc32_text")
 def crc32_text(spark, sf_dir):
     return _read(spark, sf_dir, "part", "p_partkey", "p_name").select("p_partkey", F.crc32(F.encode("p_name", "UTF-8")).alias("crc32"))
+
+
+@_query("migration_checklist")
+def migration_checklist(spark, sf_dir):
+    files = rendered.files(spark, sf_dir)
+    events, controls = _linked(spark, sf_dir)
+    return R.migration_checklist(S.dependencies(files), S.risk_markers(files), C.event_links(events, controls).where("linked_control_path is null"))
+
+
+@_query("migration_test_plan")
+def migration_test_plan(spark, sf_dir):
+    procs = S.procedures(rendered.files(spark, sf_dir), with_body=True)
+    return R.migration_test_plan(S.events(procs), S.procedure_uses(procs))
+
+
+@_query("validation_report")
+def validation_report(spark, sf_dir):
+    return R.validation_report(validation_score(spark, sf_dir))
+
+
+@_query("guid_labels", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'Forms.Label.1 (Microsoft Forms 2.0 Label control)' WHEN 1 THEN 'x {d7053240-ce69-11cd-a777-00dd01143c57} (Microsoft Forms 2.0 CommandButton)' ELSE 'none' END AS label FROM orders")
+def guid_labels(spark, sf_dir):
+    from ..operators.labels import with_label
+
+    text = F.when(c("o_orderkey") % 3 == 0, "Forms.Label.1").when(c("o_orderkey") % 3 == 1, "x {d7053240-ce69-11cd-a777-00dd01143c57}").otherwise("none")
+    return _read(spark, sf_dir, "orders", "o_orderkey").select("o_orderkey", with_label(text).alias("label"))
+
+
+@_query("inferred_bounds", "SELECT o_orderkey, o_orderkey % 20000 AS \"left\", 7 AS top, 600 AS width, 400 AS height, 'medium' AS confidence FROM orders")
+def inferred_bounds(spark, sf_dir):
+    from ..operators.embedded import inferred_bounds as bounds
+
+    word = lambda n: F.concat(*(F.substring(F.lpad(F.hex(n), 8, "0"), i, 2) for i in (7, 5, 3, 1)))
+    data = F.unhex(F.concat(F.lit("FF" * 8), word(c("o_orderkey") % 20000), word(F.lit(7)), word(F.lit(600)), word(F.lit(400)), F.lit("FF" * 8)))
+    return bounds(_read(spark, sf_dir, "orders", "o_orderkey").withColumn("data", data), "o_orderkey", "data")

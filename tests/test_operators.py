@@ -84,12 +84,12 @@ def test_scalars(spark):
 
 
 def test_binary_scans(spark):
-    guid = bytes.fromhex("3004020000000000c000000000000046")
+    guid = bytes.fromhex("403205d769cecd11a77700dd01143c57")
     png = b"\x89PNG\r\n\x1a\n....IEND\xaeB`\x82"
     data = b"abc\0text!\0\0\0" + "wide".encode("utf-16-le") + b"\0\0" + guid + png + b"GIF89a" + b"x" * 10 + b";"
     rows = spark.createDataFrame([(1, bytearray(data)), (2, None), (3, bytearray())], "k int, content binary")
     assert {(r.encoding, r.value) for r in binary.strings(rows, "k", "content").collect()} >= {("ASCII", "text!"), ("UTF-16LE", "wide")}
-    assert "{00020430-0000-0000-C000-000000000046}" in {r.guid for r in binary.guids(rows, "k", "content").collect()}
+    assert "{D7053240-CE69-11CD-A777-00DD01143C57}" in {r.guid for r in binary.guids(rows, "k", "content").collect()}
     assert {(r.extension, bytes(r.bytes)[:3]) for r in binary.media(rows, "k", "content").collect()} == {("png", b"\x89PN"), ("gif", b"GIF")}
     assert {r.k: round(r.entropy, 6) for r in binary.entropy(rows, "k", "content").collect()}[2] == 0.0
     assert binary.profiles(rows, "k", "content").count() == 3
@@ -120,3 +120,38 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.category for r in spark.sql("SELECT * FROM risks").collect()] == ["External process"]
+
+
+def test_embedded_controls(spark):
+    from docustrata.operators import embedded
+
+    xml = '<ax:ocx ax:classid="{D7053240-CE69-11CD-A777-00DD01143C57}" r:id="rId1" ax:persistence="persistStorage"><ax:p>x</ax:p></ax:ocx>'
+    parts = spark.createDataFrame([("d", 0, "xl/activeX/activeX1.xml", bytearray(xml.encode())), ("d", 1, "xl/activeX/activeX1.bin", bytearray(b"1")), ("d", 2, "xl/activeX/activeX11.bin", bytearray(b"2")), ("d", 3, "xl/activeX/activeX2.xml", bytearray(b"<a/>"))], "doc_id string, ord int, path string, content binary")
+    got = {r.id: r for r in embedded.activex_controls(parts).collect()}
+    assert got["activeX1"].bin_path == "xl/activeX/activeX1.bin" and got["activeX1"].label == "Microsoft Forms 2.0 CommandButton"
+    assert got["activeX1"].properties["relationshipId"] == "rId1" and got["activeX1"].properties["p"] == "x"
+    assert got["activeX2"].bin_path is None and got["activeX2"].class_id is None
+
+
+def test_streams_as_integers(spark):
+    import struct
+
+    from docustrata.operators import embedded
+
+    colors = spark.createDataFrame([(1, bytearray(struct.pack("<IIII", 0x8000000F, 0, 0x00FF00, 0x7F000000))), (2, bytearray(b"ab")), (3, None)], "k int, content binary")
+    assert [(r.k, r.offset, r.value) for r in embedded.ole_colors(colors, "k", "content").collect()] == [(1, 0, "0x8000000F (button face)"), (1, 8, "0x0000FF00 (#00ff00)")]
+    data = struct.pack("<8I", 0xFFFFFFFF, 0xFFFFFFFF, 100, 200, 4000, 3000, 0xFFFFFFFF, 0)
+    rows = spark.createDataFrame([(1, bytearray(data)), (2, bytearray(b"x"))], "k int, content binary")
+    assert [tuple(r) for r in embedded.inferred_bounds(rows, "k", "content").collect()] == [(1, 100, 200, 4000, 3000, "medium")]
+    assert spark.range(1).select(embedded.hex_dump(F.lit(bytearray(b"Az\x00" + b"b" * 14)))).first()[0].split("\n") == ["00000000  41 7A 00 62 62 62 62 62 62 62 62 62 62 62 62 62  Az.bbbbbbbbbbbbb", "00000010  62" + " " * 45 + "  b"]
+    frame = spark.createDataFrame([("d", "c", "Form1/\x03VBFrame", bytearray(b'Begin {X} Form1\r\n  Caption = "Hi"\r\n  Caption = "Ho"\r\nEnd'))], "doc_id string, container string, path string, content binary")
+    assert {r.name: r.value for r in embedded.frame_properties(frame).collect()} == {"Name": "Form1", "Caption": "Ho"}
+
+
+def test_more_reports(spark):
+    f = files(spark)
+    procs = S.procedures(f, with_body=True)
+    events = S.events(procs)
+    text = reports.migration_checklist(S.dependencies(f), S.risk_markers(f), events).first().text
+    assert text.startswith("- [ ] Replace or implement WinAPI: PtrSafe") and "cmd_ok.Click" in text
+    assert reports.migration_test_plan(events, S.procedure_uses(procs)).first().text.startswith("- [ ] Trigger cmd_ok.Click")
