@@ -21,7 +21,7 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_PART = r"0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+_PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: Share of an entity's information from which its terms are generalised, and removed; documents a pair must share; code points of context on either side; letters of a term.
 GENERALISE, REMOVE, SUPPORT, CONTEXT, LETTERS = 0.8, 0.95, 3, 80, 4
 SPAN = "struct<kind:string,start:int,end:int,value:string>"

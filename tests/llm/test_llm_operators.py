@@ -297,6 +297,7 @@ PII = [
     "a" * 3000 + "@" + "b" * 10 + ".c" * 3000,
     "1" * 4000,
 ]
+ZEROS = ["hosts 10.0.0.1, 0.0.0.0 and 000.1.2.3; 127.0.0.1 192.168.0.7", "000.000.0.00 0.0.0.256 1.0.0", "0" * 3000 + ".0.0.1"]
 
 
 def plain_pii(text):
@@ -319,6 +320,13 @@ def test_privacy(spark):
     assert privacy.disclosures(empty(spark)).count() == 0
 
 
+def test_privacy_addresses_with_zero_parts(spark):
+    got = {r.doc_id: r.base for r in privacy.disclosures(table(spark, list(enumerate(ZEROS)))).collect()}
+    for i, t in enumerate(ZEROS):
+        assert ",".join(f"{s.kind}:{s.start}:{s.end}" for s in got[i]) == plain_pii(t), i
+    assert [s.value for s in got[0]] == ["10.0.0.1", "0.0.0.0", "000.1.2.3", "127.0.0.1", "192.168.0.7"]
+
+
 def test_privacy_terms_by_counting(spark):
     """A name that stands with one address only gives it away; a common word does not."""
     r = random.Random(3)
