@@ -1,6 +1,6 @@
 """PII: patterns find the protected entities, corpus co-occurrence finds the terms that give them away.
 
-Only DataFrame functions. A term t that stands near an entity e discloses
+Only DataFrame functions. A term t of the documents that hold an entity e discloses
 PMI(t; e) = log2(N * n(t, e) / (n(t) * n(e))) bits of e's information log2(N / n(e)); counts are of documents and cover the
 whole corpus. Terms whose share of that information reaches a threshold are generalised, or removed at a
 higher one, wherever they stand in the documents that hold the entity.
@@ -22,8 +22,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-#: Share of an entity's information from which its terms are generalised, and removed; documents a pair must share; code points of context on either side; letters of a term.
-GENERALISE, REMOVE, SUPPORT, CONTEXT, LETTERS = 0.8, 0.95, 3, 80, 4
+#: Share of an entity's information from which its terms are generalised, and removed; documents a pair must share; letters of a term.
+GENERALISE, REMOVE, SUPPORT, LETTERS = 0.8, 0.95, 3, 4
 SPAN = "struct<kind:string,start:int,end:int,value:string>"
 
 
@@ -83,6 +83,19 @@ def _terms(x: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(x), r"[^\p{L}]+")), lambda t: F.length(t) >= LETTERS)
 
 
+def _outside() -> Column:
+    """The text with a blank in place of every base span."""
+    return F.aggregate(
+        F.array_sort(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))),
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda a, s: F.struct(
+            F.greatest(a["at"], s["end"]).alias("at"),
+            F.concat(a["out"], F.when(s["start"] > a["at"], F.substr("text", a["at"] + 1, s["start"] - a["at"])).otherwise(F.lit("")), F.lit(" ")).alias("out"),
+        ),
+        lambda a: F.concat(a["out"], F.substr("text", a["at"] + 1, F.length("text"))),
+    )
+
+
 def _entity(s: Column) -> Column:
     return F.concat(s["kind"], F.lit(":"), F.when(s["kind"].isin("card", "phone"), _digits(s["value"])).otherwise(F.lower(s["value"])))
 
@@ -102,23 +115,22 @@ def disclosures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = base.withColumn("base", base_spans(F.col("text"))).withColumn("text", F.when(F.size("base") > 0, F.col("text")))
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "entities")
     some = rows.where("text is not null")
-    near = some.select("row", "text", F.explode("base").alias("s")).select(
-        "row",
-        _entity(F.col("s")).alias("entity"),
-        # a word cut by the edge of the context is not a term of it
-        F.explode(_terms(F.concat_ws(" ", F.regexp_replace(F.substr("text", F.greatest(F.lit(1), F.col("s.start") + 1 - CONTEXT), F.least(F.lit(CONTEXT), F.col("s.start"))), r"^[\p{L}]*+", " "), F.regexp_replace(F.substr("text", F.col("s.end") + 1, F.lit(CONTEXT)), r"[\p{L}]*$", " ")))).alias("term"),
-    ).distinct()
-    near = stored(near, "near")
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT)
-    pairs = stored(pairs, "pairs")
-    entities = some.select("row", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    wanted = pairs.select("term").distinct()
-    words = base.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    words = stored(words.join(wanted, "term"), "words")  # an inner join: a semi join would go below the count, to every single word
-    total = F.lit(float(rows.count()))
-    share = F.log2(total * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log2(total / F.col("n_e"))
-    telling = pairs.join(words, "term").join(entities, "entity").where(F.col("n_e") < total).withColumn("share", share).where(F.col("share") >= GENERALISE).select("entity", "term", "share")
-    mine = near.join(telling, ["entity", "term"]).groupBy("row", "term").agg(F.max("share").alias("share")).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("telling"))
+    total = rows.count()
+    held = stored(some.select("row", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity")), "held")
+    held = stored(held.join(held.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e").between(SUPPORT, total - 1)), "entity"), "judged")
+    words = stored(base.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= SUPPORT), "words")
+    # a term of more documents than this can't reach the share, even if it stood in all documents of the entity
+    most = lambda n_e: total * (n_e / total) ** GENERALISE * (1 + 1e-9)
+    bound = most(held.agg(F.max("n_e")).first()[0] or 1) if total else 0
+    often = words.where(F.col("n_t") > max(bound, total / 1000)).select("term")  # a thousand times a text's terms at most
+    own = some.join(held.select("row").distinct(), "row", "left_semi").select("row", F.explode(_terms(_outside())).alias("term"))
+    own = own.join(F.broadcast(often), "term", "left_anti").join(words.where(F.col("n_t") <= bound), "term")
+    both = stored(own.join(held, "row").where(F.col("n_t") <= most(F.col("n_e"))).select("row", "entity", "term", "n_e", "n_t"), "both")
+    pairs = both.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t")).where(F.col("n_te") >= SUPPORT)
+    size = F.lit(float(max(total, 1)))
+    share = F.log2(size * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log2(size / F.col("n_e"))
+    telling = pairs.withColumn("share", share).where(F.col("share") >= GENERALISE).select("entity", "term", "share")
+    mine = both.join(telling, ["entity", "term"]).groupBy("row", "term").agg(F.max("share").alias("share")).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("telling"))
     out = rows.join(mine, "row", "left")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}])(?:"), F.array_join(F.array_sort(F.map_keys("telling")), "|"), F.lit(r")(?![\p{L}])"))
     spans = F.when(F.col("telling").isNotNull(), located(F.col("text"), pattern, "term")).otherwise(F.expr(f"CAST(array() AS array<{SPAN}>)"))

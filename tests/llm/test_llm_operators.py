@@ -340,6 +340,14 @@ def test_privacy_terms_by_counting(spark):
     assert "Quentin" not in clean[0] and "[EMAIL]" in clean[0] and clean[10] == rows[10][1]
 
 
+def test_privacy_terms_far_from_their_entity(spark):
+    """A name that is near its address once or never, and 200 and more characters away elsewhere, gives it away all the same."""
+    far = "common words everywhere always " * 10
+    rows = [(0, f"Quentin q.z@mail.example {far}")] + [(i, f"Quentin {far} q.z@mail.example {far} Ottokar") for i in range(1, 6)] + [(i, far) for i in range(6, 60)]
+    got = {r.doc_id: [s.value for s in r.terms] for r in privacy.disclosures(table(spark, rows)).collect()}
+    assert got[0] == ["Quentin"] and all(got[i] == ["Quentin", "Ottokar"] for i in range(1, 6)) and not any(got[i] for i in range(6, 60))
+
+
 def test_vectors(spark):
     r = np.random.default_rng(8)
     base = r.normal(size=(40, 16))
