@@ -8,6 +8,8 @@ higher one, wherever they stand in the documents that hold the entity.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +24,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-#: Share of an entity's information from which its terms are generalised, and removed; documents a pair must share; letters of a term.
-GENERALISE, REMOVE, SUPPORT, LETTERS = 0.8, 0.95, 3, 4
+#: Share of an entity's information from which its terms are generalised, and removed; chance at which a pair may still be one of independents; letters of a term (single ones tell nothing).
+GENERALISE, REMOVE, CHANCE, LETTERS = 0.8, 0.95, 0.01, 2
 SPAN = "struct<kind:string,start:int,end:int,value:string>"
 
 
@@ -83,6 +85,14 @@ def _terms(x: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(x), r"[^\p{L}]+")), lambda t: F.length(t) >= LETTERS)
 
 
+def _chance(n: Column, mean: Column) -> Column:
+    """Log of an upper bound on the chance that an independent pair with ``mean`` documents expected shares n and more, given that it shares one.
+
+    Chance of n and more: mean ** n / n! at most, with Stirling's lower bound for n!. A pair of one document is never telling.
+    """
+    return n * F.log(mean / n) + n - 0.5 * F.log(2 * math.pi * n) - F.log(-F.expm1(-mean))
+
+
 def _outside() -> Column:
     """The text with a blank in place of every base span."""
     return F.aggregate(
@@ -109,7 +119,9 @@ def disclosures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nothing was found: that text stays as it is.
 
     A null text is empty. Repeated rows and null ids are ordinary rows, other columns are ignored, an
-    empty table gives an empty result. A pair of entity and term counts from SUPPORT documents on.
+    empty table gives an empty result. A pair of entity and term counts where independence
+    would bring its documents together with a chance of CHANCE at most: from 200 documents on, two that hold both
+    and no others are enough. Words are runs of letters: a script without blanks gives whole runs as terms.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(f"_keep_{c}") for c in keep))
     rows = base.withColumn("base", base_spans(F.col("text"))).withColumn("text", F.when(F.size("base") > 0, F.col("text")))
@@ -117,8 +129,8 @@ def disclosures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     some = rows.where("text is not null")
     total = rows.count()
     held = stored(some.select("row", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity")), "held")
-    held = stored(held.join(held.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e").between(SUPPORT, total - 1)), "entity"), "judged")
-    words = stored(base.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= SUPPORT), "words")
+    held = stored(held.join(held.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e").between(2, total - 1)), "entity"), "judged")
+    words = stored(base.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= 2), "words")
     # a term of more documents than this can't reach the share, even if it stood in all documents of the entity
     most = lambda n_e: total * (n_e / total) ** GENERALISE * (1 + 1e-9)
     bound = most(held.agg(F.max("n_e")).first()[0] or 1) if total else 0
@@ -126,8 +138,8 @@ def disclosures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = some.join(held.select("row").distinct(), "row", "left_semi").select("row", F.explode(_terms(_outside())).alias("term"))
     own = own.join(F.broadcast(often), "term", "left_anti").join(words.where(F.col("n_t") <= bound), "term")
     both = stored(own.join(held, "row").where(F.col("n_t") <= most(F.col("n_e"))).select("row", "entity", "term", "n_e", "n_t"), "both")
-    pairs = both.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t")).where(F.col("n_te") >= SUPPORT)
     size = F.lit(float(max(total, 1)))
+    pairs = both.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t")).where(F.log(F.lit(CHANCE)) >= _chance(F.col("n_te"), F.col("n_t") * F.col("n_e") / size))
     share = F.log2(size * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log2(size / F.col("n_e"))
     telling = pairs.withColumn("share", share).where(F.col("share") >= GENERALISE).select("entity", "term", "share")
     mine = both.join(telling, ["entity", "term"]).groupBy("row", "term").agg(F.max("share").alias("share")).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("telling"))

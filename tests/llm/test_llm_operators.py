@@ -348,6 +348,14 @@ def test_privacy_terms_far_from_their_entity(spark):
     assert got[0] == ["Quentin"] and all(got[i] == ["Quentin", "Ottokar"] for i in range(1, 6)) and not any(got[i] for i in range(6, 60))
 
 
+def test_privacy_short_terms_and_entities_of_two_documents(spark):
+    """Short names and addresses of two documents are judged; a pair of one document, and one that chance explains, are not."""
+    rows = [(i, "Kim and Li or 李明 call +49 30 1234567 common words") for i in range(2)] + [(2, "Ana writes to a@b.example common and or call words")]
+    rows += [(i, f"common words and or call{' x@y.example' if i % 2 else ''}{' eve' if i % 4 else ''}") for i in range(3, 400)]
+    got = {r.doc_id: [s.value for s in r.terms] for r in privacy.disclosures(table(spark, rows)).collect()}
+    assert got[0] == got[1] == ["Kim", "Li", "李明"] and not any(got[i] for i in range(2, 400))
+
+
 def test_vectors(spark):
     r = np.random.default_rng(8)
     base = r.normal(size=(40, 16))
