@@ -3,8 +3,9 @@
 Each pass orders the vectors lexicographically by 64 concatenated random hashes (signs of projections) and compares
 every vector with the next ones in that order, a bounded window. Pairs that pass the exact
 cosine are united within the task; only the edges of the resulting trees leave it, so a large group of
-copies costs a row a vector. The number of passes follows from the number of vectors and the
-wanted recall. Links are then counted exactly inside each component, block by block.
+copies costs a row a vector. How far the order's prefixes reach beyond a vector's window tells the chance that a
+pass misses a pair of it; passes go on with the vectors whose chance is still too high, until comparing all of those is
+cheaper. Links are then counted exactly inside each component, block by block.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .session import components, stored
 
-#: Vectors ahead that each one is compared with in a pass; chance that all passes miss a pair at the threshold; passes sorted in one job; rows of a block.
-WINDOW, MISS, AT_ONCE, BLOCK = 64, 1e-4, 8, 512
+#: Vectors ahead that each one is compared with in a pass; chance that all passes miss a pair at the threshold; passes sorted in one job; rows of a block of links, and of all pairs.
+WINDOW, MISS, AT_ONCE, BLOCK, PAIRS = 64, 1e-4, 8, 512, 2048
 
 
 def _units(batches):
@@ -64,8 +65,69 @@ def _keyed(passes: list[int], seed: int):
     return run
 
 
-def _trees(window: int, least: float):
-    """Edges of a spanning forest of the verified pairs among neighbours in sort order."""
+def _shared(key: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Leading bits that two arrays of keys have in common."""
+    x = np.ascontiguousarray(key ^ other).view(np.uint64)
+    n = np.zeros(len(x), np.int64)
+    for step in (32, 16, 8, 4, 2, 1):
+        clear = x < np.uint64(1 << (64 - step))
+        n[clear] += step
+        x = np.where(clear, x << np.uint64(step), x)
+    return np.where(key == other, 64, n)
+
+
+def _log_miss(group: np.ndarray, key: np.ndarray, window: int, same: float) -> np.ndarray:
+    """Of rows in order, but the first and last ``window``: log of the chance that a pair at the threshold is not met.
+
+    A pair that shares one bit more than a vector does with the window's ends on both sides is met, any pair where the
+    group ends inside the window. Nothing is promised where all 64 bits are shared.
+    """
+    shared = np.where((group[:, window:] == group[:, :-window]).all(axis=0), _shared(key[:-window], key[window:]), -1)
+    bits = np.maximum(shared[window:], shared[:-window])
+    return np.where(bits < 64, np.log1p(-np.minimum(same ** (bits + 1.0), 1 - 1e-9)), 0.0)
+
+
+def _forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Spanning forest of a bipartite table of links, each row and column spread once."""
+    rows, columns, out = near.any(axis=1), near.any(axis=0), []
+    while rows.any():
+        first = int(np.argmax(rows))
+        rows[first] = False
+        todo = [(0, first)]
+        while todo:
+            side, i = todo.pop()
+            left = columns if side == 0 else rows
+            new = np.flatnonzero((near[i] if side == 0 else near[:, i]) & left)
+            left[new] = False
+            out += [(i, j) if side == 0 else (j, i) for j in new.tolist()]
+            todo += [(1 - side, j) for j in new.tolist()]
+    return out
+
+
+def _all_pairs(least: float):
+    """Edges of a spanning forest of the verified pairs between two blocks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        u, v = [], []
+        side, first, second = (table.column(c).to_numpy() for c in ("block", "first", "second"))
+        digest = table.column("digest").to_pylist()
+        i, j = np.flatnonzero(side == first), np.flatnonzero(side == second)
+        if len(i) and len(j):
+            x = _matrix(table.column("unit"))
+            right = x[j].T
+            near = np.concatenate([x[i[at : at + 256]] @ right >= least for at in range(0, len(i), 256)])
+            if first[0] == second[0]:
+                np.fill_diagonal(near, False)
+            for a, b in _forest(near):
+                u.append(digest[i[a]])
+                v.append(digest[j[b]])
+        return pa.table({"a": pa.array(u, pa.binary()), "b": pa.array(v, pa.binary())})
+
+    return run
+
+
+def _trees(window: int, least: float, same: float):
+    """Edges of a spanning forest of the verified pairs among neighbours in sort order; rows without b hold a vector's log chance of a miss."""
 
     def run(batches):
         held = None
@@ -96,11 +158,14 @@ def _trees(window: int, least: float):
                     for p, q in zip(i + at + a, j + at + a, strict=True):
                         if p < q <= p + window and q >= begun and (s := root(p)) != (t := root(q)):
                             parent[max(s, t)] = min(s, t)
-                            out.append((digest[p], digest[q]))
+                            out.append((digest[p], digest[q], 0.0))
+            if len(table) > 2 * window:  # the ends of a range are left out: nothing is promised there
+                chance = _log_miss(order, table.column("key").to_numpy(), window, same)
+                out += zip(digest[window:-window], [None] * len(chance), chance.tolist(), strict=True)
             if out:
-                u, v = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["a", "b"])
-            held = table.slice(max(0, len(table) - window))
+                u, v, w = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array(w, pa.float64())], ["a", "b", "chance"])
+            held = table.slice(max(0, len(table) - 2 * window))
 
     return run
 
@@ -137,8 +202,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, window: int = WINDOW,
     """Links vectors with a cosine of ``least`` or more, in double precision.
 
     One row per input row: vec_id, n_links (other vectors linked directly), component_id (smallest vec_id
-    reachable, itself included), kept (vec_id = component_id). A pair at the threshold is missed with
-    probability ``miss`` where vectors are spread evenly; nothing below the threshold is linked.
+    reachable, itself included), kept (vec_id = component_id). Passes go on for every vector until, by the density
+    measured around it, a pair at the threshold is missed with probability ``miss`` at most; nothing below the
+    threshold is linked.
     Equal directions are one class and count as often as they occur. Counting a component of m classes
     takes m * m / BLOCK rows: exact counts of a group's links are quadratic by nature.
 
@@ -151,16 +217,27 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, window: int = WINDOW,
     all_ = stored(base.mapInArrow(_units, "vec_id long, digest binary, unit binary"), "units")
     cls = stored(all_.where("digest is not null").groupBy("digest").agg(F.any_value("unit").alias("unit"), F.count("*").alias("copies"), F.min("vec_id").alias("least")), "classes")
     count = cls.count()
-    depth = max(0.0, math.log2(max(count, 1) / window)) + 1
-    same = (1 - math.acos(least) / math.pi) ** depth
-    passes = max(1, math.ceil(math.log(miss) / math.log1p(-same)))
-    edges = None
-    for p in range(0, passes, AT_ONCE):
-        keyed = cls.mapInArrow(_keyed(list(range(p, min(passes, p + AT_ONCE))), seed), "pass int, size int, key long, digest binary, unit binary")
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-        found = keyed.repartitionByRange(parts, "pass", "size", "key", "digest").sortWithinPartitions("pass", "size", "key", "digest").mapInArrow(_trees(window, least), "a binary, b binary")
+    same, enough, passes, left = 1 - math.acos(least) / math.pi, math.log(miss), 0, count
+    edges = spark.createDataFrame([], "a binary, b binary")
+    size = F.octet_length("unit").alias("size")
+    state = cls.select("digest", F.lit(0.0).alias("chance"))
+    while left:
+        rest = cls.select("digest", "unit") if left == count else cls.select("digest", "unit").join(state, "digest", "left_semi")
+        keyed = rest.mapInArrow(_keyed(list(range(passes, passes + AT_ONCE)), seed), "pass int, size int, key long, digest binary, unit binary")
+        parts = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), left * AT_ONCE // 4096), 1)
+        found = keyed.repartitionByRange(parts, "pass", "size", "key", "digest").sortWithinPartitions("pass", "size", "key", "digest").mapInArrow(_trees(window, least, same), "a binary, b binary, chance double")
         found = stored(found, "edges")
-        edges = found if edges is None else edges.unionByName(found)
+        passes += AT_ONCE
+        edges = edges.unionByName(found.where("b is not null").select("a", "b"))
+        gained = found.where("b is null").groupBy("a").agg(F.sum("chance").alias("gained"))
+        state = stored(state.join(gained, F.col("digest") == F.col("a"), "left").select("digest", (F.col("chance") + F.coalesce("gained", F.lit(0.0))).alias("chance")).where(F.col("chance") > enough), "open")
+        left, got = state.agg(F.count("*"), F.avg("chance")).first()
+        if left and left <= max(4 * PAIRS, 1024 * (passes * (enough / min(got, -1e-9) - 1))):  # passes to come at this pace, a thousand comparisons' time each
+            blocks = math.ceil(left / PAIRS)
+            rest = cls.join(state, "digest", "left_semi").select("digest", "unit", size, F.pmod(F.xxhash64("digest"), F.lit(blocks)).cast("int").alias("block"))
+            pair = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("digest", "unit", "size", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
+            edges = edges.unionByName(stored(pair.groupBy("size", "first", "second").applyInArrow(_all_pairs(least), "a binary, b binary"), "edges"))
+            left = 0
     label = components(edges)
     sized = label.groupBy("root").agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     member = label.join(sized, "root").join(cls, F.col("node") == F.col("digest")).select("root", "digest", "unit", "copies", "blocks", F.pmod(F.xxhash64("digest"), "blocks").cast("int").alias("block"))

@@ -376,6 +376,29 @@ def test_vectors(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_in_a_dense_region(spark):
+    """A third of all vectors at mutual cosines about 0.88, with planted pairs at 0.955 among them, against all pairs."""
+    r = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    dims, dense, even, planted = 64, 6000, 12000, 300
+    centre = unit(r.normal(size=dims))
+    hot = unit(math.sqrt(0.88) * centre + math.sqrt(0.12) * unit(r.normal(size=(dense, dims))))
+    aside = r.normal(size=(planted, dims))
+    aside = unit(aside - (aside * hot[:planted]).sum(axis=1, keepdims=True) * hot[:planted])
+    x = np.concatenate([hot, 0.955 * hot[:planted] + math.sqrt(1 - 0.955**2) * aside, unit(r.normal(size=(even, dims)))])
+    near = np.concatenate([x[i : i + 1000] @ x.T >= 0.95 for i in range(0, len(x), 1000)])
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {v.vec_id: v.n_links for v in vectors.near_vectors(df).collect()}
+    assert near.sum() >= 2 * planted and [got[i] for i in range(len(x))] == near.sum(axis=1).tolist()
+
+
+def test_shared_bits_of_vector_keys():
+    keys = np.sort(np.random.default_rng(1).integers(-(2**63), 2**63, 3000))
+    want = [64 - (int(a) ^ int(b)).bit_length() if (a < 0) == (b < 0) else 0 for a, b in zip(keys[:-64], keys[64:])]
+    assert vectors._shared(keys[:-64], keys[64:]).tolist() == want and vectors._shared(keys[:1], keys[:1]).tolist() == [64]
+
+
 def test_quality_on_texts_held_out(spark):
     r = random.Random(9)
     prose = lambda n: " ".join("".join(r.choice(["er", "an", "th", "in", "on", "es"]) for _ in range(r.randint(1, 4))) for _ in range(n))
