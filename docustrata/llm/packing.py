@@ -139,7 +139,7 @@ def _tokens(path: str, end: int):
     return run
 
 
-#: Sources beyond this number share queues by hash: a task must know all queues' lengths.
+#: Up to this number of sources every task knows all queues' lengths; beyond it, units are sorted by the times they are due.
 QUEUES = 256
 
 
@@ -250,6 +250,75 @@ def _cut(window: int, quantum: int):
     return run
 
 
+def _parts(window: int, quantum: int, over: int, rests: int, first: int):
+    """Pieces of each document by unit; those behind their queue's units have their place in the tail, which begins at sequence ``first``."""
+
+    def run(batches):
+        for batch in batches:
+            out: list[tuple[int, ...]] = []
+            ids = batch.column("ids")
+            for i, (at, n, units, rest_at) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("at", "n", "units", "rest_at")), strict=True)):
+                data, pos = np.frombuffer(ids[i].as_buffer(), "<u2").astype("<u4").tobytes(), 0
+                while pos < n:
+                    unit, inside = divmod(at + pos, quantum)
+                    room, seq, to = quantum - inside, -1, inside
+                    if unit >= units:
+                        seq, to, size = _tail(over + rest_at + at + pos - units * quantum, over + rests, window)
+                        seq, room = seq + first, min(room, size - to)
+                    take = min(room, n - pos)
+                    out.append((i, pos, take, zlib.crc32(data[4 * pos : 4 * (pos + take)]), n, seq, to, unit))
+                    pos += take
+            cols = np.array(out, np.int64).reshape(-1, 8)
+            at = pa.array(cols[:, 0])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(at), batch.column("queue").take(at), *(pa.array(np.ascontiguousarray(cols[:, j])) for j in range(1, 8))],
+                ["doc_id", "queue", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "unit"],
+            )
+
+    return run
+
+
+def _pack_sorted(tokens: DataFrame, sums: DataFrame, window: int, quantum: int, targets: dict[str, float] | None) -> DataFrame:
+    """The pieces for any number of queues: a unit's slot is its place in the order of (due time, queue), counted over sorted ranges."""
+    spark, per = tokens.sparkSession, window // quantum
+    queues = sums.groupBy("queue").agg(F.sum("tokens").alias("tokens")).withColumn("units", F.expr(f"tokens div {quantum}")).withColumn("rest", F.col("tokens") % quantum)
+    if targets is None:
+        queues = queues.withColumn("weight", F.col("units"))
+    else:
+        weights = spark.createDataFrame([(f"={k}", round(1e6 * v)) for k, v in targets.items()], "queue string, weight long")
+        queues = queues.join(weights, "queue", "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
+    queues = stored(queues.withColumn("rest_at", F.coalesce(F.sum("rest").over(Window.orderBy("queue").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))), "queues")
+    every, rests = (int(x or 0) for x in queues.agg(F.sum("units"), F.sum("rest")).first())
+    left = every // per * per
+    over = (every - left) * quantum
+    # units in two steps: no array is longer than a queue's 4096th part, or than 4096
+    low = queues.where("units > 0").withColumn("low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("units") - 1, F.lit(4096).cast("long")))).repartition(max(32, every >> 17), "queue", "low")
+    unit = low.withColumn("unit", F.explode(F.sequence("low", F.least(F.col("low") + 4095, F.col("units") - 1))))
+    due = (2 * F.col("unit") + 1) / F.when(F.col("weight") > 0, F.col("weight")).otherwise(F.col("units"))
+    order = ["late", "due", "queue", "unit"]
+    unit = unit.select("queue", "unit", (F.col("weight") <= 0).alias("late"), due.alias("due")).repartitionByRange(max(32, every >> 17), *order).sortWithinPartitions(*order)
+    unit = stored(unit.select("queue", "unit", F.monotonically_increasing_id().alias("k")), "due")
+    part, inside = F.shiftright("k", 33).alias("part"), F.col("k").bitwiseAND((1 << 33) - 1)
+    counts = unit.groupBy(part).agg(F.count("*").alias("many"))
+    begin = counts.select("part", F.coalesce(F.sum("many").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("begin"))
+    slot = unit.select("queue", "unit", part, inside.alias("inside")).join(F.broadcast(begin), "part").select("queue", "unit", (F.col("begin") + F.col("inside")).alias("slot"))
+    before = Window.partitionBy("queue").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks_at = sums.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0))).drop("tokens").join(queues.select("queue", "units", "rest_at"), "queue")
+    within = Window.partitionBy("queue", "block").orderBy("doc_id", "n").rowsBetween(Window.unboundedPreceding, -1)
+    placed = tokens.withColumn("at", F.coalesce(F.sum("n").over(within), F.lit(0))).join(blocks_at, ["queue", "block"]).select("doc_id", "queue", "ids", "n", (F.col("at") + F.col("base")).alias("at"), "units", "rest_at")
+    pieces = placed.mapInArrow(_parts(window, quantum, over, rests, left // per), "doc_id long, queue string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, unit long")
+    # of the slots behind the whole windows, fewer than a window's, each has its place in the tail
+    tail = [_tail((s - left) * quantum, over + rests, window)[:2] for s in range(left, every)]
+    places = F.array(*(F.array(F.lit(q + left // per), F.lit(o)) for q, o in tail)) if tail else F.lit(None).cast("array<array<int>>")
+    behind = lambda i: F.get(F.get(places, (F.col("slot") - left).cast("int")), F.lit(i)).cast("long")
+    done, whole = F.col("sequence_id") >= 0, F.col("slot") < left
+    return pieces.join(slot, ["queue", "unit"], "left").select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens",
+        F.when(done, F.col("sequence_id")).when(whole, F.expr(f"slot div {per}")).otherwise(behind(0)).alias("sequence_id"),
+        F.when(done, F.col("offset")).when(whole, F.col("slot") % per * quantum + F.col("offset")).otherwise(behind(1) + F.col("offset")).alias("offset"),
+    )
+
+
 def pack(docs: DataFrame, path: str, end: int, window: int = 4096, quantum: int = 512, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Packs the ids of every whole text, then ``end``, into sequences of ``window`` tokens.
 
@@ -268,9 +337,8 @@ def pack(docs: DataFrame, path: str, end: int, window: int = 4096, quantum: int
     base = base.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)))
     tokens = stored(base.mapInArrow(_tokens(path, end), "doc_id long, source string, block long, ids binary, n long"), "tokens").withColumnRenamed("source", "queue")
     sums = stored(tokens.groupBy("queue", "block").agg(F.sum("n").alias("tokens")), "sums")
-    if sums.select("queue").distinct().count() > QUEUES and targets is None:
-        shared = F.concat(F.lit("#"), F.pmod(F.xxhash64("queue"), F.lit(QUEUES)))
-        tokens, sums = tokens.withColumn("queue", shared), sums.withColumn("queue", shared).groupBy("queue", "block").agg(F.sum("tokens").alias("tokens"))
+    if sums.select("queue").distinct().count() > QUEUES:
+        return _pack_sorted(tokens, sums, window, quantum, targets)
     claims = sums.groupBy("queue").agg(F.sum("tokens").alias("tokens")).coalesce(1).mapInPandas(_claims(quantum, targets), "queue string, claims array<long>")
     before = Window.partitionBy("queue").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks_at = sums.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0))).drop("tokens").join(claims, "queue")

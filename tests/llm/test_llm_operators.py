@@ -220,6 +220,18 @@ def test_packing_slots():
             assert abs(s * u / sum(units) - n) <= 2
 
 
+@pytest.mark.parametrize("targets", [None, {"s0": 0.7, "s1": 0.2, "s299": 0.1}])
+def test_packing_of_many_sources(spark, monkeypatch, targets):
+    """More sources than tasks can know get the same places as with all queues known, each source its own queue."""
+    r = random.Random(6)
+    rows = [(i, " ".join(r.choice(WORDS) for _ in range(r.randint(1, 150))), f"s{i % 300}") for i in range(600)] + [(i, "the of and " * 60, "s0") for i in range(600, 700)]
+    df, path = spark.createDataFrame(rows, "doc_id long, text string, source string"), public_tokenizers.path("word_bpe_49k.json")
+    run = lambda: sorted(map(tuple, packing.pack(df, path, 2, window=256, quantum=32, targets=targets).collect()))
+    got = run()
+    monkeypatch.setattr(packing, "QUEUES", 1000)
+    assert got == run() and len(got) > 1000
+
+
 SECRETS = [
     "password=abcdefghijkl",
     'API_KEY": "AAAA.bbbb-cccc/dd==" x',
