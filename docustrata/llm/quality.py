@@ -68,6 +68,7 @@ class Ordinal:
     weights: np.ndarray
     thresholds: np.ndarray
     accuracy: float = float("nan")
+    fitted: bool = True  # without any rated text it is not, and rejects nothing
 
     def above(self, row: np.ndarray, feature: np.ndarray, rows: int) -> np.ndarray:
         """P(grade > k) by row and threshold."""
@@ -82,7 +83,7 @@ def _sparse(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def fit_arrays(x: list[np.ndarray], y: np.ndarray, grades: int, epochs: int = 60, rate: float = 0.1, penalty: float = 1e-5, least: int = 6, screen: float = 3.0, most: int = 256, seed: int = 3) -> Ordinal:
     """Maximum likelihood by Adam. Features in fewer than ``least`` texts, or that part no grade from those over it by ``screen`` standard errors, get no weight, nor do any but the ``most`` telling ones. Every HELD_OUT-th text measures the accuracy and is not fitted."""
     w, steps = np.zeros(DIMENSIONS), np.zeros(grades - 1)  # thresholds: first, then logs of the gaps
-    model = Ordinal(w, np.zeros(grades - 1))
+    model = Ordinal(w, np.zeros(grades - 1), fitted=False)
     n = len(x)
     if not n:
         return model
@@ -162,7 +163,7 @@ def _graded(model: Ordinal, cut: float):
                 above = model.above(*features(data, offsets), b - a)
                 top = above[:, -1]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(above.sum(axis=1).round(6)), pa.array(top.round(6)), pa.array(top >= cut), *(batch.column(c).slice(a, b - a) for c in batch.schema.names)],
+                    [pa.array(above.sum(axis=1).round(6)), pa.array(top.round(6)), pa.array((top >= cut) | (not model.fitted)), *(batch.column(c).slice(a, b - a) for c in batch.schema.names)],
                     ["_grade", "_tail", "_kept", *batch.schema.names],
                 )
 

@@ -432,3 +432,9 @@ def test_quality_on_texts_held_out(spark):
     assert 700 in got and 701 in got and len(got) == len(rows)
     none = quality.fit(df, rated.limit(0), 3)
     assert quality.grade(empty(spark), none).count() == 0 and quality.grade(df, none).count() == len(rows)
+
+
+def test_quality_without_ratings_keeps_every_row(spark):
+    df = table(spark, [(1, "some words"), (2, None), (None, "")])
+    none = quality.fit(df, spark.createDataFrame([], "doc_id long, grade int"), 3)
+    assert [(r.kept, r.tail_probability) for r in quality.grade(df, none).collect()] == [(True, 0.5)] * 3
