@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -42,7 +43,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def texts(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def texts(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cuts a text column into runs of rows of about ``limit`` bytes (one row at least).
 
     Yields (first row, end row, bytes, offsets), a null text being empty.
@@ -62,6 +63,17 @@ def texts(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 21) -> Iterator[
         at = to
 
 
+def runs(column: pa.Array, most: int = 1 << 20):
+    """(first row, end row, values) of a text or binary column, about ``most`` bytes and one row at least."""
+    size = np.asarray(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), np.int64)
+    end, at = np.cumsum(size), 0
+    while at < len(size):
+        done = int(end[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(end, done + most, "right")))
+        yield at, to, column.slice(at, to - at).to_pylist()
+        at = to
+
+
 class Words:
     """The words of a run of rows: their byte spans, 64-bit hashes and, by row, where they begin."""
 
