@@ -12,15 +12,15 @@ from collections.abc import Callable, Iterable
 import regex
 
 _CHUNK = regex.compile(r" ?\S+|\s+(?!\S)|\s+")
-#: Distinct chunks a worker remembers before it starts anew; bounds its memory, not what is encoded.
-REMEMBERED = 500_000
+#: Bytes of chunks and values a worker remembers before it starts anew, an entry counting ENTRY besides its text; bounds its memory, not what is encoded.
+REMEMBERED, ENTRY = 96 << 20, 200
 
 
 class Chunks:
     """Remembers what ``encode`` (a list of strings to a list of values) gave for each chunk."""
 
     def __init__(self, encode: Callable[[list[str]], list], remembered: int = REMEMBERED):
-        self.encode, self.remembered, self.known = encode, remembered, {}
+        self.encode, self.remembered, self.held, self.known = encode, remembered, 0, {}
 
     def values(self, texts: list[str]) -> Iterable[list]:
         """For each text, the values of its chunks, in order."""
@@ -32,11 +32,13 @@ class Chunks:
         for parts in cut:
             keys.update(parts)
         known = self.known
-        if len(known) > self.remembered:
+        if self.held > self.remembered:
             known.clear()
+            self.held = 0
         odd = {k for k in keys if not k or (k[0].isspace() and k not in known)}
         new = [k for k in keys if k not in known and k not in odd]
         known.update(zip(new, self.encode([" " + k for k in new]), strict=True))
+        self.held += ENTRY * len(new) + sum(map(len, new))
         for t, parts in zip(texts, cut, strict=True):
             if odd and not odd.isdisjoint(parts):
                 yield self._by_pattern(t)
@@ -52,4 +54,5 @@ class Chunks:
         new = [c for c in dict.fromkeys(chunks) if (c, 0) not in known]
         if new:
             known.update(zip(((c, 0) for c in new), self.encode(new), strict=True))
+            self.held += ENTRY * len(new) + sum(map(len, new))
         return [known[c, 0] for c in chunks]

@@ -27,8 +27,8 @@ from .words import Words, mix, texts
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _M64 = (1 << 64) - 1
-#: Bits of the bitmap of a set.
-BITS = 1024
+#: Bits of the bitmap of a set; classes of a bucket that one task compares with others of the bucket.
+BITS, BLOCK = 1024, 4096
 
 
 def _shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -186,7 +186,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     full = sig.where("n_shingles > 0")
     least = full.groupBy("digest").agg(F.min("doc_id").alias("i")).withColumnRenamed("digest", "d")
     # of each class the row with the smallest id; rows may repeat, so once more by digest
-    own = full.join(least.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")), "left_semi")
+    own = full.join(least, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")), "left_semi")
     cls = stored(own.groupBy("digest").agg(*(F.any_value(c).alias(c) for c in ("n_shingles", "bands", "bits", "signs"))), "classes")
     bits = cls.select("digest", F.col("n_shingles").alias("n"), "bits")
     posts = cls.select("digest", F.explode("bands").alias("band"))
@@ -201,17 +201,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     # classes that are not in the component of their bucket's smallest, against all of the bucket
     named = met.join(label.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     named = named.join(label.select(F.col("node").alias("head"), F.col("root").alias("head_root")), "head", "left").withColumn("major", F.col("root") == F.coalesce("head_root", "head"))
-    mixed = named.where("not major").select("band").distinct()
+    mixed = named.groupBy("band").agg(F.bool_or(~F.col("major")).alias("mixed"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("mixed").drop("mixed")
     words_ = -(-bands * rows // 64)
     wide = cls.select("digest", F.col("n_shingles").alias("n"), "bits", "bands", *(F.get("signs", F.lit(i)).alias(f"s{i}") for i in range(words_)))
-    apart = stored(named.join(mixed, "band", "left_semi").join(wide, "digest").select("band", "digest", "root", "major", "n", "bits", "bands", *(f"s{i}" for i in range(words_))), "apart")
-    left = apart.where("not major").select("band", F.col("digest").alias("a"), F.col("root").alias("p"), "n", F.col("bits").alias("x"), F.col("bands").alias("u"), *(F.col(f"s{i}").alias(f"g{i}") for i in range(words_)))
-    right = apart.select(F.col("band").alias("band2"), F.col("digest").alias("b"), F.col("root").alias("q"), F.col("n").alias("m"), F.col("bits").alias("y"), F.col("bands").alias("v"), "major", *(f"s{i}" for i in range(words_)))
+    apart = stored(named.join(mixed, "band").join(wide, "digest").select("band", "blocks", "digest", "root", "major", "n", "bits", "bands", *(f"s{i}" for i in range(words_))), "apart")
+    # a bucket is dealt in blocks, and its classes that are apart meet each of them: no task has all pairs of a large bucket
+    left = apart.where("not major").select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("digest").alias("a"), F.col("root").alias("p"), "n", F.col("bits").alias("x"), F.col("bands").alias("u"), *(F.col(f"s{i}").alias(f"g{i}") for i in range(words_)))
+    right = apart.select(F.col("band").alias("band2"), F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int").alias("block2"), F.col("digest").alias("b"), F.col("root").alias("q"), F.col("n").alias("m"), F.col("bits").alias("y"), F.col("bands").alias("v"), "major", *(f"s{i}" for i in range(words_)))
     # cheap tests first; a pair is taken in the first band that it shares
     first = F.get(F.filter(F.zip_with("u", "v", lambda c, d: F.when(c == d, c)), lambda c: c.isNotNull()), F.lit(0)) == F.col("band")
     n, m = F.col("n"), F.col("m")
     same = _signs_agree([F.col(f"g{i}") for i in range(words_)], [F.col(f"s{i}") for i in range(words_)], bands * rows, percent)
-    rest = left.join(right, (F.col("band") == F.col("band2")) & (F.col("p") != F.col("q")) & (F.col("major") | (F.col("a") > F.col("b"))) & _sized(n, m, percent) & same & first & _may_link(n, m, F.col("x"), F.col("y"), percent))
+    rest = left.join(right, (F.col("band") == F.col("band2")) & (F.col("block") == F.col("block2")) & (F.col("p") != F.col("q")) & (F.col("major") | (F.col("a") > F.col("b"))) & _sized(n, m, percent) & same & first & _may_link(n, m, F.col("x"), F.col("y"), percent))
     rest = stored(rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "rest")
     more = _verified(base, sig, rest, words, percent)
     label = components(stored(links.unionByName(more), "links"))
@@ -227,7 +228,7 @@ def _verified(base: DataFrame, sig: DataFrame, pairs: DataFrame, words: int, per
     """The pairs (a, b) of digests whose full sets are similar enough."""
     wanted = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
     ids = sig.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("i")).select("i").distinct()
-    sets = base.join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("i")), "left_semi").select("text").mapInArrow(_full_sets(words), "digest binary, members binary")
+    sets = base.join(ids, F.col("doc_id").eqNullSafe(F.col("i")), "left_semi").select("text").mapInArrow(_full_sets(words), "digest binary, members binary")
     sets = stored(sets.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.any_value("members").alias("members")), "sets")
     left = sets.select(F.col("digest").alias("a"), F.col("members").alias("x"))
     right = sets.select(F.col("digest").alias("b"), F.col("members").alias("y"))

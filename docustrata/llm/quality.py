@@ -145,26 +145,28 @@ def _features_of(batches):
 def fit(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade") -> Ordinal:
     """Fits on the ``sample`` rated texts with the smallest hashed ids; ratings that are null or out of 0..grades-1 are left out.
 
-    The sample's ids are broadcast: ``sample`` bounds them, whatever the size of the tables. With no rated text every
+    Rows that repeat an id, and ratings that repeat one with the same grade, count once. The sample's ids are broadcast: ``sample`` bounds them, whatever the size of the tables. With no rated text every
     grade is as likely as any, and nothing is rejected for lack of evidence (all scores are one half).
     """
     grade = F.col(grade_col).cast("int")
     rated = ratings.select(F.col(id_col).cast("long").alias("k"), grade.alias("grade")).where(F.col("k").isNotNull() & F.col("grade").between(0, grades - 1)).orderBy(F.xxhash64("k"), "k", "grade").limit(sample)
     base = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("text"))
-    got = base.join(F.broadcast(rated), "k").mapInArrow(_features_of, "k long, grade int, features binary").toArrow().sort_by([("k", "ascending"), ("grade", "ascending")])
+    found = base.join(F.broadcast(rated), "k").mapInArrow(_features_of, "k long, grade int, features binary")
+    # rows that repeat a rated id count once, by the least of their features: the driver gets ``sample`` rows at most
+    got = found.groupBy("k", "grade").agg(F.min("features").alias("features")).toArrow().sort_by([("k", "ascending"), ("grade", "ascending")])
     x = [np.frombuffer(b.as_buffer(), "<i4").astype(np.int64) for b in got.column("features")]
     return fit_arrays(x, got.column("grade").to_numpy().astype(np.int64), grades)
 
 
-def _graded(model: Ordinal, cut: float):
+def _graded(model: Ordinal, cut: float, kept: list[str]):
     def run(batches):
         for batch in batches:
             for a, b, data, offsets in texts(batch.column("text")):
                 above = model.above(*features(data, offsets), b - a)
                 top = above[:, -1]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(above.sum(axis=1).round(6)), pa.array(top.round(6)), pa.array((top >= cut) | (not model.fitted)), *(batch.column(c).slice(a, b - a) for c in batch.schema.names)],
-                    ["_grade", "_tail", "_kept", *batch.schema.names],
+                    [pa.array(above.sum(axis=1).round(6)), pa.array(top.round(6)), pa.array((top >= cut) | (not model.fitted)), *(batch.column(c).slice(a, b - a) for c in kept)],
+                    ["_grade", "_tail", "_kept", *kept],
                 )
 
     return run
@@ -177,10 +179,12 @@ def grade(docs: DataFrame, model: Ordinal, cut: float = 0.7, id_col: str = "doc_
     repeated rows and null ids are ordinary rows; other columns are ignored; an empty table gives an
     empty result.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"_keep_{c}") for c in keep))
-    schema = "_grade double, _tail double, _kept boolean, doc_id long, text string" + "".join(f", `_keep_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    out = base.mapInArrow(_graded(model, cut), schema)
-    return out.select("doc_id", F.col("_grade").alias("expected_grade"), F.col("_tail").alias("tail_probability"), F.col("_kept").alias("kept"), *(F.col(f"_keep_{c}").alias(c) for c in keep))
+    own = {c: "text" if c == text_col else f"_keep_{c}" for c in keep}  # a text that is kept goes to the task once
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(n) for c, n in own.items() if n != "text"))
+    sent = ["doc_id", *own.values()]
+    schema = "_grade double, _tail double, _kept boolean, doc_id long" + "".join(f", `{n}` {docs.schema[c].dataType.simpleString()}" for c, n in own.items())
+    out = base.mapInArrow(_graded(model, cut, sent), schema)
+    return out.select("doc_id", F.col("_grade").alias("expected_grade"), F.col("_tail").alias("tail_probability"), F.col("_kept").alias("kept"), *(F.col(n).alias(c) for c, n in own.items()))
 
 
 def corpus_ratings(labels: DataFrame) -> DataFrame:

@@ -4,17 +4,45 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; only where that is unset (tests), under a local temporary folder."""
+    """A new path under the checkpoint folder (``spark.checkpoint.dir``, or what ``setCheckpointDir`` set).
+
+    Only a session in one process (``local[...]``, as in tests) may go without: a temporary folder serves there. On a
+    cluster every executor would write to its own disk, so that is an error.
+    """
     top = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_docustrata_scratch", None)
+    if not top and (own := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        top = own.get()
     if not top:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = spark._docustrata_scratch = tempfile.mkdtemp(prefix="docustrata-")
-    return f"{top.rstrip('/')}/docustrata/{name}-{uuid.uuid4().hex}"
+    path = f"{top.rstrip('/')}/docustrata/{name}-{uuid.uuid4().hex}"
+    if _written:
+        _written[-1].append(path)
+    return path
+
+
+_written: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes at its end the tables that operators store inside it. Results are lazy: write them within."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        for path in _written.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -27,6 +27,8 @@ from .words import Words, covered, texts
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start:long,end:long>>, kept_sha256 string"
 #: Hash pairs merged at a time by a task that counts, bytes of text per group, and pairs held by a task that hashes.
 RANGE_PAIRS, GROUP_BYTES, RUN_PAIRS = 1 << 20, 12 << 20, 3 << 20
+#: Tasks of one job, at most; ranges and groups beyond it follow one another in a task.
+MOST_TASKS = 1 << 16
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -159,9 +161,10 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     ranges = max(64, size // 6 // RANGE_PAIRS)
     dealt = base.withColumn("group", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
     runs = dealt.select("text", "group").mapInArrow(_window_runs(window, ranges), "range int, hashes binary, groups binary")
-    back = stored(runs.repartition(min(ranges, 4096), "range").groupBy("range").applyInArrow(_repeated, "group int, hashes binary"), "repeats")
+    back = stored(runs.repartition(min(ranges, MOST_TASKS), "range").groupBy("range").applyInArrow(_repeated, "group int, hashes binary"), "repeats")
     schema = SCHEMA + "".join(f", `_keep_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    out = dealt.groupBy("group").cogroup(back.groupBy("group")).applyInArrow(_removal(window, with_text), schema)
+    tasks = min(max(16, groups // 4), MOST_TASKS)  # four groups each, whatever the session's number of partitions
+    out = dealt.repartition(tasks, "group").groupBy("group").cogroup(back.repartition(tasks, "group").groupBy("group")).applyInArrow(_removal(window, with_text), schema)
     return out.withColumnsRenamed({f"_keep_{c}": f"{c}" for c in keep if c not in ("doc_id",)})
 
 

@@ -24,29 +24,42 @@ from .session import components, stored
 WINDOW, MISS, AT_ONCE, BLOCK, PAIRS = 64, 1e-4, 8, 512, 2048
 
 
-def _units(batches):
-    """Unit vectors as doubles, and a digest of each; null where a vector links with nothing."""
-    for batch in batches:
-        digest, unit = [], []
-        column = batch.column("embedding")
-        for i in range(len(column)):
-            x, got = column[i].as_py(), (None, None)
-            if x and None not in x:
-                v = np.array(x, np.float64)
-                if np.isfinite(v).all() and (top := np.abs(v).max()) > 0:
-                    v = v / top
-                    v = v / math.sqrt(float(v @ v))
-                    got = hashlib.blake2b(v.tobytes(), digest_size=16).digest(), v.tobytes()
-            digest.append(got[0])
-            unit.append(got[1])
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(digest, pa.binary()), pa.array(unit, pa.binary())], ["vec_id", "digest", "unit"])
-
-
-def _matrix(column) -> np.ndarray:
-    return np.stack([np.frombuffer(x.as_buffer(), np.float64) for x in column])
-
-
-def _keyed(passes: list[int], seed: int):
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def _units(kind: str):
+    """Vectors as bytes of ``kind``, as they are, and a digest of each one's direction; null where a vector links with nothing."""
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column("embedding")
+            n = len(column)
+            digest, unit = np.full(n, None, object), np.full(n, None, object)
+            offsets = column.offsets.to_numpy()
+            flat = column.values.to_numpy(zero_copy_only=False)  # null components become NaN
+            size = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(offsets), 0)
+            for d in np.unique(size[size > 0]):
+                rows = np.flatnonzero(size == d)
+                x = flat[offsets[rows][:, None] + np.arange(d)]
+                good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+                rows, x = rows[good], x[good]
+                if len(rows):
+                    digest[rows] = [hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in _unit(x)]
+                    unit[rows] = [v.tobytes() for v in x.astype(kind)]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(digest, pa.binary()), pa.array(unit, pa.binary())], ["vec_id", "digest", "unit"])
+
+    return run
+
+
+def _matrix(column, kind: str) -> np.ndarray:
+    """Unit vectors as doubles."""
+    return _unit(np.stack([np.frombuffer(x.as_buffer(), kind) for x in column]))
+
+
+def _keyed(passes: list[int], seed: int, kind: str):
     """One row per vector and pass, with its sort key."""
 
     def run(batches):
@@ -55,7 +68,7 @@ def _keyed(passes: list[int], seed: int):
             size = np.array([len(x.as_buffer()) for x in batch.column("unit")])
             for n in np.unique(size):
                 part = batch.filter(pa.array(size == n))
-                x = _matrix(part.column("unit"))
+                x = _matrix(part.column("unit"), kind)
                 for p in passes:
                     if (p, n) not in planes:
                         planes[p, n] = np.random.default_rng([seed, p, int(n)]).normal(size=(x.shape[1], 64))
@@ -104,7 +117,7 @@ def _forest(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _all_pairs(least: float):
+def _all_pairs(least: float, kind: str):
     """Edges of a spanning forest of the verified pairs between two blocks."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -113,7 +126,7 @@ def _all_pairs(least: float):
         digest = table.column("digest").to_pylist()
         i, j = np.flatnonzero(side == first), np.flatnonzero(side == second)
         if len(i) and len(j):
-            x = _matrix(table.column("unit"))
+            x = _matrix(table.column("unit"), kind)
             right = x[j].T
             near = np.concatenate([x[i[at : at + 256]] @ right >= least for at in range(0, len(i), 256)])
             if first[0] == second[0]:
@@ -126,7 +139,7 @@ def _all_pairs(least: float):
     return run
 
 
-def _trees(window: int, least: float, same: float):
+def _trees(window: int, least: float, same: float, kind: str):
     """Edges of a spanning forest of the verified pairs among neighbours in sort order; rows without b hold a vector's log chance of a miss."""
 
     def run(batches):
@@ -151,7 +164,7 @@ def _trees(window: int, least: float, same: float):
             out = []
             cuts = [0, *(np.flatnonzero((order[:, 1:] != order[:, :-1]).any(axis=0)) + 1), len(table)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                x = _matrix(table.column("unit").slice(a, b - a))
+                x = _matrix(table.column("unit").slice(a, b - a), kind)
                 for at in range(0, b - a, 256):
                     rows, ahead = x[at : at + 256], x[at : at + 256 + window]
                     i, j = np.nonzero(rows @ ahead.T >= least)
@@ -170,7 +183,7 @@ def _trees(window: int, least: float, same: float):
     return run
 
 
-def _degrees(least: float):
+def _degrees(least: float, kind: str):
     """Of one pair of blocks: how many other vectors each one links with."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -184,7 +197,7 @@ def _degrees(least: float):
         cuts = np.flatnonzero(np.concatenate([[True], root[order][1:] != root[order][:-1], [True]]))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             own = order[a:b]
-            x = _matrix(table.column("unit").take(pa.array(own)))
+            x = _matrix(table.column("unit").take(pa.array(own)), kind)
             i, j = side[own] == first[own], side[own] == second[own]
             near = x[i] @ x[j].T >= least
             if first[own[0]] == second[own[0]]:
@@ -213,8 +226,11 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, window: int = WINDOW,
     never the smallest. An empty table gives an empty result; other columns are ignored.
     """
     spark = vectors.sparkSession
-    base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
-    all_ = stored(base.mapInArrow(_units, "vec_id long, digest binary, unit binary"), "units")
+    # single-precision vectors travel as they are, half the bytes; they are made unit vectors in double precision wherever they are compared
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    kind = "<f4" if single else "<f8"
+    base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("embedding"))
+    all_ = stored(base.mapInArrow(_units(kind), "vec_id long, digest binary, unit binary"), "units")
     cls = stored(all_.where("digest is not null").groupBy("digest").agg(F.any_value("unit").alias("unit"), F.count("*").alias("copies"), F.min("vec_id").alias("least")), "classes")
     count = cls.count()
     same, enough, passes, left = 1 - math.acos(least) / math.pi, math.log(miss), 0, count
@@ -223,9 +239,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, window: int = WINDOW,
     state = cls.select("digest", F.lit(0.0).alias("chance"))
     while left:
         rest = cls.select("digest", "unit") if left == count else cls.select("digest", "unit").join(state, "digest", "left_semi")
-        keyed = rest.mapInArrow(_keyed(list(range(passes, passes + AT_ONCE)), seed), "pass int, size int, key long, digest binary, unit binary")
+        keyed = rest.mapInArrow(_keyed(list(range(passes, passes + AT_ONCE)), seed, kind), "pass int, size int, key long, digest binary, unit binary")
         parts = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), left * AT_ONCE // 4096), 1)
-        found = keyed.repartitionByRange(parts, "pass", "size", "key", "digest").sortWithinPartitions("pass", "size", "key", "digest").mapInArrow(_trees(window, least, same), "a binary, b binary, chance double")
+        found = keyed.repartitionByRange(parts, "pass", "size", "key", "digest").sortWithinPartitions("pass", "size", "key", "digest").mapInArrow(_trees(window, least, same, kind), "a binary, b binary, chance double")
         found = stored(found, "edges")
         passes += AT_ONCE
         edges = edges.unionByName(found.where("b is not null").select("a", "b"))
@@ -236,7 +252,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, window: int = WINDOW,
             blocks = math.ceil(left / PAIRS)
             rest = cls.join(state, "digest", "left_semi").select("digest", "unit", size, F.pmod(F.xxhash64("digest"), F.lit(blocks)).cast("int").alias("block"))
             pair = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("digest", "unit", "size", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
-            edges = edges.unionByName(stored(pair.groupBy("size", "first", "second").applyInArrow(_all_pairs(least), "a binary, b binary"), "edges"))
+            edges = edges.unionByName(stored(pair.groupBy("size", "first", "second").applyInArrow(_all_pairs(least, kind), "a binary, b binary"), "edges"))
             left = 0
     label = components(edges)
     sized = label.groupBy("root").agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
@@ -244,7 +260,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, window: int = WINDOW,
     pair = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other"))
     group = F.when(F.col("blocks") > 1, F.xxhash64("root", "first", "second")).otherwise(F.pmod(F.xxhash64("root"), F.lit(max(64, count // 4096))))
     pair = pair.withColumn("g", group).withColumn("many", F.col("blocks") > 1)
-    linked = pair.select("g", "many", "root", "digest", "unit", "copies", "block", "first", "second").groupBy("g", "many", "first", "second").applyInArrow(_degrees(least), "digest binary, n long")
+    linked = pair.select("g", "many", "root", "digest", "unit", "copies", "block", "first", "second").groupBy("g", "many", "first", "second").applyInArrow(_degrees(least, kind), "digest binary, n long")
     linked = linked.groupBy("digest").agg(F.sum("n").alias("others"))
     top = label.join(cls.select("digest", "least"), label.node == F.col("digest")).groupBy("root").agg(F.min("least").alias("smallest"))
     named = label.join(top, "root").select(F.col("node").alias("digest"), "smallest")
