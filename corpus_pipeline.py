@@ -21,30 +21,36 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of the top grade (good and not toxic) reaches the cut stay."""
+    """Documents whose probability of the top grade (good and not toxic) reaches the cut stay.
+
+    A null or empty text is graded by its shape; repeated rows are graded alike; with no ratings every document stays; an empty table stays empty.
+    """
     model = quality.fit(docs, quality.corpus_ratings(spark.read.parquet(f"{sf_dir}/labels.parquet")), 3)
     return quality.grade(docs, model, keep=("text", "lang", "source", "n_chars")).where("kept").select(COLUMNS)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8), the document with the smallest id stays."""
+    """Of each group of near duplicates (five-word shingles, similarity 0.8), the document with the smallest id stays.
+
+    Rows that repeat an id and a text stay or go together. A null or wordless text is near nothing and stays.
+    """
     gone = minhash.near_duplicates(docs, words=5, percent=80).where("not kept").select(F.col("doc_id").alias("i"), "text_hash").distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs.doc_id.eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("text_hash")), "left_anti").select(COLUMNS)
+    return docs.join(gone, docs.doc_id.eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("text_hash")), "left_anti").select(COLUMNS)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words under a repeated window of 35 words are cut out of the texts."""
+    """Words under a repeated window of 35 words are cut out of the texts; every document stays. A null text becomes empty."""
     cut = substrings.remove_repeats(docs, 35, keep=("lang", "source"))
     return _documents(cut.select("doc_id", F.col("kept_text").alias("text"), "lang", "source"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; every document stays."""
+    """Secrets, those of the fixed patterns and those that the network finds, are replaced by a mark; every document stays. A null text becomes empty."""
     return _documents(secrets.scan(docs, keep=("lang", "source")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 4096 tokens, sources in proportion."""
+    """Pieces of sequences of 4096 tokens, sources in proportion. A null or empty text is its end id alone; repeated rows are packed each."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 2)
 
 
