@@ -37,12 +37,16 @@ def normalize_guid(x: Column) -> Column:
     return F.when(found != "", F.concat(F.lit("{"), F.upper(found), F.lit("}")))
 
 
+#: What a caption is made of, and what is none though made of it. Fixed values.
+HUMAN = r"[A-Za-z0-9_ .'-]{2,80}"
+NOT_HUMAN = (r"^Forms\.", "Embedded Object", "Microsoft Forms", r"^Tahoma$", r"^0x[0-9a-f]+$", r"^\{[0-9A-F-]+\}$", "^'", r"^[-=]{5,}$", r"https?://", "copyright|permission is hereby")
+
+
 def is_human_label(x: Column) -> Column:
     """Whether a text looks like a caption someone wrote, not an identifier, rule line, licence or address."""
     plain = F.regexp_replace(x, rf"{SPACE}+\(.+\)\z", "")
-    deny = [r"^Forms\.", "Embedded Object", "Microsoft Forms", r"^Tahoma\z", r"^0x[0-9a-f]+\z", r"^\{[0-9A-F-]+\}\z", "^'", r"^[-=]{5,}\z", r"https?://", "copyright|permission is hereby"]
-    ok = F.rlike(plain, F.lit(r"^[A-Za-z0-9_ .'-]{2,80}\z"))
-    for pattern in deny:
+    ok = F.rlike(plain, F.lit(rf"\A{HUMAN}\z"))
+    for pattern in NOT_HUMAN:
         ok &= ~F.rlike(plain, F.lit(f"(?i){pattern}"))
     return ok
 

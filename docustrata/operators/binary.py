@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import struct
 
 import numpy as np
 import pyarrow as pa
@@ -11,18 +10,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binary import read_u16, read_u32, unsigned
-from ..functions.text import hex_pairs
+from . import pictures
 
 
-def entropy(rows: DataFrame, key: str, column: str) -> DataFrame:
-    """Shannon entropy of every row's bytes, in bits a byte; zero for null or empty.
+def _bits(data: np.ndarray) -> float:
+    n = np.bincount(data, minlength=256)
+    n = n[n > 0]
+    return float(np.log2(len(data)) - (n * np.log2(n)).sum() / len(data)) if len(data) else 0.0
+
+
+def _profiled(batches):
+    """Size, entropy and zero bytes of each content: a histogram of 256 counters a row, inside the task."""
+    for batch in batches:
+        key, column = batch.column(0), batch.column(1)
+        data = [np.frombuffer(x.as_buffer(), np.uint8) if x.is_valid else np.zeros(0, np.uint8) for x in column]
+        yield pa.RecordBatch.from_arrays([key, pa.array([len(d) for d in data], pa.int64()), pa.array([_bits(d) for d in data], pa.float64()), pa.array([int((d == 0).sum()) for d in data], pa.int64())], [batch.schema.names[0], "size", "entropy", "zero_bytes"])
+
 
-    The histogram is a grouped count, so it needs 256 counters a row and no task holds a stream's bytes twice.
-    """
-    each = rows.select(key, F.explode_outer(hex_pairs(F.col(column))).alias("byte"))
-    counts = each.groupBy(key, "byte").agg(F.count("byte").alias("n"))
-    sums = counts.groupBy(key).agg(F.sum("n").alias("t"), F.sum(F.when(F.col("n") > 0, F.col("n") * F.log2("n"))).alias("s"))
-    return sums.select(key, F.when(F.col("t") > 0, F.log2("t") - F.col("s") / F.col("t")).otherwise(F.lit(0.0)).alias("entropy"))
+def byte_profile(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """Size, Shannon entropy in bits a byte, and zero bytes of every row; zeros for null or empty. Text counts by its UTF-8 bytes."""
+    return rows.select(key, F.col(column).cast("binary").alias("content")).mapInArrow(_profiled, f"`{key}` {rows.schema[key].dataType.simpleString()}, size long, entropy double, zero_bytes long")
+
+
+def entropy(rows: DataFrame, key: str, column: str) -> DataFrame:
+    return byte_profile(rows, key, column).select(key, "entropy")
 
 
 def _scan(find, names: list[str], types: list[pa.DataType]):
@@ -72,57 +83,6 @@ def find_guids(data: bytes) -> list[tuple[int, str]]:
     return out
 
 
-#: How media begin.
-_STARTS = re.compile(rb"\x89PNG\r\n\x1a\n|\xff\xd8\xff|GIF8[79]a|BM|\x00\x00[\x01\x02]\x00|II\*\x00|MM\x00\*|\xd7\xcd\xc6\x9a|\x01\x00\x00\x00")
-
-
-def _media_at(data: bytes, at: int) -> tuple[str, str, int] | None:
-    """(extension, MIME type, length) of the media that begin at an offset."""
-    u16 = lambda o: struct.unpack_from("<H", data, at + o)[0] if at + o + 2 <= len(data) else 0
-    u32 = lambda o: struct.unpack_from("<I", data, at + o)[0] if at + o + 4 <= len(data) else 0
-    if data.startswith(b"\x89PNG\r\n\x1a\n", at):
-        end = data.find(b"IEND", at)
-        return ("png", "image/png", end + 8 - at) if 0 <= end <= len(data) - 8 else None
-    if data.startswith(b"\xff\xd8", at):
-        end = data.find(b"\xff\xd9", at + 2)
-        return ("jpg", "image/jpeg", end + 2 - at) if end >= 0 else None
-    if data[at : at + 6] in (b"GIF87a", b"GIF89a"):
-        end = data.find(b";", at + 13)
-        return ("gif", "image/gif", end + 1 - at) if end >= 0 else None
-    if data.startswith(b"BM", at):
-        return ("bmp", "image/bmp", u32(2)) if 26 < u32(2) <= len(data) - at and u32(10) < u32(2) else None
-    if data[at : at + 4] in (b"\0\0\1\0", b"\0\0\2\0"):
-        count, end = u16(4), 0
-        if not 0 < count < 64 or at + 6 + 16 * count > len(data):
-            return None
-        for i in range(count):
-            size, offset = u32(6 + 16 * i + 8), u32(6 + 16 * i + 12)
-            if not size or offset < 6 + 16 * count or at + offset + size > len(data):
-                return None
-            end = max(end, offset + size)
-        return ("ico", "image/x-icon", end) if u16(2) == 1 else ("cur", "image/x-cursor", end)
-    if data[at : at + 4] in (b"II*\0", b"MM\0*", b"\xd7\xcd\xc6\x9a"):
-        later = re.compile(rb"\x89PNG|\xff\xd8\xff|GIF8|BM").search(data, at + 4)
-        length = min(later.start() if later else len(data), at + 2_000_000) - at
-        return ("wmf", "image/wmf", length) if data[at] == 0xD7 else ("tif", "image/tiff", length)
-    if u32(0) == 1 and data[at + 40 : at + 44] == b" EMF":
-        return ("emf", "image/emf", u32(48)) if 88 <= u32(48) <= len(data) - at else None
-    return None
-
-
-def find_media(data: bytes) -> list[tuple[int, str, str, int, bytes]]:
-    """(offset, extension, MIME type, length, bytes) of media inside a stream, from the front, without overlaps."""
-    out, at = [], 0
-    while m := _STARTS.search(data, at):
-        at = m.start()
-        if got := _media_at(data, at):
-            out.append((at, *got, data[at : at + got[2]]))
-            at += max(1, got[2])
-        else:
-            at += 1
-    return out
-
-
 def strings(rows: DataFrame, key: str, column: str) -> DataFrame:
     return _each(rows, key, column, find_strings, "encoding string, offset long, value string", [pa.string(), pa.int64(), pa.string()])
 
@@ -132,10 +92,13 @@ def guids(rows: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def media(rows: DataFrame, key: str, column: str) -> DataFrame:
-    """Media in binary streams; equal bytes of one row are kept once, at their first place."""
-    found = _each(rows, key, column, find_media, "offset long, extension string, mime_type string, length long, bytes binary", [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()])
-    first = found.groupBy(key, F.sha2("bytes", 256).alias("digest"), "extension").agg(F.min_by(F.struct("offset", "mime_type", "length", "bytes"), "offset").alias("m"))
-    return first.select(key, "m.offset", "extension", "m.mime_type", "m.length", "m.bytes")
+    """Pictures in binary streams, in the order they are found: offset, extension, mime_type, length, bytes, place."""
+    return _each(rows, key, column, pictures.find_media, "offset long, extension string, mime_type string, length long, bytes binary, place string", [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()])
+
+
+def signatures(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """Pictures, their wrappers and compound files in binary streams: offset, label, detail."""
+    return _each(rows, key, column, pictures.find_signatures, "offset long, label string, detail string", [pa.int64(), pa.string(), pa.string()])
 
 
 # Bit -> property of a form's and of a site's property mask (public MS-OFORMS format).
@@ -157,9 +120,18 @@ def form_headers(rows: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def profiles(rows: DataFrame, key: str, column: str) -> DataFrame:
-    """Of each stream: size, entropy, numbers of strings, GUIDs and media."""
-    count = lambda found, name: found.groupBy(key).agg(F.count("*").alias(name))
-    out = rows.select(key, F.octet_length(column).cast("long").alias("size")).join(entropy(rows, key, column), key, "left")
-    for found, name in ((strings(rows, key, column), "n_strings"), (guids(rows, key, column), "n_guids"), (media(rows, key, column), "n_media")):
-        out = out.join(count(found, name), key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
-    return out
+    """Of each stream: size, entropy, zero_bytes, numbers of strings, GUIDs, signatures and pictures among these. One pass over its bytes, no shuffle."""
+
+    def counted(batches):
+        for batch in batches:
+            data = [x.as_py() or b"" for x in batch.column("content")]
+            raw = [np.frombuffer(d, np.uint8) for d in data]
+            seen = [pictures.find_signatures(d) for d in data]
+            picture = re.compile("image|bitmap|icon|cursor", re.I)
+            cols = [[len(d) for d in data], [_bits(d) for d in raw], [int((d == 0).sum()) for d in raw], [len(find_strings(d)) for d in data], [len(find_guids(d)) for d in data], [len(s) for s in seen], [sum(bool(picture.search(x[1])) for x in s) for s in seen]]
+            kinds = [pa.int64(), pa.float64(), *[pa.int64()] * 5]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], [batch.schema.names[0], *names])
+
+    names = ["size", "entropy", "zero_bytes", "n_strings", "n_guids", "n_signatures", "n_media"]
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, F.col(column).cast("binary").alias("content")).mapInArrow(counted, f"`{key}` {kind}, " + ", ".join(f"{n} {'double' if n == 'entropy' else 'long'}" for n in names))

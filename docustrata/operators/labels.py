@@ -5,10 +5,12 @@ Fixed values: class identifiers, program identifiers and colour numbers with the
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_guid
+from ..functions.text import HUMAN, NOT_HUMAN, normalize_guid
 
 GUIDS = {
     "{00020430-0000-0000-C000-000000000046}": "OLE Automation / stdole",
@@ -88,3 +90,24 @@ def with_label(x: Column) -> Column:
     """A program identifier, or a text with a known GUID, followed by its label in brackets; any other text as it is."""
     label = F.coalesce(prog_id_label(x), guid_label(normalize_guid(x)))
     return F.when(label.isNotNull(), F.concat(x, F.lit(" ("), label, F.lit(")"))).otherwise(x)
+
+
+_ID = re.compile(r"(?i)\{[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\}")
+
+
+def labelled(x: str) -> str:
+    """``with_label`` for a text inside a task; a GUID in it is given in upper case with its label."""
+    if name := PROG_IDS.get(x.strip().lower()):
+        return f"{x} ({name})"
+    found = _ID.search(x)
+    name = found and GUIDS.get(found.group().upper())
+    return x.replace(found.group(), f"{found.group().upper()} ({name})", 1) if name else x
+
+
+_NO = re.compile("|".join(f"(?:{p})" for p in NOT_HUMAN), re.I)
+
+
+def is_human(x: str) -> bool:
+    """``is_human_label`` for a text inside a task."""
+    plain = re.sub(r"\s+\(.+\)\Z", "", x)
+    return bool(re.fullmatch(HUMAN, plain)) and not _NO.search(plain.replace("\n", " "))

@@ -35,16 +35,6 @@ def dependency_report(dependencies: DataFrame) -> DataFrame:
     return joined(sections, ["doc_id"], ["place"], F.concat(F.lit("## "), "category", F.lit("\n"), "text"), "\n\n")
 
 
-def module_summary(modules: DataFrame, procedures: DataFrame, events: DataFrame, dependencies: DataFrame) -> DataFrame:
-    """Of every module: numbers of procedures, handlers and dependencies, and its longest procedure."""
-    p = procedures.groupBy("doc_id", "file_ord").agg(F.count("*").alias("n_procedures"), F.max(F.col("line_end") - F.col("line_start") + 1).cast("long").alias("longest"))
-    e = events.groupBy("doc_id", "file_ord").agg(F.count("*").alias("n_events"))
-    d = dependencies.groupBy("doc_id", "file_name").agg(F.count("*").alias("n_dependencies"))
-    out = modules.join(p, ["doc_id", "file_ord"], "left").join(e, ["doc_id", "file_ord"], "left").join(d, ["doc_id", "file_name"], "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return out.select("doc_id", "module", "kind", zero("n_procedures"), zero("n_events"), zero("n_dependencies"), zero("longest"))
-
-
 def summary_report(summary: DataFrame) -> DataFrame:
     """One line per module, by name."""
     line = F.format_string("- %s (%s): %d procedures, %d handlers, %d dependencies", "module", "kind", "n_procedures", "n_events", "n_dependencies")

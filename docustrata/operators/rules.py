@@ -14,7 +14,18 @@ RISKS = [
     ("WinAPI", r"\bDeclare\s+(PtrSafe\s+)?(Sub|Function)\b"),
 ]
 
-#: What a procedure's body uses: (label, pattern), by label.
+#: Why each rule of RISKS is a marker, in their order.
+RISK_REASONS = [
+    "Developer note may indicate incomplete or special-case logic.",
+    "Broad error handling can hide behavior that needs explicit frontend states.",
+    "Global/public mutable state should become explicit app state.",
+    "Dynamic execution or indirection may require manual migration review.",
+    "External process execution cannot be directly migrated to browser frontend code.",
+    "Local file access needs replacement with browser file APIs or backend services.",
+    "WinAPI calls do not run in browser frontend code.",
+]
+
+#: What a procedure's body uses: (label, pattern). In label order because a procedure's uses are listed by label.
 USES = [
     ("Database/ADO", r"\b(ADODB|DAO\.|Recordset|Connection|OpenRecordset)\b"),
     ("Error handling", r"\b(On\s+Error|Err\.)\b"),
@@ -39,6 +50,19 @@ DEPENDENCIES = [
     ("Registry", r"\b(RegRead|RegWrite|RegDelete|GetSetting|SaveSetting|DeleteSetting)\b", (1,)),
 ]
 
+#: What each rule of DEPENDENCIES found, in their order.
+DEPENDENCY_REASONS = [
+    "Declare statement",
+    "CreateObject call",
+    "GetObject call",
+    "FileSystemObject or file IO usage",
+    "Shell execution",
+    "HTTP client usage",
+    "Database/ADO usage",
+    "Office object model usage",
+    "Registry access",
+]
+
 _NAME = r"[A-Za-z_][A-Za-z0-9_]*"
 _TYPE = r"[A-Za-z_][A-Za-z0-9_.]*"
 PROCEDURE = rf"^\s*(?:(Public|Private|Friend)\s+)?(Static\s+)?(Sub|Function|Property\s+(?:Get|Let|Set))\s+({_NAME})\s*(\([^)]*\))?\s*(?:As\s+({_TYPE}))?"

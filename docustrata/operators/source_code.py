@@ -17,6 +17,8 @@ from . import rules
 KEY = ("doc_id", "file_ord", "file_name")
 #: Lines of an unterminated procedure that count as its body after its first one.
 OPEN_BODY = 80
+#: A handler's name: control, then event.
+HANDLER = r"^(.+)_([A-Za-z][A-Za-z0-9]*)\z"
 
 
 def _group(x: Column, pattern: str, i: int) -> Column:
@@ -35,10 +37,15 @@ def _files(files: DataFrame) -> DataFrame:
     return files.select("doc_id", "file_ord", F.col("name").alias("file_name"), module_name(F.col("name")).alias("module"), lines(F.coalesce("text", F.lit(""))).alias("lines"))
 
 
+def module_kind(name: Column) -> Column:
+    """form, class, document or standard, by a file's name."""
+    return F.when(name.endswith(".frm"), "form").when(name.endswith(".cls"), "class").when(_hit(name, r"ThisWorkbook|Sheet[0-9]+"), "document").otherwise("standard")
+
+
 def modules(files: DataFrame) -> DataFrame:
     """One row per file: module, kind (form, class, document, standard), source_path."""
     name = F.col("name")
-    kind = F.when(name.endswith(".frm"), "form").when(name.endswith(".cls"), "class").when(_hit(name, r"ThisWorkbook|Sheet[0-9]+"), "document").otherwise("standard")
+    kind = module_kind(name)
     return files.select("doc_id", "file_ord", name.alias("file_name"), module_name(name).alias("module"), kind.alias("kind"), "source_path")
 
 
@@ -53,34 +60,48 @@ def parameters(listed: Column) -> Column:
     return F.filter(F.transform(F.split(inner, ","), js_trim), lambda x: x != "")
 
 
-def procedures(files: DataFrame, with_body: bool = False) -> DataFrame:
-    """One row per procedure, in order: proc_ord, name, kind, scope, signature, parameters, return_type, line_start, line_end.
+def _procedure_parts(files: DataFrame) -> DataFrame:
+    """Files with ``procs``: line, line_end, text and the groups of the start pattern (parts) of every procedure.
 
-    A procedure ends at the first end line before the next start; without one line_end is null. With
-    ``with_body`` also body: its lines, or OPEN_BODY more than the first where it has no end.
+    Lines without a key word are passed over by a plain pattern, and one replacement gives all groups of a start.
     """
-    starts = lambda x: _hit(x, rules.PROCEDURE)
+    key_word = lambda x: F.rlike(x, F.lit("(?i)sub|function|property"))
+    numbered = F.transform("lines", lambda x, i: F.struct((i + 1).alias("line"), x.alias("text")))
+    said = F.filter(numbered, lambda m: key_word(m["text"]))
     marks = F.filter(
-        F.transform("lines", lambda x, i: F.struct((i + 1).alias("line"), x.alias("text"), starts(x).alias("starts"), _hit(x, rules.PROCEDURE_END).alias("ends"))),
+        F.transform(said, lambda m: F.struct(m["line"].alias("line"), m["text"].alias("text"), _hit(m["text"], rules.PROCEDURE).alias("starts"), _hit(m["text"], rules.PROCEDURE_END).alias("ends"))),
         lambda m: m["starts"] | m["ends"],
     )
     found = _files(files).withColumn("marks", marks)
     closed = lambda i: F.get("marks", i + 1)
-    opened = F.filter(
-        F.transform("marks", lambda m, i: F.struct(m["line"].alias("line"), m["text"].alias("text"), m["starts"].alias("starts"), F.when(~closed(i)["starts"], closed(i)["line"]).alias("line_end"))),
-        lambda m: m["starts"],
+    groups = lambda x: F.split(F.regexp_replace(x, spark(rules.PROCEDURE) + r"[\s\S]*", "$1\x01$3\x01$4\x01$5\x01$6"), "\x01", -1)
+    procs = F.transform(
+        F.filter(
+            F.transform("marks", lambda m, i: F.struct(m["line"].alias("line"), m["text"].alias("text"), m["starts"].alias("starts"), F.when(~closed(i)["starts"], closed(i)["line"]).alias("line_end"))),
+            lambda m: m["starts"],
+        ),
+        lambda m: F.struct(m["line"].alias("line"), m["line_end"].alias("line_end"), m["text"].alias("text"), groups(m["text"]).alias("parts")),
     )
-    part = lambda i: _group(F.col("m.text"), rules.PROCEDURE, i)
-    out = found.select(*KEY, "module", "lines", F.posexplode(opened).alias("proc_ord", "m")).select(
+    return found.withColumn("procs", procs).drop("marks")
+
+
+def procedures(files: DataFrame, with_body: bool = False) -> DataFrame:
+    """One row per procedure, in order: proc_ord, name, kind, scope, signature, parameters, return_type, line_start, line_end.
+
+    A procedure ends at the first end line before the next start; without one line_end is null. With
+    ``with_body`` also body: its lines, or OPEN_BODY more than the first where it has no end.
+    """
+    part = lambda i: F.nullif(F.get("m.parts", F.lit(i)), F.lit(""))
+    out = _procedure_parts(files).select(*KEY, "module", "lines", F.posexplode("procs").alias("proc_ord", "m")).select(
         *KEY,
         "module",
         "proc_ord",
-        part(4).alias("name"),
-        F.when(part(3).startswith("Property"), "Property").otherwise(part(3)).alias("kind"),
-        F.coalesce(part(1), F.lit("Implicit")).alias("scope"),
+        part(2).alias("name"),
+        F.when(part(1).startswith("Property"), "Property").otherwise(part(1)).alias("kind"),
+        F.coalesce(part(0), F.lit("Implicit")).alias("scope"),
         js_trim(F.col("m.text")).alias("signature"),
-        parameters(part(5)).alias("parameters"),
-        part(6).alias("return_type"),
+        parameters(part(3)).alias("parameters"),
+        part(4).alias("return_type"),
         F.col("m.line").alias("line_start"),
         F.col("m.line_end").alias("line_end"),
         "lines",
@@ -116,7 +137,7 @@ def declares(files: DataFrame) -> DataFrame:
 
 def events(procs: DataFrame) -> DataFrame:
     """Procedures named like handlers: control_name and event_name are parted by the last ``_``."""
-    pattern = r"^(.+)_([A-Za-z][A-Za-z0-9]*)\z"
+    pattern = HANDLER
     part = lambda i: F.regexp_extract("name", pattern, i)
     return procs.where(F.rlike("name", F.lit(pattern))).select(*KEY, "module", "proc_ord", F.col("name").alias("procedure"), part(1).alias("control_name"), part(2).alias("event_name"))
 
@@ -134,7 +155,7 @@ def line_markers(rows: DataFrame, rule_set=rules.RISKS) -> DataFrame:
 
 def risk_markers(files: DataFrame) -> DataFrame:
     out = line_markers(source_lines(files))
-    return out.select(*KEY, "module", "line", "rule_ord", "category", js_trim(F.col("text")).alias("text"))
+    return out.select(*KEY, "module", "line", "rule_ord", "category", js_trim(F.col("text")).alias("text"), F.get(F.array(*map(F.lit, rules.RISK_REASONS)), F.col("rule_ord")).alias("reason"))
 
 
 def procedure_uses(procs_with_body: DataFrame) -> DataFrame:
@@ -142,8 +163,7 @@ def procedure_uses(procs_with_body: DataFrame) -> DataFrame:
     return procs_with_body.withColumn("uses", _matching(F.col("body"), rules.USES))
 
 
-def _rule_matches(x: Column, number: int, category: str, pattern: str, groups: tuple[int, ...]) -> Column:
-    own = (*groups, 0)
+def _rule_matches(x: Column, number: int, category: str, pattern: str, own: tuple[int, ...]) -> Column:
     every = F.arrays_zip(*(F.regexp_extract_all(x, F.lit(spark(pattern)), F.lit(g)).alias(f"g{g}") for g in own))
 
     def row(m, i):
@@ -154,14 +174,36 @@ def _rule_matches(x: Column, number: int, category: str, pattern: str, groups: t
 
 
 def rule_matches(x: Column, rule_set=rules.DEPENDENCIES) -> Column:
-    """All matches of all rules as (category, value, ord); the value is the first group that is not empty, or the match."""
+    """All matches of all rules as (category, value, ord); the value is the first of a rule's groups that is not empty; its last one never is."""
     return F.concat(*(_rule_matches(x, i, *rule) for i, rule in enumerate(rule_set)))
 
 
 def dependencies(files: DataFrame) -> DataFrame:
-    """What the sources depend on, each (category, value) of a file once, with the place of its first match."""
+    """What the sources depend on, each (category, value) of a file once, with the place and the reason of its first match."""
     found = files.select("doc_id", "file_ord", F.col("name").alias("file_name"), F.explode(rule_matches(F.coalesce("text", F.lit("")))).alias("d")).select(*KEY, "d.*")
-    return found.groupBy("doc_id", "category", "value", "file_name").agg(F.min(F.struct("file_ord", "ord")).alias("ord"))
+    first = found.groupBy("doc_id", "category", "value", "file_name").agg(F.min(F.struct("file_ord", "ord")).alias("ord"))
+    return first.withColumn("reason", F.get(F.array(*map(F.lit, rules.DEPENDENCY_REASONS)), F.col("ord.ord.rule")))
+
+
+def reference_dependencies(references: DataFrame) -> DataFrame:
+    """Project references (doc_id, source, ord, kind, name, lib_id, raw) as dependencies, each (value, source) once; they come after those of the sources."""
+    value = F.coalesce("name", "lib_id", "raw")
+    rows = references.select("doc_id", F.lit("VBA reference").alias("category"), value.alias("value"), F.col("source").alias("file_name"), "ord", F.concat("kind", F.lit(" project reference")).alias("reason"))
+    late = F.struct(F.lit(2**31 - 1).alias("file_ord"), F.struct(F.lit(len(rules.DEPENDENCIES)).alias("rule"), F.col("ord").cast("int").alias("match")).alias("ord"))
+    return rows.withColumn("ord", late).groupBy("doc_id", "category", "value", "file_name").agg(F.min("ord").alias("ord"), F.min_by("reason", "ord").alias("reason"))
+
+
+def module_summary(files: DataFrame) -> DataFrame:
+    """Of every module: numbers of procedures, handlers and dependencies, and its longest procedure.
+
+    All of it is made inside a file's row, in one pass over its text for each rule: nothing is joined or shuffled.
+    """
+    found = _procedure_parts(files).select("doc_id", "file_ord", "file_name", "module", "lines", "procs")
+    name = lambda p: F.get(p["parts"], F.lit(2))
+    said = F.array_distinct(F.transform(rule_matches(F.array_join("lines", "\n")), lambda d: F.struct(d["category"].alias("c"), d["value"].alias("v"))))
+    longest = F.coalesce(F.array_max(F.transform("procs", lambda p: p["line_end"] - p["line"] + 1)), F.lit(0))
+    long = lambda x, n: x.cast("long").alias(n)
+    return found.select("doc_id", "module", module_kind(F.col("file_name")).alias("kind"), long(F.size("procs"), "n_procedures"), long(F.size(F.filter("procs", lambda p: F.rlike(name(p), F.lit(HANDLER)))), "n_events"), long(F.size(said), "n_dependencies"), long(longest, "longest"))
 
 
 def tokens(x: Column) -> Column:

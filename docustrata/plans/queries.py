@@ -291,9 +291,7 @@ def validation_score(spark, sf_dir):
 
 
 def _summary(spark, sf_dir):
-    files = rendered.files(spark, sf_dir)
-    procs = S.procedures(files)
-    return R.module_summary(S.modules(files), procs, S.events(procs), S.dependencies(files))
+    return S.module_summary(rendered.files(spark, sf_dir))
 
 
 _SUMMARY = _PROCS + _dependency_sql().replace(",,", ",", 1) + r""", su AS (

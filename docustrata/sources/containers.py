@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binary import OLE_MAGIC as OLE_MARK
 from ..functions.binary import is_ole, is_zip
 
 PARTS = "doc_id string, ord int, path string, method int, compressed_size long, size long, content binary, error string"
