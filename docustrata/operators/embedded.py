@@ -29,8 +29,11 @@ def xml_properties(xml: Column) -> Column:
     linked = F.regexp_extract(xml, r'(?i)r:id="([^"]+)"', 1)
     extra = F.when(linked != "", F.array(F.struct(F.lit("relationshipId").alias("k"), linked.alias("v"))))
     every = F.concat(pairs(attribute), pairs(element), F.coalesce(extra, F.array().cast("array<struct<k:string,v:string>>")))
-    last = F.filter(every, lambda p, i: ~F.exists(F.slice(every, i + 2, F.size(every)), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(last)
+    # of one name the last value: values by place, then the last place of each name
+    placed = F.transform(every, lambda p, i: F.struct(p["k"].alias("k"), i.alias("i"), p["v"].alias("v")))
+    order = F.array_sort(placed)
+    last = F.filter(F.transform(order, lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), F.get(order, i + 1)["k"].alias("next"))), lambda p: p["next"].isNull() | (p["next"] != p["k"]))
+    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"], p["v"])))
 
 
 def activex_controls(parts: DataFrame) -> DataFrame:
@@ -69,7 +72,7 @@ def inferred_bounds(rows: DataFrame, key: str, column: str) -> DataFrame:
     fits = lambda c: (c["left"] < 60_000) & (c["top"] < 60_000) & c["width"].between(30, 31_999) & c["height"].between(30, 31_999)
     sure = lambda c: (c["left"] < 25_000) & (c["top"] < 25_000) & (c["offset"] <= 64)
 
-    def score(c):
+    def score(c):  # fixed values: what each trait of a likely form counts
         one = lambda x: x.cast("int")
         return one(c["width"] > c["height"]) + 2 * one((c["width"] > 500) & (c["height"] > 300)) + one((c["left"] < 20_000) & (c["top"] < 20_000)) + 2 * one(sure(c))
 

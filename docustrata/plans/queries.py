@@ -35,13 +35,13 @@ def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFr
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
 
 
-def _one(name: str, table: str, columns: list[str], make: Callable[[], dict], sql: str):
-    """A query that projects columns of one table."""
+def _one(name: str, table: str, columns: list[str], make: Callable[[], dict], sql: str, source: str | None = None):
+    """A query that projects columns of one table; ``source``: what SQL reads in its place."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _read(spark, sf_dir, table, *columns).select(columns[0], *(c.alias(k) for k, c in make().items()))
 
-    QUERIES[name], SQL[name] = run, f"SELECT {columns[0]}, {sql} FROM {table}"
+    QUERIES[name], SQL[name] = run, f"SELECT {columns[0]}, {sql} FROM {source or table}"
 
 
 c = F.col
@@ -50,8 +50,7 @@ _one("normalize_identifier", "part", ["p_partkey", "p_name"], lambda: {"identifi
 _one("human_label", "part", ["p_partkey", "p_name", "p_brand"], lambda: {"is_label": T.is_human_label(F.when(c("p_partkey") % 3 == 0, "Forms.Label.1").when(c("p_partkey") % 3 == 1, c("p_name")).otherwise(F.concat(F.lit("0x"), "p_partkey")))}, r"""CASE p_partkey % 3 WHEN 0 THEN false WHEN 2 THEN false ELSE regexp_matches(p_name, '^[A-Za-z0-9_ .''-]{2,80}$') END AS is_label""")
 _one("truncate_label", "part", ["p_partkey", "p_type"], lambda: {"label": T.truncate_label(c("p_type"), 9)}, "CASE WHEN length(p_type) > 9 THEN substr(p_type, 1, 6) || '...' ELSE p_type END AS label")
 _one("escape_html", "pages", ["page_id", "html"], lambda: {"escaped": F.md5(T.escape_html(c("html")))}, """md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) AS escaped""")
-_one("format_bytes", "orders", ["o_orderkey"], lambda: {"size": T.format_bytes(c("o_orderkey") * 1024 + 512 * (c("o_orderkey") % 2))}, """CASE WHEN n < 1024 THEN n::VARCHAR || ' B' WHEN n < 1048576 THEN printf('%.1f KB', floor(n / 1024.0::DOUBLE * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(n / 1048576.0::DOUBLE * 10 + 0.5) / 10) END AS size""")
-SQL["format_bytes"] = SQL["format_bytes"].replace("FROM orders", "FROM (SELECT o_orderkey, o_orderkey * 1024 + 512 * (o_orderkey % 2) AS n FROM orders)")
+_one("format_bytes", "orders", ["o_orderkey"], lambda: {"size": T.format_bytes(c("o_orderkey") * 1024 + 512 * (c("o_orderkey") % 2))}, """CASE WHEN n < 1024 THEN n::VARCHAR || ' B' WHEN n < 1048576 THEN printf('%.1f KB', floor(n / 1024.0::DOUBLE * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(n / 1048576.0::DOUBLE * 10 + 0.5) / 10) END AS size""", "(SELECT o_orderkey, o_orderkey * 1024 + 512 * (o_orderkey % 2) AS n FROM orders)")
 _one("to_hex", "orders", ["o_orderkey"], lambda: {"hexadecimal": T.to_hex(c("o_orderkey") * 31)}, "'0x' || CASE WHEN length(upper(to_hex(o_orderkey * 31))) < 4 THEN lpad(upper(to_hex(o_orderkey * 31)), 4, '0') ELSE upper(to_hex(o_orderkey * 31)) END AS hexadecimal")
 _one("graph_node_id", "customer", ["c_custkey", "c_name"], lambda: {"node": T.graph_node_id(c("c_name")), "label": T.mermaid_label(F.concat(F.lit('"'), "c_name"))}, r"""'n_' || regexp_replace(c_name, '[^A-Za-z0-9_]', '_', 'g') AS node, '''' || c_name AS label""")
 _one("title_case", "part", ["p_partkey", "p_name"], lambda: {"title": T.title_case(c("p_name"))}, "list_aggregate(list_transform(regexp_extract_all(p_name, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+'), lambda x: upper(x[1]) || substr(x, 2)), 'string_agg', '') AS title")
@@ -61,8 +60,7 @@ _one("confidence", "part", ["p_partkey", "p_name"], lambda: {"plain": T.strip_co
 _one("normalize_guid", "orders", ["o_orderkey"], lambda: {"guid": T.normalize_guid(F.regexp_replace(F.md5(c("o_orderkey").cast("string")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", r"x \{$1-$2-$3-$4-$5\} y"))}, r"""'{' || upper(regexp_replace(md5(o_orderkey::VARCHAR), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5')) || '}' AS guid""")
 _one("format_guid", "orders", ["o_orderkey"], lambda: {"guid": B.format_guid(F.unhex(F.md5(c("o_orderkey").cast("string"))))}, r"""'{' || upper(regexp_replace(md5(o_orderkey::VARCHAR), '^(..)(..)(..)(..)(..)(..)(..)(..)(.{4})(.{12})$', '\4\3\2\1-\6\5-\8\7-')) || upper(substr(md5(o_orderkey::VARCHAR), 17, 4) || '-' || substr(md5(o_orderkey::VARCHAR), 21)) || '}' AS guid""")
 _one("read_integers", "orders", ["o_orderkey"], lambda: {"u16": B.read_u16(F.unhex(F.md5(c("o_orderkey").cast("string"))), 3), "u32": B.read_u32(F.unhex(F.md5(c("o_orderkey").cast("string"))), 13), "i32": B.read_i32(F.unhex(F.md5(c("o_orderkey").cast("string"))), 0)}, """('0x' || substr(md5(o_orderkey::VARCHAR), 9, 2) || substr(md5(o_orderkey::VARCHAR), 7, 2))::INTEGER AS u16, ('0x' || substr(md5(o_orderkey::VARCHAR), 31, 2) || substr(md5(o_orderkey::VARCHAR), 29, 2) || substr(md5(o_orderkey::VARCHAR), 27, 2))::BIGINT AS u32, ((('0x' || substr(md5(o_orderkey::VARCHAR), 7, 2) || substr(md5(o_orderkey::VARCHAR), 5, 2) || substr(md5(o_orderkey::VARCHAR), 3, 2) || substr(md5(o_orderkey::VARCHAR), 1, 2))::BIGINT + 2147483648) % 4294967296 - 2147483648)::INTEGER AS i32""")
-_one("dos_datetime", "orders", ["o_orderkey", "o_orderdate"], lambda: {"dos_time": B.dos_time(F.timestamp_seconds(F.unix_timestamp("o_orderdate") + c("o_orderkey") * 61 % 86400)), "dos_date": B.dos_date(F.timestamp_seconds(F.unix_timestamp("o_orderdate") + c("o_orderkey") * 61 % 86400))}, "((hour(t) << 11) | (minute(t) << 5) | (second(t) // 2))::INTEGER AS dos_time, (((greatest(year(t), 1980) - 1980) << 9) | (month(t) << 5) | day(t))::INTEGER AS dos_date")
-SQL["dos_datetime"] = SQL["dos_datetime"].replace("FROM orders", "FROM (SELECT *, o_orderdate + to_seconds(o_orderkey * 61 % 86400) AS t FROM orders)")
+_one("dos_datetime", "orders", ["o_orderkey", "o_orderdate"], lambda: {"dos_time": B.dos_time(F.timestamp_seconds(F.unix_timestamp("o_orderdate") + c("o_orderkey") * 61 % 86400)), "dos_date": B.dos_date(F.timestamp_seconds(F.unix_timestamp("o_orderdate") + c("o_orderkey") * 61 % 86400))}, "((hour(t) << 11) | (minute(t) << 5) | (second(t) // 2))::INTEGER AS dos_time, (((greatest(year(t), 1980) - 1980) << 9) | (month(t) << 5) | day(t))::INTEGER AS dos_date", "(SELECT *, o_orderdate + to_seconds(o_orderkey * 61 % 86400) AS t FROM orders)")
 _one("widgets", "part", ["p_partkey", "p_type"], lambda: {"widget": C.widget(F.concat(F.lit("Forms."), F.element_at(F.array(*map(F.lit, _TYPES)), (c("p_partkey") % len(_TYPES)).cast("int") + 1)), F.lit(None)), "kind": C.preview_kind(F.element_at(F.array(*map(F.lit, _TYPES)), (c("p_partkey") % len(_TYPES)).cast("int") + 1), c("p_type")), "inferred": C.inferred_type(F.concat(F.element_at(F.array(*map(F.lit, ("cmd", "btn", "chkAll", "opt", "txt", "cmb", "lst", "lbl", "Xbutton", "z"))), (c("p_partkey") % 10).cast("int") + 1), F.lit("1")))}, "")
 _TYPES = ("CommandButton.1", "CheckBox.1", "OptionButton", "TextBox", "ComboBox", "ListBox", "MultiPage", "TabStrip", "Frame", "Image", "Label", "ScrollBar", "SpinButton", "Thing")
 _list = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
@@ -169,12 +167,13 @@ def declares(spark, sf_dir):
     return S.declares(rendered.files(spark, sf_dir)).select("doc_id", "file_ord", "line", "statement")
 
 
+_list_of = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 _RISKS = ", r AS (" + " UNION ALL ".join(f"SELECT *, {i} AS rule_ord, '{n}' AS category FROM l WHERE regexp_matches(text, '{duckdb(p)}', 'i')" for i, (n, p) in enumerate(rules.RISKS)) + ")"
 
 
-@_query("risk_markers", _LINES + _RISKS + " SELECT doc_id, file_ord, line, category, trim(text) AS text FROM r", files=True)
+@_query("risk_markers", _LINES + _RISKS + " SELECT doc_id, file_ord, line, category, trim(text) AS text, " + _list_of(rules.RISK_REASONS) + "[rule_ord + 1] AS reason FROM r", files=True)
 def risk_markers(spark, sf_dir):
-    return S.risk_markers(rendered.files(spark, sf_dir)).select("doc_id", "file_ord", "line", "category", "text")
+    return S.risk_markers(rendered.files(spark, sf_dir)).select("doc_id", "file_ord", "line", "category", "text", "reason")
 
 
 @_query("topk_risks", _LINES + _RISKS + " SELECT doc_id, rank, module, line, category FROM (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY file_ord, line, rule_ord))::INTEGER AS rank FROM r) WHERE rank <= 80", files=True)
@@ -230,16 +229,13 @@ def _linked(spark, sf_dir):
     return S.events(S.procedures(rendered.files(spark, sf_dir))), rendered.controls(spark, sf_dir)
 
 
-@_query("event_links", _EVENTS + " SELECT ek.doc_id, ek.file_ord, ek.name AS procedure, arg_min(ck.path, ck.control_ord) AS linked_control_path, arg_min(coalesce(ck.type, '-'), ck.control_ord) AS linked_control_type FROM ek LEFT JOIN ck ON ck.doc_id = ek.doc_id AND ck.form = ek.module AND ck.k = ek.k GROUP BY ek.doc_id, ek.file_ord, ek.proc_ord, ek.name", files=True, controls=True)
+@_query("event_links", _EVENTS + " SELECT ek.doc_id, ek.file_ord, ek.name AS procedure, arg_min(ck.path, ck.control_ord) AS linked_control_path, coalesce(arg_min(coalesce(ck.type, '-'), ck.control_ord), '-') AS linked_control_type FROM ek LEFT JOIN ck ON ck.doc_id = ek.doc_id AND ck.form = ek.module AND ck.k = ek.k GROUP BY ek.doc_id, ek.file_ord, ek.proc_ord, ek.name", files=True, controls=True)
 def event_links(spark, sf_dir):
     out = C.event_links(*_linked(spark, sf_dir))
     kind = F.when(c("linked_control_path").isNotNull(), F.coalesce("linked_control_type", F.lit("-")))
     return out.select("doc_id", "file_ord", "procedure", "linked_control_path", F.coalesce(kind, F.lit("-")).alias("linked_control_type"))
 
 
-SQL["event_links"] = SQL["event_links"].replace("arg_min(coalesce(ck.type, '-'), ck.control_ord) AS", "coalesce(arg_min(coalesce(ck.type, '-'), ck.control_ord), '-') AS")
-
-
 @_query("inferred_controls", _EVENTS + " SELECT ek.doc_id, ek.module AS form, arg_min(ek.control_name, ek.proc_ord) AS id, arg_min(ek.name, ek.proc_ord) AS inferred_from FROM ek WHERE EXISTS (SELECT 1 FROM controls c WHERE c.doc_id = ek.doc_id AND c.form = ek.module) AND NOT EXISTS (SELECT 1 FROM ck WHERE ck.doc_id = ek.doc_id AND ck.form = ek.module AND ck.k = ek.k) GROUP BY ek.doc_id, ek.module, ek.k", files=True, controls=True)
 def inferred_controls(spark, sf_dir):
     events, controls = _linked(spark, sf_dir)
@@ -314,17 +310,35 @@ def summary_report(spark, sf_dir):
     return R.summary_report(_summary(spark, sf_dir))
 
 
-@_query("call_graph_report")
+_NODE = lambda x: f"""'n_' || regexp_replace({x}, '[^A-Za-z0-9_]', '_', 'g') || '["' || {x} || '"]'"""
+_GRAPH = _EVENTS.replace(_PROCS, _CALLS) + f""", o AS (SELECT doc_id, name AS callee, arg_min(module, file_ord * 1000000 + proc_ord) AS callee_module FROM p GROUP BY doc_id, name),
+edge AS (SELECT g.*, '  ' || {_NODE("g.module || '.' || g.name")} || ' --> ' || {_NODE("o.callee_module || '.' || g.callee")} AS line FROM g JOIN o ON o.doc_id = g.doc_id AND o.callee = g.callee),
+lone AS (SELECT p.doc_id, p.file_ord, p.proc_ord, '' AS callee, '  ' || {_NODE("p.module || '.' || p.name")} AS line FROM p WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = p.doc_id AND g.file_ord = p.file_ord AND g.proc_ord = p.proc_ord)),
+lk AS (SELECT ek.doc_id, ek.file_ord, ek.proc_ord, any_value(ek.module) AS module, any_value(ek.name) AS name, any_value(ek.control_name) AS control_name, arg_min(ck.path, ck.control_ord) AS path FROM ek LEFT JOIN ck ON ck.doc_id = ek.doc_id AND ck.form = ek.module AND ck.k = ek.k GROUP BY ek.doc_id, ek.file_ord, ek.proc_ord),
+entry AS (SELECT doc_id, file_ord, -1 AS proc_ord, '### ' || any_value(module) AS line FROM lk GROUP BY doc_id, file_ord UNION ALL SELECT doc_id, file_ord, proc_ord, '- ' || name || ': ' || control_name || '.' || substr(name, length(control_name) + 2) || coalesce(' -> ' || path, '') FROM lk),
+graph AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY file_ord, proc_ord, callee) AS text FROM (SELECT doc_id, file_ord, proc_ord, callee, line FROM edge UNION ALL SELECT * FROM lone) GROUP BY doc_id),
+entries AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY file_ord, proc_ord) AS text FROM entry GROUP BY doc_id)
+SELECT graph.doc_id, '# VBA Call Graph' || chr(10) || chr(10) || '```mermaid' || chr(10) || 'graph TD' || chr(10) || graph.text || chr(10) || '```' || chr(10) || chr(10) || 'Edges: ' || (SELECT count(*) FROM edge WHERE edge.doc_id = graph.doc_id)::VARCHAR || chr(10) || chr(10) || '## Event Entry Points' || coalesce(chr(10) || entries.text, '') AS text
+FROM graph LEFT JOIN entries USING (doc_id)"""
+
+
+@_query("call_graph_report", _GRAPH, files=True, controls=True)
 def call_graph_report(spark, sf_dir):
-    return R.call_graph(S.call_edges(S.procedures(rendered.files(spark, sf_dir), with_body=True)))
+    procs = S.procedures(rendered.files(spark, sf_dir), with_body=True)
+    return R.call_graph(procs, S.call_edges(procs), C.event_links(*_linked(spark, sf_dir)))
 
 
 @_query("dependency_report")
 def dependency_report(spark, sf_dir):
-    return R.dependency_report(S.dependencies(rendered.files(spark, sf_dir)))
+    files = rendered.files(spark, sf_dir)
+    return R.dependency_report(S.dependencies(files), S.risk_markers(files))
+
+
+_CRC_STEP = "CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END"
+_CRC = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda v, i: " + _CRC_STEP + ")"
 
 
-@_query("crc32_text")
+@_query("crc32_text", f"SELECT p_partkey, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(p_name)), '..'), lambda h: ('0x' || h)::BIGINT)), lambda c, b: {_CRC}), 4294967295)::BIGINT AS crc32 FROM part")
 def crc32_text(spark, sf_dir):
     return _read(spark, sf_dir, "part", "p_partkey", "p_name").select("p_partkey", F.crc32(F.encode("p_name", "UTF-8")).alias("crc32"))
 
@@ -333,20 +347,81 @@ def crc32_text(spark, sf_dir):
 def migration_checklist(spark, sf_dir):
     files = rendered.files(spark, sf_dir)
     events, controls = _linked(spark, sf_dir)
-    return R.migration_checklist(S.dependencies(files), S.risk_markers(files), C.event_links(events, controls).where("linked_control_path is null"))
+    procs = S.procedures(files)
+    return R.migration_checklist(S.dependencies(files), S.risk_markers(files), C.event_links(events, controls).where("linked_control_path is null"), controls.select("doc_id", "form").distinct(), controls, events, procs, S.variables(files))
 
 
 @_query("migration_test_plan")
 def migration_test_plan(spark, sf_dir):
-    procs = S.procedures(rendered.files(spark, sf_dir), with_body=True)
-    return R.migration_test_plan(S.events(procs), S.procedure_uses(procs))
+    files = rendered.files(spark, sf_dir)
+    procs = S.procedures(files, with_body=True)
+    return R.migration_test_plan(S.events(procs), S.procedure_uses(procs), S.call_edges(procs), S.dependencies(files))
 
 
-@_query("validation_report")
+@_query("validation_report", f"SELECT doc_id, 'Overall extraction confidence: ' || score::VARCHAR || '%' || chr(10) || '- files: ' || n_files::VARCHAR || chr(10) || '- fallback: ' || n_fallback::VARCHAR || chr(10) || '- controls: ' || n_controls::VARCHAR || chr(10) || '- typed: ' || n_typed::VARCHAR || chr(10) || '- events: ' || n_events::VARCHAR || chr(10) || '- linked: ' || n_linked::VARCHAR AS text FROM ({SQL['validation_score']})")
 def validation_report(spark, sf_dir):
     return R.validation_report(validation_score(spark, sf_dir))
 
 
+_LE = lambda n: f"(lpad(hex({n} % 256), 2, '0') || lpad(hex(cast(floor({n} / 256) AS INT)), 2, '0') || '0000')"
+_GIF = "('474946383961' || '00000000000000' || repeat('2C', cast(k % 50 AS INT)) || '3B')"
+#: Of an order k: bytes before, the picture as it stands in the stream; rows of what must be found.
+_PICTURE = f"""CASE k % 8
+  WHEN 0 THEN {_GIF}
+  WHEN 1 THEN '424D' || {_LE("(34 + k % 50)")} || repeat('00', 8) || repeat('2C', cast(20 + k % 50 AS INT))
+  WHEN 2 THEN '6C740000' || {_LE("(14 + k % 50)")} || {_GIF}
+  WHEN 3 THEN '6C740000' || {_LE("(1 + k % 90)")} || repeat('2C', cast(1 + k % 90 AS INT))
+  WHEN 4 THEN '0452E30B918FCE119DE300AA004BB851' || '6C740000' || {_LE("(14 + k % 50)")} || {_GIF}
+  WHEN 5 THEN '28000000' || '04000000' || '02000000' || '01001800' || repeat('00', 24) || repeat('2C', 24)
+  WHEN 6 THEN '89504E470D0A1A0A' || repeat('2C', cast(k % 90 AS INT)) || '49454E44AE426082'
+  ELSE '2C2C' END"""
+
+
+@_query(
+    "picture_scan",
+    """SELECT k AS o_orderkey, (k % 13)::BIGINT AS "offset", x[1] AS extension, x[2] AS mime_type, x[3]::BIGINT AS length, x[4]::BIGINT AS n_bytes, x[5] || ' at 0x000' || hex(k % 13) AS place FROM (SELECT k, CASE k % 8
+  WHEN 0 THEN ['gif', 'image/gif', (14 + k % 50)::VARCHAR, (14 + k % 50)::VARCHAR, 'GIF image']
+  WHEN 1 THEN ['bmp', 'image/bmp', (34 + k % 50)::VARCHAR, (34 + k % 50)::VARCHAR, 'BMP image']
+  WHEN 2 THEN ['gif', 'image/gif', (22 + k % 50)::VARCHAR, (14 + k % 50)::VARCHAR, 'MS-OFORMS StdPicture GIF image']
+  WHEN 3 THEN ['picture.bin', 'application/octet-stream', (9 + k % 90)::VARCHAR, (1 + k % 90)::VARCHAR, 'MS-OFORMS StdPicture payload']
+  WHEN 4 THEN ['gif', 'image/gif', (38 + k % 50)::VARCHAR, (14 + k % 50)::VARCHAR, 'MS-OFORMS GuidAndPicture MS-OFORMS StdPicture GIF image']
+  WHEN 5 THEN ['bmp', 'image/bmp', '64', '78', 'DIB image rebuilt as BMP']
+  WHEN 6 THEN ['png', 'image/png', (16 + k % 90)::VARCHAR, (16 + k % 90)::VARCHAR, 'PNG image'] END AS x FROM (SELECT o_orderkey AS k FROM orders)) WHERE x IS NOT NULL""",
+)
+def picture_scan(spark, sf_dir):
+    """Pictures that stand at a known place in rendered streams: each in its own format or wrapper."""
+    from ..operators import binary
+
+    data = F.unhex(F.concat(F.expr("repeat('41', cast(k % 13 AS INT))"), F.expr(_PICTURE), F.lit("4141")))
+    rows = _read(spark, sf_dir, "orders", "o_orderkey").withColumn("k", c("o_orderkey")).withColumn("data", data)
+    return binary.media(rows, "o_orderkey", "data").select("o_orderkey", "offset", "extension", "mime_type", "length", F.octet_length("bytes").cast("long").alias("n_bytes"), "place")
+
+
+#: Of an order k: names and values of the properties of its form stream, in order.
+_FORM_VALUES = """[
+  ['MinorVersion', '0x00'],
+  ['MajorVersion', '0x04'],
+  ['cb', (12 + length('Form ' || k))::VARCHAR || ' bytes'],
+  ['PropMask', '0x00080400 (DisplayedSize, Caption)'],
+  ['Decoded DisplayedSize', (200 + k % 20000)::VARCHAR || ' x ' || (150 + k % 9000)::VARCHAR || ' twips @ 0x0008 (medium)'],
+  ['Decoded Caption', 'Form ' || k || ' (medium)'],
+  ['Record string @ 0x0010', 'Form ' || k],
+  ['ExtraDataBlock candidate', '0x0010-0x00' || hex(16 + length('Form ' || k))]
+]"""
+
+
+@_query("form_record_values", f"SELECT k AS o_orderkey, i::INTEGER AS prop_ord, v[i + 1][1] AS name, v[i + 1][2] AS value FROM (SELECT k, {_FORM_VALUES} AS v FROM (SELECT o_orderkey AS k FROM orders)), range(8) r(i)")
+def form_record_values(spark, sf_dir):
+    """Values decoded from rendered form streams: header, mask, size, caption, text."""
+    from ..operators import forms
+
+    caption = F.concat(F.lit("Form "), c("o_orderkey").cast("string"))
+    le = lambda n: F.concat(F.lpad(F.hex(n % 256), 2, "0"), F.lpad(F.hex(F.floor(n / 256)), 2, "0"), F.lit("0000"))
+    data = F.unhex(F.concat(F.lit("0004"), F.substring(le(12 + F.length(caption)), 1, 4), F.lit("00040800"), le(200 + c("o_orderkey") % 20000), le(150 + c("o_orderkey") % 9000), F.hex(caption)))
+    rows = _read(spark, sf_dir, "orders", "o_orderkey").select(c("o_orderkey").cast("string").alias("doc_id"), F.lit("c").alias("container"), F.lit(0).alias("ord"), F.lit("Form/f").alias("path"), data.alias("content"))
+    return forms.form_records(forms.form_streams(rows)).select(c("doc_id").cast("long").alias("o_orderkey"), "prop_ord", "name", "value")
+
+
 @_query("guid_labels", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'Forms.Label.1 (Microsoft Forms 2.0 Label control)' WHEN 1 THEN 'x {d7053240-ce69-11cd-a777-00dd01143c57} (Microsoft Forms 2.0 CommandButton)' ELSE 'none' END AS label FROM orders")
 def guid_labels(spark, sf_dir):
     from ..operators.labels import with_label

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import io
 import struct
+import uuid
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
@@ -183,26 +184,26 @@ def classified(parts: DataFrame) -> DataFrame:
 def write_zips(files: DataFrame, folder: str) -> DataFrame:
     """Packs files (doc_id, file_ord, path, content) into one stored ZIP per document and returns doc_id, path, size, entries.
 
-    Written by tasks through pandas groups, one document each; colliding paths get a numbered suffix.
-    A document's export must fit a task's memory. ``folder`` must be shared by all executors.
+    Written by tasks, one document each; colliding paths get a numbered suffix. A document's export must fit a task's
+    memory. ``folder``: a path or address (``hdfs://``, ``s3://``, ``file://``) that all executors reach.
     """
-    import os
-
-    os.makedirs(folder, exist_ok=True)
 
     def pack(pdf):
         import pandas as pd
+        from pyarrow import fs
 
         doc, buffer, taken = str(pdf.doc_id.iloc[0]), io.BytesIO(), {}
         with zipfile.ZipFile(buffer, "w", zipfile.ZIP_STORED, allowZip64=False) as z:
             for path, content in pdf.sort_values("file_ord")[["path", "content"]].itertuples(index=False):
                 n = taken[path] = taken.get(path, 0) + 1
                 z.writestr(zipfile.ZipInfo(path if n == 1 else f"{path}~{n}"), content or b"")
-        target = os.path.join(folder, f"{doc}.zip")
-        part = f"{target}.{os.getpid()}.part"
-        with open(part, "wb") as f:
-            f.write(buffer.getvalue())
-        os.replace(part, target)  # a repeated task replaces the file as a whole
-        return pd.DataFrame({"doc_id": [doc], "path": [target], "size": [len(buffer.getvalue())], "entries": [len(pdf)]})
+        store, top = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        store.create_dir(top, recursive=True)
+        data, target = buffer.getvalue(), f"{top.rstrip('/')}/{doc}.zip"
+        part = f"{target}.{uuid.uuid4().hex}.part"
+        with store.open_output_stream(part) as f:
+            f.write(data)
+        store.move(part, target)  # a repeated task replaces the file as a whole
+        return pd.DataFrame({"doc_id": [doc], "path": [f"{folder.rstrip('/')}/{doc}.zip"], "size": [len(data)], "entries": [len(pdf)]})
 
     return files.groupBy("doc_id").applyInPandas(pack, "doc_id string, path string, size long, entries long")

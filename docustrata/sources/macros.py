@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from ..functions.binary import decode_cp1252
-from ..functions.text import js_trim, lines, normalize_guid, split_value
+from ..functions.text import js_trim, lines, normalize_guid, safe_file_name, split_value
 
 
 def decompress(data: bytes) -> bytes:
@@ -71,7 +71,7 @@ def best_unpacked(content: pd.Series) -> pd.Series:
     """Of all offsets where a container may begin, the source that scores best; null where none scores over 8."""
     import re
 
-    def score(text: bytes) -> float:
+    def score(text: bytes) -> float:  # fixed values: what each mark of a source counts
         head = text[:2000]
         printable = sum(32 <= b < 127 or b in (9, 10, 13) for b in head)
         points = 50 * bool(re.search(rb"Attribute\s+VB_Name", text)) + 20 * bool(re.search(rb"(?i)\b(Sub|Function|Property|Dim|End)\b", text)) + 20 * bool(re.search(rb"(?i)Begin\s+VB\.", text))
@@ -255,6 +255,29 @@ def project_references(projects: DataFrame) -> DataFrame:
     return rows.select("doc_id", "container", "ord", F.when(F.col("key") == "Reference", "registered").otherwise(F.lower("key")).alias("kind"), F.get(named, F.lit(0)).alias("name"), F.coalesce(library, fields["guid"]).alias("lib_id"), *(v.alias(k) for k, v in fields.items()), F.col("line").alias("raw"))
 
 
+def references(streams: DataFrame) -> DataFrame:
+    """References of the projects in compound streams, those of ``PROJECT``, then those of ``dir``, each (source, kind, name, lib_id, raw) of a container once.
+
+    doc_id, container, ord, source, kind, name, lib_id, guid, version, path, raw.
+    """
+    lower = F.lower("path")
+    said = project_references(streams.where(lower.isin("project", "vba/project"))).withColumn("source", F.lit("PROJECT"))
+    bound = project_dir_references(streams.where(lower.isin("vba/dir", "dir"))).withColumns({"source": F.lit("dir"), "raw": F.coalesce("lib_id", "name")})
+    columns = ["doc_id", "container", "source", "ord", "kind", "name", "lib_id", "guid", "version", "path", "raw"]
+    both = said.select(*columns).unionByName(bound.select(*columns)).withColumn("ord", F.when(F.col("source") == "dir", F.lit(1 << 20)).otherwise(F.lit(0)) + F.col("ord"))
+    first = both.groupBy("doc_id", "container", "source", "kind", "name", "lib_id", "raw").agg(F.min_by(F.struct("ord", "guid", "version", "path"), "ord").alias("r"))
+    return first.select("doc_id", "container", "r.ord", "source", "kind", "name", "lib_id", "r.guid", "r.version", "r.path", "raw")
+
+
+def recovered_sources(streams: DataFrame, found: DataFrame) -> DataFrame:
+    """Sources searched for in all streams of the containers that gave neither sources nor form streams: the last resort."""
+    lower = F.lower("path")
+    other = streams.where((lower != "project") & ~F.startswith(lower, F.lit("vba/"))).select("doc_id", "container")
+    bare = streams.join(found.select("doc_id", "container").unionByName(other).distinct(), ["doc_id", "container"], "left_anti")
+    name = F.coalesce(F.nullif(safe_file_name(F.element_at(F.split("path", "/"), -1)), F.lit("stream")), F.lit("module"))
+    return bare.withColumn("source", best_unpacked("content")).where("source is not null").select("doc_id", F.col("ord").alias("file_ord"), F.concat(name, F.lit(".bas")).alias("name"), F.lit("vba").alias("kind"), F.concat("container", F.lit("/"), "path").alias("source_path"), decode_cp1252(F.col("source")).alias("text"), "container")
+
+
 def module_sources(streams: DataFrame) -> DataFrame:
     """Sources of the modules in compound streams (doc_id, container, ord, path, content).
 
@@ -273,4 +296,5 @@ def module_sources(streams: DataFrame) -> DataFrame:
     scanned = left.join(named, ["doc_id", "container", "key"]).withColumn("source", best_unpacked("content")).where("source is not null").select("doc_id", "container", "stream_ord", "at", "name", "type", "source", F.concat("path", F.lit(" (recovered by scan)")).alias("source_path"))
     both = exact.unionByName(scanned)
     ending = F.when(F.col("type") == "class", ".cls").when(F.col("type") == "form", ".frm").otherwise(".bas")
-    return both.select("doc_id", F.col("stream_ord").alias("file_ord"), F.concat("name", ending).alias("name"), F.when(F.col("type") == "form", "frm").otherwise("vba").alias("kind"), F.concat("container", F.lit("/"), "source_path").alias("source_path"), decode_cp1252(F.col("source")).alias("text"))
+    found = both.select("doc_id", "container", F.col("stream_ord").alias("file_ord"), F.concat("name", ending).alias("name"), F.when(F.col("type") == "form", "frm").otherwise("vba").alias("kind"), F.concat("container", F.lit("/"), "source_path").alias("source_path"), decode_cp1252(F.col("source")).alias("text"))
+    return found.unionByName(recovered_sources(streams, found)).drop("container")

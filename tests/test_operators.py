@@ -152,6 +152,7 @@ def test_more_reports(spark):
     f = files(spark)
     procs = S.procedures(f, with_body=True)
     events = S.events(procs)
-    text = reports.migration_checklist(S.dependencies(f), S.risk_markers(f), events).first().text
-    assert text.startswith("- [ ] Replace or implement WinAPI: PtrSafe") and "cmd_ok.Click" in text
-    assert reports.migration_test_plan(events, S.procedure_uses(procs)).first().text.startswith("- [ ] Trigger cmd_ok.Click")
+    text = reports.migration_checklist(S.dependencies(f), S.risk_markers(f), events, f.select("doc_id").limit(0), f.select("doc_id").limit(0), events, procs, S.variables(f)).first().text
+    assert "\n- [ ] Replace or implement WinAPI: PtrSafe" in text and "cmd_ok.Click" in text and text.startswith("# Migration Checklist\n") and "- [ ] Forms: 0" in text
+    plan = reports.migration_test_plan(events, S.procedure_uses(procs), S.call_edges(procs), S.dependencies(f)).first().text
+    assert "\n- [ ] Trigger cmd_ok.Click" in plan and "- [ ] Validate the replacement of WinAPI: PtrSafe" in plan
