@@ -20,6 +20,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -68,7 +69,7 @@ def _parted(t: bytes) -> list[bytes]:
 _NORMALISED = ["NFC", "Replace", "Lowercase"]
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Bytes of chunks a worker remembers before it starts anew, an entry counting ENTRY besides its text and ids; bytes of text encoded at once.
-REMEMBERED, ENTRY, AT_ONCE = 48 << 20, 180, 1 << 19
+REMEMBERED, ENTRY, AT_ONCE = 64 << 20, 180, 1 << 20
 
 
 def parts_at_space(path: str) -> bool:
@@ -108,7 +109,8 @@ class _Encoder:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False)]
+        code = "H" if self.chunked else "I"
+        return [array(code, e.ids).tobytes() for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def _encode_words(self, words: list[bytes]) -> list[bytes]:
         out: list[bytes] = []
