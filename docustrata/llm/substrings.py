@@ -5,7 +5,7 @@
    sorted run of (hash, group) pairs; a hash met again in the same task and group is sent twice at most.
 3. Each range is merged by itself: hashes seen at least twice go back to the groups that hold them.
 4. Each group hashes its texts again, marks the words under a returned hash and merges them into
-   maximal intervals.
+   maximal intervals. Its hashes come first, then its texts in batches, so a group of any size fits a task.
 
 A frequent window costs a task one or two entries per group, however often it occurs, so no key is hot;
 ranges and groups grow in number with the input, not in size. Nothing passes through the driver
@@ -102,42 +102,67 @@ def _repeated(table: pa.Table) -> pa.Table:
     return pa.table({"group": pa.array(own.astype(np.int32)), "hashes": pa.array([x.tobytes() for x in np.split(h, at[1:])] if len(own) else [], pa.binary())})
 
 
+def _cut(n: int, with_text: bool, batch: pa.RecordBatch, gone: np.ndarray) -> pa.RecordBatch:
+    """Rows of one group without the words under a window whose hash is in ``gone`` (sorted)."""
+    out = {k: [] for k in ("n_words", "n_removed", "kept_text", "spans", "kept_sha256")}
+    for _, _, data, offsets in texts(batch.column("text")):
+        w = Words(data, offsets)
+        h, at = w.windows(n)
+        if len(gone) and len(h):
+            found = np.minimum(np.searchsorted(gone, h), len(gone) - 1)
+            marked = covered(at[gone[found] == h], n, len(w.hash))
+        else:
+            marked = np.zeros(len(w.hash), bool)
+        raw = data.tobytes()
+        for i in range(len(offsets) - 1):
+            a, b = w.first[i], w.first[i + 1]
+            drop = marked[a:b]
+            words = raw[offsets[i] : offsets[i + 1]].split()
+            edge = np.flatnonzero(np.diff(drop.view(np.int8), prepend=0, append=0))
+            kept = words
+            text = raw[offsets[i] : offsets[i + 1]]
+            if len(edge):
+                kept = [x for x, y in zip(words, drop.tolist(), strict=True) if not y]
+                pieces, done = [], offsets[i]
+                for s, e in edge.reshape(-1, 2):
+                    pieces.append(raw[done : w.start[a + s]])
+                    done = w.start[a + e] if a + e < b else offsets[i + 1]
+                text = b"".join([*pieces, raw[done : offsets[i + 1]]])
+            out["n_words"].append(int(b - a))
+            out["n_removed"].append(int(drop.sum()))
+            out["kept_text"].append(text if with_text else None)
+            out["spans"].append([{"start": int(s), "end": int(e)} for s, e in edge.reshape(-1, 2)])
+            out["kept_sha256"].append(hashlib.sha256(b" ".join(kept)).hexdigest())
+    kept_text = pa.array(out["kept_text"], pa.binary()).cast(pa.string())
+    spans = pa.array(out["spans"], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+    rest = [c for c in batch.schema.names if c.startswith("_keep_")]
+    return pa.RecordBatch.from_arrays(
+        [batch.column("doc_id"), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), kept_text, spans, pa.array(out["kept_sha256"], pa.string()), *(batch.column(c) for c in rest)],
+        names=["doc_id", "n_words", "n_removed", "kept_text", "spans", "kept_sha256", *rest],
+    )
+
+
 def _removal(n: int, with_text: bool):
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        gone = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_py(), np.uint64) for x in right.column("hashes"))]))
-        out = {k: [] for k in ("n_words", "n_removed", "kept_text", "spans", "kept_sha256")}
-        for _, _, data, offsets in texts(left.column("text")):
-            w = Words(data, offsets)
-            h, at = w.windows(n)
-            if len(gone) and len(h):
-                found = np.minimum(np.searchsorted(gone, h), len(gone) - 1)
-                marked = covered(at[gone[found] == h], n, len(w.hash))
-            else:
-                marked = np.zeros(len(w.hash), bool)
-            raw = data.tobytes()
-            for i in range(len(offsets) - 1):
-                a, b = w.first[i], w.first[i + 1]
-                drop = marked[a:b]
-                words = raw[offsets[i] : offsets[i + 1]].split()
-                edge = np.flatnonzero(np.diff(drop.view(np.int8), prepend=0, append=0))
-                kept = words
-                text = raw[offsets[i] : offsets[i + 1]]
-                if len(edge):
-                    kept = [x for x, y in zip(words, drop.tolist(), strict=True) if not y]
-                    pieces, done = [], offsets[i]
-                    for s, e in edge.reshape(-1, 2):
-                        pieces.append(raw[done : w.start[a + s]])
-                        done = w.start[a + e] if a + e < b else offsets[i + 1]
-                    text = b"".join([*pieces, raw[done : offsets[i + 1]]])
-                out["n_words"].append(int(b - a))
-                out["n_removed"].append(int(drop.sum()))
-                out["kept_text"].append(text if with_text else None)
-                out["spans"].append([{"start": int(s), "end": int(e)} for s, e in edge.reshape(-1, 2)])
-                out["kept_sha256"].append(hashlib.sha256(b" ".join(kept)).hexdigest())
-        kept_text = pa.array(out["kept_text"], pa.binary()).cast(pa.string())
-        spans = pa.array(out["spans"], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-        rest = [left.column(c) for c in left.column_names if c.startswith("_keep_")]
-        return pa.Table.from_arrays([left.column("doc_id"), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), kept_text, spans, pa.array(out["kept_sha256"], pa.string()), *rest], names=["doc_id", "n_words", "n_removed", "kept_text", "spans", "kept_sha256", *(c for c in left.column_names if c.startswith("_keep_"))])
+    """Rows sorted by group, each group's hashes before its texts: a task holds the hashes of one group and one batch of texts, however many rows the group has."""
+
+    def run(batches):
+        now, held, gone = None, [], None
+        for batch in batches:
+            group = batch.column("group").to_numpy(zero_copy_only=False)
+            a_text = batch.column("a_text").to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero((np.diff(group) != 0) | (a_text[1:] != a_text[:-1])) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(group)], strict=True):
+                if a == b:
+                    continue
+                if group[a] != now:
+                    now, held, gone = group[a], [], None
+                part = batch.slice(a, b - a)
+                if a_text[a]:
+                    if gone is None:
+                        gone, held = np.unique(np.concatenate([np.zeros(0, np.uint64), *held])), []
+                    yield _cut(n, with_text, part, gone)
+                else:
+                    held.extend(np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("hashes"))
 
     return run
 
@@ -164,7 +189,11 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     back = stored(runs.repartition(min(ranges, MOST_TASKS), "range").groupBy("range").applyInArrow(_repeated, "group int, hashes binary"), "repeats")
     schema = SCHEMA + "".join(f", `_keep_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     tasks = min(max(16, groups // 4), MOST_TASKS)  # four groups each, whatever the session's number of partitions
-    out = dealt.repartition(tasks, "group").groupBy("group").cogroup(back.repartition(tasks, "group").groupBy("group")).applyInArrow(_removal(window, with_text), schema)
+    none = lambda c: F.lit(None).cast(dealt.schema[c].dataType).alias(c)
+    own = [c for c in dealt.columns if c != "group"]
+    hashes = back.select("group", F.lit(False).alias("a_text"), *map(none, own), "hashes")
+    whole = dealt.select("group", F.lit(True).alias("a_text"), *own, F.lit(None).cast("binary").alias("hashes"))
+    out = hashes.unionAll(whole).repartition(tasks, "group").sortWithinPartitions("group", "a_text").mapInArrow(_removal(window, with_text), schema)
     return out.withColumnsRenamed({f"_keep_{c}": f"{c}" for c in keep if c not in ("doc_id",)})
 
 
