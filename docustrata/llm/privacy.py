@@ -27,6 +27,8 @@ _PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: Share of an entity's information from which its terms are generalised, and removed; chance at which a pair may still be one of independents; letters of a term (single ones tell nothing).
 GENERALISE, REMOVE, CHANCE, LETTERS = 0.8, 0.95, 0.01, 2
 SPAN = "struct<kind:string,start:int,end:int,value:string>"
+#: Matches walked together.
+BLOCK = 256
 
 
 def _digits(x: Column) -> Column:
@@ -52,20 +54,36 @@ def _valid(kind: str, x: Column) -> Column:
 
 
 def located(text: Column, pattern: Column, kind: str) -> Column:
-    """All matches as spans: what lies between the matches gives their places, in code points."""
+    """All matches as spans: what lies between the matches gives their places, in code points.
+
+    Matches are walked in blocks, within which places are counted from the block's start, so that arrays
+    are extended by blocks and the work stays near the number of matches.
+    """
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     both = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("gap"), found.alias("hit"))
     none = F.expr(f"CAST(array() AS array<{SPAN}>)")
+    span = lambda s, e, v: F.struct(F.lit(kind).alias("kind"), s.alias("start"), e.alias("end"), v.alias("value"))
     start = lambda a, x: a["at"] + F.length(x["gap"])
-    walked = F.aggregate(
-        both,
+    within = lambda block: F.aggregate(
+        block,
         F.struct(F.lit(0).alias("at"), none.alias("spans")),
         lambda a, x: F.struct(
             (start(a, x) + F.length(x["hit"])).alias("at"),
-            F.concat(a["spans"], F.array(F.struct(F.lit(kind).alias("kind"), start(a, x).alias("start"), (start(a, x) + F.length(x["hit"])).alias("end"), x["hit"].alias("value")))).alias("spans"),
+            F.concat(a["spans"], F.array(span(start(a, x), start(a, x) + F.length(x["hit"]), x["hit"]))).alias("spans"),
+        ),
+    )
+    blocks = lambda m: F.transform(F.sequence(F.lit(0), F.floor((F.size(m) - 1) / BLOCK).cast("int")), lambda k: within(F.slice(m, k * BLOCK + 1, F.lit(BLOCK))))
+    walked = lambda parts: F.aggregate(
+        parts,
+        F.struct(F.lit(0).alias("at"), F.expr(f"CAST(array() AS array<array<{SPAN}>>)").alias("spans")),
+        lambda a, p: F.struct(
+            (a["at"] + p["at"]).alias("at"),
+            F.concat(a["spans"], F.array(F.transform(p["spans"], lambda s: span(a["at"] + s["start"], a["at"] + s["end"], s["value"])))).alias("spans"),
         ),
+        lambda a: F.flatten(a["spans"]),
     )
-    return walked["spans"]
+    # a transform over an array of one value evaluates the matches once
+    return F.flatten(F.transform(F.array(both), lambda m: F.when(F.size(m) > 0, walked(blocks(m))).otherwise(none)))
 
 
 def base_spans(text: Column) -> Column:

@@ -496,6 +496,15 @@ def test_privacy_addresses_with_zero_parts(spark):
     assert [s.value for s in got[0]] == ["10.0.0.1", "0.0.0.0", "000.1.2.3", "127.0.0.1", "192.168.0.7"]
 
 
+@pytest.mark.parametrize("n", [255, 256, 257, 3000])
+def test_privacy_of_many_matches(spark, n):
+    """Places of very many matches in one text, around the edges of a block and over many."""
+    text = "é" + " 😀 ".join(f"u{k}@host.example 10.0.{k % 256}.{k % 7}" for k in range(n))
+    r = privacy.disclosures(table(spark, [(1, text)])).first()
+    assert len(r.base) == 2 * n and ",".join(f"{s.kind}:{s.start}:{s.end}" for s in r.base) == plain_pii(text)
+    assert all(text[s.start : s.end] == s.value for s in r.base)
+
+
 def test_privacy_terms_by_counting(spark):
     """A name that stands with one address only gives it away; a common word does not."""
     r = random.Random(3)
