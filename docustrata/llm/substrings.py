@@ -26,7 +26,7 @@ from .words import Words, covered, texts
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start:long,end:long>>, kept_sha256 string"
 #: Hash pairs merged at a time by a task that counts, bytes of text per group, and pairs held by a task that hashes.
-RANGE_PAIRS, GROUP_BYTES, RUN_PAIRS = 1 << 20, 12 << 20, 3 << 20
+RANGE_PAIRS, GROUP_BYTES, RUN_PAIRS = 1 << 20, 2 << 20, 3 << 20
 #: Tasks of one job, at most; ranges and groups beyond it follow one another in a task.
 MOST_TASKS = 1 << 16
 
@@ -182,13 +182,13 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     kept = [F.col(c).alias(f"_keep_{c}") for c in keep]
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *kept)
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(64, size // GROUP_BYTES)
-    ranges = max(64, size // 6 // RANGE_PAIRS)
+    groups = max(16, size // GROUP_BYTES)
+    ranges = max(16, size // 6 // RANGE_PAIRS)
     dealt = base.withColumn("group", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
     runs = dealt.select("text", "group").mapInArrow(_window_runs(window, ranges), "range int, hashes binary, groups binary")
     back = stored(runs.repartition(min(ranges, MOST_TASKS), "range").groupBy("range").applyInArrow(_repeated, "group int, hashes binary"), "repeats")
     schema = SCHEMA + "".join(f", `_keep_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    tasks = min(max(16, groups // 4), MOST_TASKS)  # four groups each, whatever the session's number of partitions
+    tasks = min(max(8, groups // 4), MOST_TASKS)  # four groups each, whatever the session's number of partitions
     none = lambda c: F.lit(None).cast(dealt.schema[c].dataType).alias(c)
     own = [c for c in dealt.columns if c != "group"]
     hashes = back.select("group", F.lit(False).alias("a_text"), *map(none, own), "hashes")
