@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, counts, minhash, packing, privacy, quality, repetition, secrets, substrings, vectors
+from . import audit, bpe, counts, fingerprints, minhash, packing, privacy, quality, repetition, secrets, substrings, vectors, whitening
 
 
 def queries():
@@ -19,6 +19,9 @@ def queries():
         "op8_privacy": privacy.op8_privacy,
         "op9_vectors": vectors.op9_vectors,
         "op10_packing": packing.op10_packing,
+        "op11_whitening": whitening.op11_whitening,
+        "op12_filter_audit": audit.op12_filter_audit,
+        "op13_fingerprints": fingerprints.op13_fingerprints,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -29,4 +32,5 @@ def oracle_sql():
         "op6_repetition": repetition.ORACLE_SQL,
         "op7_substrings": substrings.ORACLE_SQL,
         "op9_vectors": vectors.ORACLE_SQL,
+        "op12_filter_audit": audit.ORACLE_SQL,
     }

@@ -58,4 +58,4 @@ def test_stages_with_odd_rows(spark):
 def test_every_operator_is_registered():
     names = list(registry.queries())
     assert [n for n in names if n.startswith("op")] == sorted((n for n in names if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0]))
-    assert len(names) == 11 and set(registry.oracle_sql()) <= set(names)
+    assert len(names) == 14 and set(registry.oracle_sql()) <= set(names)
