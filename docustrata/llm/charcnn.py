@@ -138,6 +138,15 @@ def findings(count: int, seed: int) -> tuple[list[tuple[str, int, int]], list[in
                 ]
             )()
             before = r.choice([f'{r.choice(["key", "token", "secret", "auth", "credential", "pwd"])}{r.choice([" = ", ": ", "=", "  "])}{r.choice(["", chr(34)])}', f"{prose(3)} ", "Bearer ", f"{prose(1)}: "])
+            if r.random() < 0.2:  # passwords: marks among letters and digits, blanks where they are quoted
+                marks, quoted = "!#$%&*@^~?,;:()<>[]{}|", r.random() < 0.5
+                value = r.choice([
+                    lambda: draw(alnum + marks, r.randint(8, 40)),
+                    lambda: word() + draw(marks + string.digits, r.randint(2, 6)) + draw(alnum, r.randint(0, 12)) + r.choice(["", "-", "_"]) + word().capitalize(),
+                    lambda: (draw(string.ascii_letters, r.randint(1, 3)) + draw(marks, r.randint(1, 2)) + draw(string.digits, r.randint(1, 2))) * r.randint(2, 30),
+                    lambda: (" " if quoted else ".").join("".join({"a": "@", "o": "0", "e": "3", "i": "1", "s": "$"}.get(c, c) for c in word() + word()) for _ in range(r.randint(2, 4))) + r.choice("!#9"),
+                ])()
+                before = f'{r.choice(["password", "passwd", "pwd", "passphrase", "secret", "token", "db pwd"])}{r.choice([" = ", ": ", "="])}{chr(34) * quoted}'
         else:
             value = r.choice(
                 [
@@ -155,6 +164,8 @@ def findings(count: int, seed: int) -> tuple[list[tuple[str, int, int]], list[in
             if r.random() < 0.15:  # ordinary values under names of settings and credentials
                 value = r.choice([lambda: word() + word(), lambda: word() + "_" + word(), lambda: word() + str(r.randint(1, 99)), lambda: r.choice(["required", "optional", "undefined", "disabled", "expired", "missing"])])()[:40]
                 value = value if len(value) >= 6 else value + "ing" * 2
+                if r.random() < 0.3:  # what is said in quotes after such a name
+                    value = prose(r.randint(2, 12)) + r.choice(["", ".", ",", "!"])
             before = r.choice([f'{r.choice(["password", "token", "secret", "auth", "mode", "name", "see"])}{r.choice([" = ", ": ", "="])}', f"{prose(3)} ", f"{prose(2)}. ", f"http://{word()}.example/", f"{prose(1)}: ", f"{prose(2)} ("])
         text = f"{prose(4)} {before}{value}{r.choice([' ', '. ', chr(34) + ' ', ', ', chr(10)])}{prose(3)}"
         at = text.index(value, len(before))

@@ -2,7 +2,7 @@
 
 Labelled findings come from the texts themselves, values of the fixed patterns in their places against words of the same
 text put in those places and other long runs, and from rules for the formats that a corpus may lack. A part held out gives the
-calibration and, for each kind of finding, the highest threshold that keeps the wanted recall.
+calibration and one threshold for all: the highest that keeps the wanted recall of the rules' findings and of the corpus' own.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ _ASSIGN = re.compile(rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _OTHER = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}")
-#: Values under a name of credentials that are no candidates otherwise: shorter ones, other names.
-_NAMED = re.compile(r"""(?i:password|passwd|passphrase|pwd|secret|token|api_?key|credentials?|private_?key|auth)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{6,}|[^\s"']{8,64})""")
+#: Values under a name of credentials: quoted ones up to their quote on the same line, others up to a blank or quote, whatever marks they hold.
+_NAMED = re.compile(r"""(?i:password|passwd|passphrase|pwd|secret|token|api_?key|credentials?|private_?key|auth)["']?\x20*[:=]\x20*(?:"([^"\r\n]{6,})"|'([^'\r\n]{6,})'|["']?([^\s"']{6,}))""")
 KINDS = ("assign", "access", "hex", "model")
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_model long, n_sure long, found array<struct<kind:string,start:int,end:int,probability:double>>, text string"
 
@@ -45,21 +45,26 @@ def base_spans(text: str) -> list[tuple[str, int, int, int]]:
 
 
 def other_candidates(text: str, taken: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int, int]]:
-    """Spans that no base span covers: unbroken runs of 12 and more characters with a letter and a digit, and values under a name of credentials."""
-    found = {}
+    """Spans that no base span covers: unbroken runs of 12 and more characters with a letter and a digit, and whole values under a name of credentials."""
+    runs = []
     for m in _OTHER.finditer(text):
         v = m.group()
         if any(c.isdigit() for c in v) and any(c.isalpha() for c in v):
-            found[m.start()] = m.end()
+            runs.append((m.start(), m.end()))
+    found, k = [], 0
     if "=" in text or ":" in text:
-        runs, k = sorted(found.items()), 0
         for m in _NAMED.finditer(text):  # both come by start and neither overlaps its own kind
-            while k < len(runs) and runs[k][1] <= m.start(1):
+            a, b = m.span(m.lastindex)
+            while k < len(runs) and runs[k][1] <= a:
+                found.append(runs[k])
                 k += 1
-            if k == len(runs) or runs[k][0] >= m.end(1):
-                found[m.start(1)] = m.end(1)
+            while k < len(runs) and a <= runs[k][0] and runs[k][1] <= b:  # parts of the value
+                k += 1
+            if k == len(runs) or not (runs[k][0] <= a and b <= runs[k][1]):
+                found.append((a, b))
+    found += runs[k:]
     out, k, reach = [], 0, -1
-    for a, b in sorted(found.items()):  # base spans come by start, so one walk finds those that begin before a run
+    for a, b in sorted(found):  # base spans come by start, so one walk finds those that begin before a run
         while k < len(taken) and taken[k][1] <= a:
             reach = max(reach, taken[k][2])
             k += 1
@@ -124,6 +129,10 @@ def _scanned(model: CharCnn, mark: str | None):
                     for key, p in zip(owner[at : at + 4096], model.probability(views[at : at + 4096]), strict=True):
                         best[key] = max(best.get(key, 0.0), float(p))
                 for i, spans in enumerate(held):
+                    sure = {v: best[i, j] for j, (k, _, _, v) in enumerate(spans) if k != "model"}
+                    for j, (k, _, _, v) in enumerate(spans):  # what goes on with a value of a fixed pattern is at least as sure as that
+                        if k == "model":
+                            best[i, j] = max(best[i, j], sure.get(v, 0.0))
                     kept = [(k, s, e, best[i, j]) for j, (k, s, e, _) in enumerate(spans) if k != "model" or best[i, j] >= model.threshold]
                     kept.sort(key=lambda s: (s[1], KINDS.index(s[0])))
                     for k in KINDS:
@@ -207,7 +216,8 @@ def scan(docs: DataFrame, model: CharCnn | None = None, mark: str | None = "[SEC
     One row per input row: doc_id, n_assign, n_access, n_hex, n_model, n_sure (spans of any kind at or over the threshold), found (kind, start, end in code
     points, end exclusive, probability; ordered by start, then kind), text (found spans replaced by ``mark``; null when
     ``mark`` is None), and the columns named in ``keep``. Spans of the fixed patterns always stay; the
-    network scores them too, and adds candidates of kind ``model`` (``other_candidates``) at or over its threshold.
+    network scores them too, and adds candidates of kind ``model`` (``other_candidates``) at or over its threshold; one that goes on
+    with a fixed pattern's value takes that one's probability if it is higher.
     ``model``: default, one trained on the rules' findings and on those that ``docs`` label.
 
     A null text is empty and has none. Repeated rows and null ids are ordinary rows; other columns are

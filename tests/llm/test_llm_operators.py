@@ -335,6 +335,41 @@ def test_secrets(spark):
     assert secrets.scan(empty(spark)).count() == 0
 
 
+WHOLE = [
+    ("password: hunter2!x9Kq&zz-Long tail", "hunter2!x9Kq&zz-Long"),
+    ("db pwd = abcdef#GHIJKLmnop$secret", "abcdef#GHIJKLmnop$secret"),
+    ("token=" + "!a9#" * 30 + " after", "!a9#" * 30),
+    ('secret="p@ss w0rd 4 m3!" and more', "p@ss w0rd 4 m3!"),
+    ("password=abcdefghijkl!9tail#more then", "abcdefghijkl!9tail#more"),
+    ("passwd: 'k9#Lq2 x!Vz7' or", "k9#Lq2 x!Vz7"),
+    ('api_key="Zx81kqPwLm20" secret=qT#5', "Zx81kqPwLm20"),
+]
+
+
+def test_secrets_are_whole_values(spark):
+    """Marks, blanks in quotes, long values, values that go on where a fixed pattern ends: no part is left in the text."""
+    for text, value in WHOLE:
+        at = text.index(value)
+        spans = secrets.base_spans(text)
+        every = spans + secrets.other_candidates(text, spans)
+        assert any(s <= at and at + len(value) <= e for _, s, e, _ in every), text
+    got = secrets.scan(table(spark, list(enumerate(t for t, _ in WHOLE))), secrets.trained()).collect()
+    for r in got:
+        text, value = WHOLE[r.doc_id]
+        assert value[-6:] not in r.text and value[:6] not in r.text, (text, r.text)
+    calm = ['The secret: "they never went there again, and nobody asked why."', "password: required", "see token: expired", "auth: optional"]
+    assert [r.text for r in secrets.scan(table(spark, list(enumerate(calm))), secrets.trained()).orderBy("doc_id").collect()] == calm
+
+
+def test_candidates_of_values_and_runs():
+    """A run inside a value belongs to it, a value inside a run to that; what only overlaps stays beside it."""
+    c = lambda t: [t[a:b] for _, a, b, _ in secrets.other_candidates(t, [])]
+    assert c("pwd=ab!Kq93jfLw82hsk1 x") == ["ab!Kq93jfLw82hsk1"]
+    assert c("token=abcdefghij12345") == ["token=abcdefghij12345"]
+    assert c("token=abcdefghij12345!xyz") == ["token=abcdefghij12345", "abcdefghij12345!xyz"]
+    assert c("Q1w2e3r4t5y6u7 secret: 'a b c d e f' Q9w8e7r6t5y4") == ["Q1w2e3r4t5y6u7", "a b c d e f", "Q9w8e7r6t5y4"]
+
+
 def test_secrets_query(spark):
     """base_sha256 and spans of the query itself against plain patterns over whole texts."""
     data = "/root/testdata/sf0.01"
