@@ -34,8 +34,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows that repeat an id and a text stay or go together. A null or wordless text is near nothing and stays.
     """
-    gone = minhash.near_duplicates(docs, words=5, percent=80).where("not kept").select(F.col("doc_id").alias("i"), "text_hash").distinct()
-    return docs.join(gone, docs.doc_id.eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("text_hash")), "left_anti").select(COLUMNS)
+    docs = docs.select(COLUMNS)
+    gone = minhash.near_duplicates(docs, words=5, percent=80).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    return docs.join(gone, docs.doc_id.eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash")), "left_anti")
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
