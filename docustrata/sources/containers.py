@@ -10,7 +10,6 @@ import io
 import struct
 import uuid
 import zipfile
-import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binary import OLE_MAGIC as OLE_MARK
 from ..functions.binary import is_ole, is_zip
+from . import packages
 
 PARTS = "doc_id string, ord int, path string, method int, compressed_size long, size long, content binary, error string"
 #: Largest part that is unpacked: a guard against bombs. A larger one gives a row without content and an error.
@@ -38,20 +38,15 @@ def with_format(docs: DataFrame) -> DataFrame:
 
 def zip_parts(content: bytes, wanted: Callable[[str], bool]) -> Iterator[tuple]:
     """Entries in the order of the central directory; content only of wanted ones, stored or deflated."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        for n, entry in enumerate(z.infolist()):
-            data, error = None, None
-            if wanted(entry.filename):
-                if entry.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
-                    error = f"unsupported method {entry.compress_type}"
-                elif entry.file_size > MOST:
-                    error = "too large"
-                else:
-                    try:
-                        data = z.read(entry)
-                    except (zipfile.BadZipFile, zlib.error, EOFError) as e:
-                        error = str(e)
-            yield n, entry.filename, entry.compress_type, entry.compress_size, entry.file_size, data, error
+    read = packages.reader(content)
+    for n, entry in enumerate(packages.entries(read, len(content))):
+        data, error = None, None
+        if wanted(entry.name):
+            try:
+                data = packages.unpack(read, entry, MOST)
+            except packages.BadPackage as e:
+                error = str(e)
+        yield n, entry.name, entry.method, entry.compressed_size, entry.size, data, error
 
 
 _END, _FREE = 0xFFFFFFFE, 0xFFFFFFFF
@@ -112,8 +107,12 @@ class CompoundFile:
 
     def streams(self) -> Iterator[tuple[str, bytes]]:
         """(path, bytes), each storage's streams in directory order; a later stream of the same path replaces an earlier one."""
+        yield from ((path, content) for path, _, content in self.listed(lambda path: True))
+
+    def listed(self, wanted: Callable[[str], bool]) -> Iterator[tuple[str, int, bytes | None]]:
+        """(path, size, bytes) of all streams; bytes of the wanted ones only."""
         root = next((i for i, e in enumerate(self.entries) if e and e[1] == 5), None)
-        found: dict[str, bytes] = {}
+        found: dict[str, tuple[int, int]] = {}
         todo, seen = [(self.entries[root][4], "", False)] if root is not None else [], set()
         while todo:
             i, folder, open_ = todo.pop()
@@ -124,10 +123,11 @@ class CompoundFile:
             if not open_:
                 todo += [(right, folder, False), (i, folder, True), (left, folder, False)]
             elif kind == 2:
-                found[folder + name] = self._read(first, size)
+                found[folder + name] = (first, size)
             elif kind == 1:
                 todo.append((child, f"{folder}{name}/", False))
-        yield from found.items()
+        for path, (first, size) in found.items():
+            yield path, size, self._read(first, size) if wanted(path) else None
 
     def _read(self, first: int, size: int) -> bytes:
         if not size:
@@ -145,7 +145,7 @@ def _rows(decode):
                 rows = []
                 try:
                     rows = list(decode(content.as_py() or b""))
-                except (ValueError, zipfile.BadZipFile, struct.error, IndexError, NotImplementedError) as e:
+                except (ValueError, struct.error, IndexError) as e:
                     rows = [(None, None, None, None, None, None, str(e))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([doc.as_py()] * len(rows), pa.string()), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.string())))],

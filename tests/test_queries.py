@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from docustrata.plans import byte_queries  # noqa: F401 (adds its queries)
 from docustrata.plans.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
