@@ -98,14 +98,27 @@ def preview_layout(controls: DataFrame) -> DataFrame:
     )
 
 
+def internal_path(source_path: Column) -> Column:
+    """A file's path inside its macro project, without notes on how it was found; null for files from elsewhere."""
+    inner = F.regexp_extract(source_path, r"vbaProject\.bin/([\s\S]*)\z", 1)
+    plain = F.regexp_replace(F.regexp_replace(inner, r"(?i)\s+@\s+0x[0-9a-f]+.*\z", ""), r"(?i)\s+\(recovered by scan\)\z", "")
+    return F.when(F.contains(source_path, F.lit("vbaProject.bin/")), plain)
+
+
+def display_path(source_path: Column) -> Column:
+    """What a file's place is shown as: its path inside the project, control characters spelt out, or where it came from."""
+    inner = F.nullif(internal_path(source_path), F.lit(""))
+    return F.coalesce(F.replace(F.replace(inner, F.lit("\x01"), F.lit("0x01 ")), F.lit("\x03"), F.lit("0x03 ")), source_path)
+
+
 def result_owner(name: Column, source_path: Column) -> Column:
     """Whom an extracted file belongs to: the storage it came from, the package area, or its own stem."""
-    inner = F.regexp_replace(F.regexp_replace(F.regexp_extract(source_path, r"vbaProject\.bin/([\s\S]*)\z", 1), r"(?i)\s+@\s+0x[0-9a-f]+.*\z", ""), r"(?i)\s+\(recovered by scan\)\z", "")
+    inner = F.coalesce(internal_path(source_path), F.lit(""))
     owner = F.split_part(inner, F.lit("/"), F.lit(1))
     area = F.regexp_extract(source_path, r"(?i)/(word|xl|ppt)/(media|activeX|embeddings)/", 2)
-    escaped = F.replace(F.replace(owner, F.lit("\x01"), F.lit("\\x01")), F.lit("\x03"), F.lit("\\x03"))
+    shown = F.replace(F.replace(owner, F.lit("\x01"), F.lit("0x01 ")), F.lit("\x03"), F.lit("0x03 "))
     return (
-        F.when((inner != "") & ~F.startswith(F.lower(inner), F.lit("vba/")), F.when(F.rlike(owner, F.lit("(?i)^project")), "Project metadata").otherwise(escaped))
+        F.when((inner != "") & ~F.startswith(F.lower(inner), F.lit("vba/")), F.when(F.rlike(owner, F.lit("(?i)^project")), "Project metadata").otherwise(shown))
         .when(area != "", F.concat(F.lit("Office "), area, F.lit(" parts")))
         .when(name == "office-package-manifest.json", "Office package parts")
         .otherwise(F.regexp_replace(name, r"(?i)\.(bas|cls|frm|frx|png|jpg|jpeg|gif|bmp|tif|ico|cur|wmf|emf)\z", ""))
@@ -135,6 +148,27 @@ def result_groups(files: DataFrame) -> DataFrame:
     return out.withColumn("place", F.row_number().over(place))
 
 
+#: The typed lists of an owner: name -> kinds.
+LISTS = {"code": ("vba", "frm"), "resources": ("frx",), "media": ("media",), "other": ("binary",)}
+
+
+def result_lists(files: DataFrame) -> DataFrame:
+    """Each owner's files (name, kind, display_path, size) as four lists, each by kind, then display path in the order of the locale, then name.
+
+    doc_id, owner, code, resources, media, other, has_form, has_designer (a form's code or resources, not the project's own), place (owners of forms
+    first, then by name). The lists are one ordered aggregate each; a list is a row's value, so an owner's must fit one.
+    """
+    size = F.col("size") if "size" in files.columns else F.octet_length("text")
+    rows = files.select("doc_id", result_owner(F.col("name"), F.col("source_path")).alias("owner"), "name", "kind", display_path(F.col("source_path")).alias("display_path"), size.cast("long").alias("size"))
+    rows = rows.withColumns({"rank": kind_rank(F.col("kind")), "item": F.to_json(F.struct("name", "kind", "display_path", "size"))})
+    kinds = lambda own: ", ".join(f"'{k}'" for k in own)
+    one = lambda own: F.expr(f"listagg(item, ',') WITHIN GROUP (ORDER BY rank, collate(display_path, 'UNICODE'), collate(name, 'UNICODE'), size, item) FILTER (WHERE kind IN ({kinds(own)}))")
+    out = rows.groupBy("doc_id", "owner").agg(*(one(own).alias(n) for n, own in LISTS.items()), F.bool_or(F.col("kind").isin("frm", "frx")).alias("has_form"))
+    read = lambda n: F.from_json(F.concat(F.lit("["), F.coalesce(n, F.lit("")), F.lit("]")), "array<struct<name:string,kind:string,display_path:string,size:long>>").alias(n)
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("has_form").desc(), F.collate(F.col("owner"), "UNICODE")))
+    return out.select("doc_id", "owner", *(read(n) for n in LISTS), "has_form", (F.col("has_form") & (F.col("owner") != "Project metadata")).alias("has_designer"), place.alias("place"))
+
+
 def zip_path(owner: Column, kind: Column, source_path: Column, name: Column, index: Column) -> Column:
     """Path of a file in the export: owner / category / number-name; numbers are padded to three digits, never cut."""
     from ..functions.text import safe_file_name

@@ -5,6 +5,7 @@ Decoding works on one stream's bytes inside a task and yields rows; controls are
 
 from __future__ import annotations
 
+import bisect
 import re
 import struct
 
@@ -104,8 +105,9 @@ def control_record(data: bytes, at: int, kind: str, form: bool, strings: list) -
             out += [(name, f"{w} x {h} twips @ {to_hex(o)} ({sure})") for o, w, h, sure in c if mask >> bit & 1]
     elif mask >> 2 & 1 and (c := site_position(data, at + 8, min(len(data), end + SITE_REACH))):
         out.append(("Decoded SitePosition", f"{c[1]}, {c[2]} twips @ {to_hex(c[0])} ({c[3]})"))
-    own = [s for s in strings if at + 8 <= s[1] < end]
-    behind = [s for s in strings if end <= s[1] < min(len(data), end + STREAM_REACH)]
+    # strings come by offset, so those of a place are one slice
+    since = lambda place: bisect.bisect_left(strings, place, key=lambda s: s[1])
+    own, behind = strings[since(at + 8) : since(end)], strings[since(end) : since(min(len(data), end + STREAM_REACH))]
     out += _texts_of(mask, form, own, behind)
     out += [(f"Record string @ {to_hex(o)}", labels.labelled(v)) for _, o, v in own[:RECORD_TEXTS]]
     out += [(f"StreamData string @ {to_hex(o)}", labels.labelled(v)) for _, o, v in behind[:STREAM_TEXTS]]

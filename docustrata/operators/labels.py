@@ -10,7 +10,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import HUMAN, NOT_HUMAN, normalize_guid
+from ..functions.text import HUMAN, NOT_HUMAN
 
 GUIDS = {
     "{00020430-0000-0000-C000-000000000046}": "OLE Automation / stdole",
@@ -86,13 +86,19 @@ def color_label(index: Column) -> Column:
     return F.coalesce(_looked_up(SYSTEM_COLORS, index.cast("int")), F.concat(F.lit("system color "), index.cast("string")))
 
 
+_ID_TEXT = r"(?i)\{[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\}"
+
+
 def with_label(x: Column) -> Column:
-    """A program identifier, or a text with a known GUID, followed by its label in brackets; any other text as it is."""
-    label = F.coalesce(prog_id_label(x), guid_label(normalize_guid(x)))
-    return F.when(label.isNotNull(), F.concat(x, F.lit(" ("), label, F.lit(")"))).otherwise(x)
+    """A program identifier followed by its label in brackets; a text whose first GUID is known with that in upper case and its label right behind it; any other text as it is."""
+    found = F.regexp_extract(x, _ID_TEXT, 0)
+    program, name = prog_id_label(x), guid_label(found)
+    at = F.instr(x, found)  # the text is cut around the GUID, so it may hold any characters
+    told = F.concat(F.substring(x, F.lit(1), at - 1), F.upper(found), F.lit(" ("), name, F.lit(")"), F.substring(x, at + F.length(found), F.length(x)))
+    return F.when(program.isNotNull(), F.concat(x, F.lit(" ("), program, F.lit(")"))).when(name.isNotNull(), told).otherwise(x)
 
 
-_ID = re.compile(r"(?i)\{[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\}")
+_ID = re.compile(_ID_TEXT)
 
 
 def labelled(x: str) -> str:

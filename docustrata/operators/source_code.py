@@ -227,19 +227,49 @@ def call_edges(procs_with_body: DataFrame) -> DataFrame:
     return calls(procs_with_body).join(owners, ["doc_id", "callee"], "left").withColumn("callee_module", F.coalesce("callee_module", F.lit("unknown")))
 
 
+_WORD = "[A-Za-z0-9_]+"
+
+
+def _short(gap: Column) -> Column:
+    """What stands between words, a long one by its digest."""
+    return F.when(F.length(gap) <= 32, gap).otherwise(F.md5(gap))
+
+
+def postings(x: Column) -> Column:
+    """Every word of a text (pos, token in lower case) with what stands before and after it, and whether a word stands on either side."""
+    words, gaps = F.regexp_extract_all(x, F.lit(_WORD), F.lit(0)), F.split(x, _WORD, -1)
+    return F.transform(words, lambda w, i: F.struct(i.alias("pos"), F.lower(w).alias("token"), _short(F.get(gaps, i)).alias("before"), _short(F.get(gaps, i + 1)).alias("after"), (i > 0).alias("follows"), (i < F.size(words) - 1).alias("leads")))
+
+
+def phrase_matches(texts: DataFrame, phrases: DataFrame, by: str, text: str, phrase: str, owner: list[str]) -> DataFrame:
+    """Texts (by, owner, text) that hold a phrase (by, phrase) between word boundaries, whatever its case: distinct (by, owner, phrase).
+
+    Words and their places are joined, never texts: each word of a phrase meets its postings with the same neighbours, and a phrase
+    stands where all of its words do at one distance. A phrase of marks alone must fill the gap between two words. An empty phrase stands nowhere.
+    """
+    posts = texts.select(by, *owner, F.explode(postings(F.coalesce(text, F.lit("")))).alias("p")).select(by, *owner, "p.*")
+    wanted = phrases.where(F.col(phrase) != "").select(by, phrase).distinct()
+    words = wanted.select(by, phrase, postings(F.col(phrase)).alias("w")).withColumn("n", F.size("w"))
+    each = words.select(by, phrase, "n", F.explode("w").alias("w")).select(by, phrase, "n", F.col("w.pos").alias("at"), F.col("w.token").alias("token"), F.col("w.before").alias("first"), F.col("w.after").alias("last"))
+    met = posts.join(each, [by, "token"])
+    # marks before its first word or behind its last one must fill a gap; a gap inside it must be the same
+    before = F.when(F.col("at") > 0, F.col("before") == F.col("first")).otherwise((F.col("first") == "") | F.col("follows") & (F.col("before") == F.col("first")))
+    after = (F.col("at") < F.col("n") - 1) | (F.col("last") == "") | F.col("leads") & (F.col("after") == F.col("last"))
+    at = met.where(before & after).groupBy(by, *owner, phrase, "n", (F.col("pos") - F.col("at")).alias("start")).agg(F.count("*").alias("hits"))
+    marks = words.where("n = 0").select(by, phrase, _short(F.col(phrase)).alias("before"))
+    between = posts.where("follows").join(marks, [by, "before"]).select(by, *owner, phrase)
+    return at.where("hits = n").select(by, *owner, phrase).unionByName(between).distinct()
+
+
 def module_references(files: DataFrame) -> DataFrame:
     """Pairs of modules of a document where the first one's text names the second: (doc_id, module, reference).
 
-    Names that are one identifier meet by token. The others are looked for in texts that hold their
-    first identifier; a name without any cannot stand between word boundaries.
+    Names that are one identifier meet by token, all others as phrases; no text is shuffled.
     """
     texts = files.select("doc_id", module_name(F.col("name")).alias("module"), F.coalesce("text", F.lit("")).alias("text"))
-    names = texts.select("doc_id", F.col("module").alias("reference")).distinct().withColumn("first", F.lower(F.regexp_extract("reference", "[A-Za-z0-9_]+", 0)))
-    plain = F.rlike("reference", F.lit(r"^[A-Za-z0-9_]+\z"))
-    said = texts.select("doc_id", "module", "text", F.explode(tokens(F.col("text"))).alias("first"))
-    by_token = said.drop("text").join(names.where(plain), ["doc_id", "first"]).where("module <> reference").select("doc_id", "module", "reference")
-    quoted = F.concat(F.lit(r"\Q"), "reference", F.lit(r"\E"))
-    edge = spark(r"\b", ignore_case=False)
-    whole = F.expr("rlike(text, pattern)")
-    odd = names.where(~plain & (F.col("first") != "")).join(said, ["doc_id", "first"]).withColumn("pattern", F.concat(F.lit("(?i)" + edge), quoted, F.lit(edge))).where(whole).where("module <> reference").select("doc_id", "module", "reference")
-    return by_token.unionByName(odd).distinct()
+    names = texts.select("doc_id", F.col("module").alias("reference")).distinct()
+    plain = F.rlike("reference", F.lit(rf"^{_WORD}\z"))
+    said = texts.select("doc_id", "module", F.explode(tokens(F.col("text"))).alias("token"))
+    by_token = said.join(names.where(plain).withColumn("token", F.lower("reference")), ["doc_id", "token"]).select("doc_id", "module", "reference")
+    phrases = phrase_matches(texts, names.where(~plain), "doc_id", "text", "reference", ["module"])
+    return by_token.unionByName(phrases).where("module <> reference").distinct()

@@ -59,7 +59,7 @@ def media(resources: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def extracted_files(docs: DataFrame, files: DataFrame, resources: DataFrame, media: DataFrame, parts: DataFrame, references: DataFrame) -> DataFrame:
-    """All files that an extraction gives: doc_id, n (from 1, by kind, then name), name, kind, mime_type, source_path, content, size."""
+    """All files that an extraction gives: doc_id, n (from 1, by kind, then name in the order of the locale), name, kind, mime_type, source_path, content, size."""
     columns = ["doc_id", "name", "kind", "mime_type", "source_path", "content"]
     text = F.lit("text/plain;charset=windows-1252")
     code = files.select("doc_id", "name", "kind", text.alias("mime_type"), "source_path", F.encode("text", "UTF-8").alias("content"))
@@ -75,7 +75,7 @@ def extracted_files(docs: DataFrame, files: DataFrame, resources: DataFrame, med
     # a path begins with its document's name; a loose file's is that name
     at = F.when(F.contains("source_path", F.lit("://")) | F.startswith("source_path", F.lit("file:/")) | (F.col("source_path") == F.col("file_name")), F.col("file_name")).when(F.startswith("source_path", F.concat("file_name", F.lit(" / "))), F.col("source_path")).otherwise(F.concat("file_name", F.lit("/"), "source_path"))
     every = every.join(docs.select("doc_id", "file_name"), "doc_id").withColumn("source_path", at).drop("file_name")
-    n = F.row_number().over(Window.partitionBy("doc_id").orderBy(C.kind_rank(F.col("kind")), "name", "source_path"))
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy(C.kind_rank(F.col("kind")), F.collate(F.col("name"), "UNICODE"), "source_path"))
     return every.withColumns({"n": n, "size": F.octet_length("content").cast("long")})
 
 
@@ -149,5 +149,6 @@ def model(spark: SparkSession, path: str, scratch: str | None = None) -> dict[st
         "preview": C.preview_layout(controls),
         "files": placed,
         "result_groups": C.result_groups(every),
+        "result_lists": C.result_lists(every),
         "validation": C.validation(every, controls, linked),
     }

@@ -11,6 +11,7 @@ from ..functions import binary as B
 from ..functions import text as T
 from ..functions.patterns import duckdb
 from ..operators import controls as C
+from ..operators import labels as LABELS
 from ..operators import reports as R
 from ..operators import rules
 from ..operators import source_code as S
@@ -422,11 +423,22 @@ def form_record_values(spark, sf_dir):
     return forms.form_records(forms.form_streams(rows)).select(c("doc_id").cast("long").alias("o_orderkey"), "prop_ord", "name", "value")
 
 
-@_query("guid_labels", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'Forms.Label.1 (Microsoft Forms 2.0 Label control)' WHEN 1 THEN 'x {d7053240-ce69-11cd-a777-00dd01143c57} (Microsoft Forms 2.0 CommandButton)' ELSE 'none' END AS label FROM orders")
+#: Every known identifier, in an order of its own for SQL and Spark alike.
+_KNOWN = [*LABELS.GUIDS.items(), *LABELS.PROG_IDS.items()]
+
+
+@_query(
+    "guid_labels",
+    "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN x[1] || ' (' || x[2] || ')' WHEN 1 THEN CASE WHEN x[1] LIKE '{%' THEN 'a$1 ' || upper(x[1]) || ' (' || x[2] || ') ' || x[1] ELSE 'a$1 ' || x[1] || ' ' || x[1] END ELSE 'none {00000000-0000-0000-0000-000000000000}' END AS label FROM (SELECT o_orderkey, ["
+    + ", ".join(f"['{k}', '{v}']" for k, v in _KNOWN)
+    + f"][o_orderkey % {len(_KNOWN)} + 1] AS x FROM orders)",
+)
 def guid_labels(spark, sf_dir):
+    """Texts with every known identifier: alone, inside a text, and none."""
     from ..operators.labels import with_label
 
-    text = F.when(c("o_orderkey") % 3 == 0, "Forms.Label.1").when(c("o_orderkey") % 3 == 1, "x {d7053240-ce69-11cd-a777-00dd01143c57}").otherwise("none")
+    known = F.element_at(F.array(*(F.lit(k) for k, _ in _KNOWN)), (c("o_orderkey") % len(_KNOWN)).cast("int") + 1)
+    text = F.when(c("o_orderkey") % 3 == 0, known).when(c("o_orderkey") % 3 == 1, F.concat(F.lit("a$1 "), known, F.lit(" "), known)).otherwise("none {00000000-0000-0000-0000-000000000000}")
     return _read(spark, sf_dir, "orders", "o_orderkey").select("o_orderkey", with_label(text).alias("label"))
 
 

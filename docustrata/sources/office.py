@@ -1,4 +1,4 @@
-"""Spark data sources over folders of documents: ``office_parts`` (entries of packages) and ``office_streams`` (compound streams).
+"""Spark data sources over folders of documents: ``office_parts`` (entries of packages), ``office_streams`` (compound streams), ``byte_chunks`` (files of any size in ranges).
 
     office.register(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
@@ -31,8 +31,9 @@ from .containers import MOST, CompoundFile
 
 PARTS = "doc_id string, file string, ord int, path string, kind string, method int, compressed_size long, size long, content binary, error string, unpacked long"
 STREAMS = "doc_id string, file string, container string, ord int, path string, kind string, size long, content binary, error string, unpacked long"
-#: Bytes of files in a partition.
-PARTITION = 128 << 20
+CHUNKS = "doc_id string, file string, start long, content binary"
+#: Bytes of files in a partition; bytes of a chunk.
+PARTITION, CHUNK = 128 << 20, 1 << 20
 
 
 def part_kind(path: str) -> str:
@@ -214,8 +215,46 @@ class OfficeStreams(DataSource):
         return OfficeReader(schema, dict(self.options), True)
 
 
+class ChunkReader(OfficeReader):
+    """Ranges of files: a partition is a run of chunks of one file."""
+
+    KNOWN = ("file", "doc_id")
+
+    def partitions(self):
+        size = int(self.options.get("chunkbytes", CHUNK))
+        most = max(1, int(self.options.get("maxpartitionbytes", PARTITION)) // size)
+        if size < 32 or size % 2:
+            raise ValueError("chunks have an even size of 32 bytes at least")
+        runs = [(path, at, min(at + size * most, n)) for path, n in self.listed() for at in range(0, n, size * most)]
+        return [Files(i, [(run, size)]) for i, run in enumerate(runs)]
+
+    def read(self, partition: Files) -> Iterator[tuple]:
+        for (path, since, till), size in partition.files:
+            store, at = _store(path)
+            with store.open_input_file(at) as f:
+                for start in range(since, till, size):
+                    row = self._file(path) | {"start": start}
+                    if "content" in self.columns:
+                        row["content"] = f.read_at(min(size, till - start), start)
+                    yield tuple(row.get(c) for c in self.columns)
+
+
+class ByteChunks(DataSource):
+    """Files of any size as chunks (doc_id, file, start, content) of ``chunkBytes`` (default 1 MB); for the scans of ``operators.chunks``."""
+
+    @classmethod
+    def name(cls):
+        return "byte_chunks"
+
+    def schema(self):
+        return CHUNKS
+
+    def reader(self, schema):
+        return ChunkReader(schema, dict(self.options), False)
+
+
 def register(spark: SparkSession) -> None:
-    """Makes both formats known to a session, and lets Spark hand filters to them."""
+    """Makes the formats known to a session, and lets Spark hand filters to them."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    for source in (OfficeParts, OfficeStreams):
+    for source in (OfficeParts, OfficeStreams, ByteChunks):
         spark.dataSource.register(source)
