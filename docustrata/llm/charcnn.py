@@ -54,7 +54,6 @@ class CharCnn:
 
     def fit(self, views, labels, epochs: int = 12, batch: int = 128, rate: float = 4e-3, seed: int = 5) -> None:
         """Logistic loss, Adam."""
-        ids, inside = arrays(views)
         y = np.asarray(labels, float)
         r = np.random.default_rng(seed)
         m1 = {k: np.zeros_like(v) for k, v in self.w.items()}
@@ -64,7 +63,8 @@ class CharCnn:
             order = r.permutation(len(y))
             for a in range(0, len(y), batch):
                 pick = order[a : a + batch]
-                x, cols, z, m, count, top, pooled, out = self._forward(ids[pick], inside[pick])
+                ids, inside = arrays([views[i] for i in pick])
+                x, cols, z, m, count, top, pooled, out = self._forward(ids, inside)
                 g = (1 / (1 + np.exp(-np.clip(out, -30, 30))) - y[pick]) / len(pick)
                 dp = g[:, None] * self.w["d"]
                 dz = np.broadcast_to((dp[:, f:] / count)[:, None, :], z.shape) * m
@@ -75,7 +75,7 @@ class CharCnn:
                 for j in range(self.width):
                     dx[:, j : j + z.shape[1]] += dcols[:, :, j]
                 de = np.zeros_like(self.w["e"])
-                np.add.at(de, ids[pick], dx[:, :, :-1])
+                np.add.at(de, ids, dx[:, :, :-1])
                 grads = {"e": de, "k": np.tensordot(cols, dz, ((0, 1), (0, 1))), "c": dz.sum((0, 1)), "d": g @ pooled, "b": np.array([g.sum()])}
                 step += 1
                 for k, d in grads.items():
@@ -85,8 +85,7 @@ class CharCnn:
 
     def calibrate(self, views, labels, recall: float) -> None:
         """Platt scaling on findings held out from ``fit``, then the highest threshold that keeps ``recall`` of the true ones."""
-        ids, inside = arrays(views)
-        out, y = self._forward(ids, inside)[-1], np.asarray(labels, float)
+        out, y = self._scores(views), np.asarray(labels, float)
         s, t = 1.0, 0.0
         for _ in range(200):
             p = 1 / (1 + np.exp(-np.clip(s * out + t, -30, 30)))
@@ -96,11 +95,12 @@ class CharCnn:
         true = np.sort(self.probability(views)[y > 0.5])
         self.threshold = float(true[int((1 - recall) * len(true))])
 
+    def _scores(self, views) -> np.ndarray:
+        """Outputs before calibration, a few hundred views at a time."""
+        return np.concatenate([np.zeros(0), *(self._forward(*arrays(views[a : a + 256]))[-1] for a in range(0, len(views), 256))])
+
     def probability(self, views) -> np.ndarray:
-        if not views:
-            return np.zeros(0)
-        ids, inside = arrays(views)
-        return 1 / (1 + np.exp(-np.clip(self.scale * self._forward(ids, inside)[-1] + self.shift, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.scale * self._scores(views) + self.shift, -30, 30)))
 
 
 def look_alike(words: list[str], length: int, seed: int) -> str:

@@ -88,14 +88,19 @@ def fit_arrays(x: list[np.ndarray], y: np.ndarray, grades: int, epochs: int = 60
     if not n:
         return model
     test = np.arange(n) % HELD_OUT == HELD_OUT - 1
-    flat, length = np.concatenate(x), [len(f) for f in x]
-    seen = np.bincount(flat, minlength=DIMENSIONS)
     z = np.zeros(DIMENSIONS)
+    # in how many texts of each grade a feature is, from a few texts at a time: copies of all features would not be small
+    by_grade = np.zeros((grades, DIMENSIONS), np.int32)
+    for a in range(0, n, 256):
+        for k in range(grades):
+            own = [f for f, g in zip(x[a : a + 256], y[a : a + 256], strict=True) if g == k]
+            if own:
+                by_grade[k] += np.bincount(np.concatenate(own), minlength=DIMENSIONS).astype(np.int32)
+    seen = by_grade.sum(axis=0)
     for k in range(grades - 1):  # among the texts of grade k and over: those over k
-        at = np.repeat(y >= k, length)
-        over = np.repeat((y > k) - np.mean(y[y >= k] > k) if (y >= k).any() else y * 0.0, length)[at]
-        n_k = np.bincount(flat[at], minlength=DIMENSIONS)
-        z = np.maximum(z, np.abs(np.bincount(flat[at], weights=over, minlength=DIMENSIONS)) / np.maximum(np.std((y > k)[y >= k]) * np.sqrt(n_k), 1e-9))
+        n_k, over = by_grade[k:].sum(axis=0), by_grade[k + 1 :].sum(axis=0)
+        share = np.mean(y[y >= k] > k) if (y >= k).any() else 0.0
+        z = np.maximum(z, np.abs(over - share * n_k) / np.maximum(np.std((y > k)[y >= k]) * np.sqrt(n_k), 1e-9))
     z[seen < min(least, max(1, n // 20))] = 0
     telling = np.zeros(DIMENSIONS, bool)
     telling[np.argsort(-z, kind="stable")[:most]] = True
@@ -154,7 +159,7 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = SAMPLE,
     found = base.join(F.broadcast(rated), "k").mapInArrow(_features_of, "k long, grade int, features binary")
     # rows that repeat a rated id count once, by the least of their features: the driver gets ``sample`` rows at most
     got = found.groupBy("k", "grade").agg(F.min("features").alias("features")).toArrow().sort_by([("k", "ascending"), ("grade", "ascending")])
-    x = [np.frombuffer(b.as_buffer(), "<i4").astype(np.int64) for b in got.column("features")]
+    x = [np.frombuffer(b.as_buffer(), "<i4") for b in got.column("features")]
     return fit_arrays(x, got.column("grade").to_numpy().astype(np.int64), grades)
 
 
