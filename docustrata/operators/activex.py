@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.containers import OLE_MARK, CompoundFile
-from . import forms, labels, pictures
+from . import forms, labels, merges, pictures
 from .binary import find_guids, find_strings
 from .pictures import to_hex
 
@@ -129,6 +129,6 @@ def persisted_controls(controls: DataFrame) -> DataFrame:
     schema = "doc_id string, id string, ord int, xml_path string, bin_path string, class_id string, label string, persistence string, properties map<string,string>, persistence_analysis " + _TYPE
     out = controls.select(*kept, "properties", "bin").mapInArrow(_persisted, schema)
     said = F.coalesce(F.col("persistence_analysis.properties"), F.array().cast("array<struct<name:string,value:string,source:string,confidence:string>>"))
-    added = F.aggregate(said, F.expr("CAST(map() AS map<string,string>)"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != F.concat(F.lit("bin."), p["name"])), F.create_map(F.concat(F.lit("bin."), p["name"]), p["value"])))
-    merged = F.map_concat(F.map_filter("properties", lambda k, v: ~F.map_contains_key(added, k)), added)
+    own = F.transform(F.map_entries("properties"), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value")))
+    merged = merges.merged(F.concat(F.coalesce(own, F.array().cast("array<struct<name:string,value:string>>")), F.transform(said, lambda p: F.struct(F.concat(F.lit("bin."), p["name"]).alias("name"), p["value"].alias("value")))))
     return out.withColumns({"label": F.coalesce("persistence_analysis.class.user_type", "label"), "properties": merged, "source_files": F.filter(F.array("xml_path", "bin_path"), lambda x: x.isNotNull())})

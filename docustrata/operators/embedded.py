@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binary import decode_cp1252
 from ..functions.text import hex_pairs, js_trim, lines, normalize_guid, to_hex
-from . import labels
+from . import labels, merges
 
 
 def u32_at(hexadecimal: Column, offset: Column) -> Column:
@@ -29,11 +29,7 @@ def xml_properties(xml: Column) -> Column:
     linked = F.regexp_extract(xml, r'(?i)r:id="([^"]+)"', 1)
     extra = F.when(linked != "", F.array(F.struct(F.lit("relationshipId").alias("k"), linked.alias("v"))))
     every = F.concat(pairs(attribute), pairs(element), F.coalesce(extra, F.array().cast("array<struct<k:string,v:string>>")))
-    # of one name the last value: values by place, then the last place of each name
-    placed = F.transform(every, lambda p, i: F.struct(p["k"].alias("k"), i.alias("i"), p["v"].alias("v")))
-    order = F.array_sort(placed)
-    last = F.filter(F.transform(order, lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), F.get(order, i + 1)["k"].alias("next"))), lambda p: p["next"].isNull() | (p["next"] != p["k"]))
-    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"], p["v"])))
+    return merges.merged(every, "k", "v")
 
 
 def activex_controls(parts: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import binary, labels, pictures
+from . import binary, labels, merges, pictures
 from .binary import FORM_FLAGS, SITE_FLAGS, find_strings
 from .pictures import to_hex
 
@@ -264,11 +264,12 @@ def controls(streams: DataFrame, analysed: DataFrame) -> DataFrame:
         lambda a, x: F.struct(F.coalesce(x["said_name"], a["name"], x["said_caption"], a["caption"], x["label"]).alias("name"), F.coalesce(x["said_caption"], a["caption"], x["label"]).alias("caption")),
     )
     last = lambda f: F.element_at(F.filter(F.transform("s", lambda x: x[f]), lambda v: v.isNotNull()), -1)
-    entries = F.flatten(F.transform("s", lambda x: x["own"]))
-    merged = F.aggregate(entries, F.expr("CAST(map() AS map<string,string>)"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p["name"]), F.create_map(p["name"], p["value"])))
+    entries = said.select(*key, "ord", "stream", F.posexplode("own").alias("pos", "p")).select(*key, "ord", "stream", "pos", "p.*")
+    merged = merges.as_map(merges.last_wins(entries, key, ["ord", "stream", "pos"]), key)
     has = F.size("s") > 0
     some = lambda f: F.when(has & F.exists("s", lambda x: x[f].isNotNull()), last(f))
-    facts = rows.select(*key, folded.alias("f"), some("prog_id").alias("prog_id"), some("type").alias("type"), merged.alias("properties"), F.transform("s", lambda x: x["stream"]).alias("streams"))
+    facts = rows.select(*key, folded.alias("f"), some("prog_id").alias("prog_id"), some("type").alias("type"), F.transform("s", lambda x: x["stream"]).alias("streams"))
+    facts = facts.join(merged, key, "left").withColumn("properties", F.coalesce("properties", F.expr("cast(map() as map<string,string>)")))
     # bounds by the bytes of a control's first form stream
     own_f = streams.where(F.endswith("path", F.lit("/f"))).withColumn("k", F.to_json(F.struct("doc_id", "container", "path"))).select("k", "content")
     guess = inferred_bounds(own_f, "k", "content")

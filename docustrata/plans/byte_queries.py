@@ -58,13 +58,15 @@ _query(
 )
 
 _GUID = lambda h: f"'{{' || upper(concat_ws('-', substr({h}, 7, 2) || substr({h}, 5, 2) || substr({h}, 3, 2) || substr({h}, 1, 2), substr({h}, 11, 2) || substr({h}, 9, 2), substr({h}, 15, 2) || substr({h}, 13, 2), substr({h}, 17, 4), substr({h}, 21, 12))) || '}}'"
+_G = "hex(lpad(k, 8, '0')) || lpad(hex(128 + k % 64), 2, '0') || hex(lpad(k * 7 % 10000000, 7, '0'))"
+#: One GUID, or two on end, between bytes that hold none.
+GUID_CONTENT = f"repeat('41', cast(k % 5 as int)) || {_G} || case when k % 2 = 0 then {_G} else '' end || case when k % 3 = 0 then repeat('00', 20) else repeat('FF', 20) end"
 _query(
     "guids_in_bytes",
     f"""WITH g AS (SELECT k, hex(lpad(k::VARCHAR, 8, '0')) || lpad(hex(128 + k % 64), 2, '0') || hex(lpad((k * 7 % 10000000)::VARCHAR, 7, '0')) AS h FROM {_K})
     SELECT k AS o_orderkey, (k % 5)::BIGINT AS "offset", {_GUID("h")} AS guid FROM g UNION ALL SELECT k, k % 5 + 16, {_GUID("h")} FROM g WHERE k % 2 = 0""",
     "SELECT cast(key AS BIGINT) AS o_orderkey, offset, guid FROM guids_of(TABLE(SELECT k, content FROM {t}))",
-    {"g": "hex(lpad(k, 8, '0')) || lpad(hex(128 + k % 64), 2, '0') || hex(lpad(k * 7 % 10000000, 7, '0'))"},
-    content="repeat('41', cast(k % 5 as int)) || g || case when k % 2 = 0 then g else '' end || case when k % 3 = 0 then repeat('00', 20) else repeat('FF', 20) end",
+    content=GUID_CONTENT,
 )
 
 _N = "(14 + k % 50)"

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import table_functions
-from ..operators import controls, intervals, source_code, trees
+from ..operators import chunks, controls, intervals, merges, source_code, trees
 from ..operators.forms import _STRING_BITS
-from .byte_queries import _le
+from .byte_queries import GUID_CONTENT, _le
 from .queries import QUERIES, SQL
 
 #: Customers as controls, 400 to a form: three children each, six levels deep, some with an absent parent, some in a loop, in an order of their own.
@@ -153,3 +153,56 @@ def phrase_references(spark, sf_dir):
 QUERIES["phrase_references"] = phrase_references
 SQL["phrase_references"] = f"""WITH f AS (SELECT doc_id, regexp_replace(name, '[.]bas$', '') AS module, text FROM ({_PHRASES.format(customer="customer")}))
 SELECT DISTINCT a.doc_id, a.module, b.module AS reference FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.module <> b.module AND regexp_matches(a.text, '(?i)\\b' || regexp_escape(b.module) || '\\b')"""
+
+
+def merged_properties(spark, sf_dir):
+    """Of an order's lines: the last value of each name, then what a second list fills, with what it had empty."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("k"), F.concat("l_returnflag", F.col("l_linenumber") % 3).alias("name"), F.when(F.col("l_partkey") % 5 > 0, F.col("l_partkey").cast("string")).otherwise("").alias("value"), F.col("l_linenumber").alias("at"))
+    more = lines.select("k", F.concat(F.lit("N"), F.col("at") % 2).alias("name"), F.lit("fresh").alias("value"), "at").unionByName(lines.withColumn("value", F.concat(F.lit("m"), "at")))
+    own = merges.last_wins(lines, ["k"], ["at", "value"])
+    filled = merges.fill_missing(own, merges.last_wins(more, ["k"], ["at", "value"]), ["k"], empty_too=True)
+    text = lambda df, n: merges.as_map(df, ["k"]).select("k", F.array_join(F.transform(F.map_entries("properties"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias(n))
+    return text(own, "own").join(text(filled, "filled"), "k")
+
+
+QUERIES["merged_properties"] = merged_properties
+SQL["merged_properties"] = """WITH l AS (SELECT l_orderkey AS k, l_returnflag || (l_linenumber % 3) AS name, CASE WHEN l_partkey % 5 > 0 THEN l_partkey::VARCHAR ELSE '' END AS value, l_linenumber AS line FROM lineitem),
+m AS (SELECT k, 'N' || (line % 2) AS name, 'fresh' AS value, line FROM l UNION ALL SELECT k, name, 'm' || line, line FROM l),
+a AS (SELECT k, name, arg_max(value, (line, value)) AS value, min((line, value)) AS first FROM l GROUP BY k, name), b AS (SELECT k, name, arg_max(value, (line, value)) AS value, min((line, value)) AS first FROM m GROUP BY k, name),
+f AS (SELECT k, name, CASE WHEN coalesce(a.value, '') = '' THEN b.value ELSE a.value END AS value, a.name IS NULL AS late, coalesce(a.first, b.first) AS first FROM a FULL JOIN b USING (k, name))
+SELECT k, (SELECT string_agg(name || '=' || value, ';' ORDER BY first, name) FROM a WHERE a.k = f.k) AS own, string_agg(name || '=' || value, ';' ORDER BY late, first, name) AS filled FROM f GROUP BY k"""
+
+
+def _text_chunks(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").cast("binary").alias("content"))
+    return chunks.chunked(docs, "doc_id", "content", 4096)
+
+
+def chunked_profile(spark, sf_dir):
+    """Size, entropy and strings of texts that are scanned in chunks of 4096 bytes."""
+    cut = _text_chunks(spark, sf_dir)
+    found = chunks.chunk_strings(cut).where("encoding = 'ASCII'").groupBy("key").agg(F.count("*").alias("n_strings"), F.sum(F.col("offset")).alias("offsets"), F.sum(F.length("value")).alias("n_chars"))
+    out = chunks.chunk_profile(cut).join(found, "key", "left")
+    return out.select(F.col("key").alias("doc_id"), "size", F.round("entropy", 6).alias("entropy"), "zero_bytes", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_strings", "offsets", "n_chars")))
+
+
+QUERIES["chunked_profile"] = chunked_profile
+SQL["chunked_profile"] = r"""WITH e AS (
+  SELECT doc_id, sum(n)::BIGINT AS size, round(-sum(n / t * log2(n / t)), 6) AS entropy FROM (SELECT doc_id, b, count(*)::DOUBLE AS n, sum(count(*)) OVER (PARTITION BY doc_id) AS t FROM (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '[0-9A-F]{2}')) AS b FROM documents) GROUP BY doc_id, b) GROUP BY doc_id
+), r AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[\x20-\x7e]+|[^\x20-\x7e]+')) AS x, generate_subscripts(regexp_extract_all(text, '[\x20-\x7e]+|[^\x20-\x7e]+'), 1) AS i FROM documents
+), o AS (
+  SELECT doc_id, x, sum(strlen(x)) OVER (PARTITION BY doc_id ORDER BY i) - strlen(x) AS o FROM r
+), s AS (
+  SELECT doc_id, count(*) AS n_strings, sum(o)::BIGINT AS offsets, sum(strlen(x))::BIGINT AS n_chars FROM o WHERE regexp_full_match(x, '[\x20-\x7e]{4,}') GROUP BY doc_id
+) SELECT e.doc_id, size, entropy, 0::BIGINT AS zero_bytes, coalesce(n_strings, 0)::BIGINT AS n_strings, coalesce(offsets, 0)::BIGINT AS offsets, coalesce(n_chars, 0)::BIGINT AS n_chars FROM e LEFT JOIN s USING (doc_id)"""
+
+
+def chunked_guids(spark, sf_dir):
+    """The GUIDs of ``guids_in_bytes``, found in chunks of 32 bytes, so that most of them go over a border."""
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k")).repartition(spark.sparkContext.defaultParallelism, "k")
+    rows = keys.select("k", F.unhex(F.expr(GUID_CONTENT)).alias("content"))
+    return chunks.chunk_guids(chunks.chunked(rows, "k", "content", 32)).select(F.col("key").alias("o_orderkey"), "offset", "guid")
+
+
+QUERIES["chunked_guids"], SQL["chunked_guids"] = chunked_guids, SQL["guids_in_bytes"]
