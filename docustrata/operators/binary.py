@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.binary import read_u16, read_u32, unsigned
 from . import pictures
 
 
@@ -103,35 +102,10 @@ def signatures(rows: DataFrame, key: str, column: str) -> DataFrame:
 
 # Bit -> property of a form's and of a site's property mask (public MS-OFORMS format).
 FORM_FLAGS = {1: "BackColor", 2: "ForeColor", 3: "NextAvailableID", 6: "BooleanProperties", 7: "BorderStyle", 8: "MousePointer", 9: "ScrollBars", 10: "DisplayedSize", 11: "LogicalSize", 12: "ScrollPosition", 13: "GroupCount", 15: "MouseIcon", 16: "Cycle", 17: "SpecialEffect", 18: "BorderColor", 19: "Caption", 20: "Font", 21: "Picture", 22: "Zoom", 23: "PictureAlignment", 24: "PictureTiling", 25: "PictureSizeMode", 26: "ShapeCookie", 27: "DrawBuffer"}
+GENERIC_FLAGS = {b: f"Property{b}" for b in range(32)} | {10: "Size/position", 11: "Caption/name string", 12: "Font", 13: "Picture/icon", 14: "Mouse/icon data", 15: "Extra data"}
 SITE_FLAGS = {0: "Name", 1: "Tag", 2: "Position", 3: "ControlTipText", 4: "RuntimeLicKey", 5: "ControlSource", 6: "RowSource", 7: "Enabled/visibility flags"}
 
 
 def mask_flags(mask: Column, flags: dict[int, str]) -> Column:
     """Names of the bits that are set, by bit."""
     return F.filter(F.array(*(F.when(F.getbit(mask, F.lit(b)) == 1, F.lit(n)) for b, n in flags.items())), lambda x: x.isNotNull())
-
-
-def form_headers(rows: DataFrame, key: str, column: str) -> DataFrame:
-    """Header of form streams: size and the properties that its mask names. Streams without a valid header give no row."""
-    x = F.col(column)
-    size = read_u16(x, 2)
-    ok = (F.octet_length(x) >= 8) & (unsigned(x, 0, 1) == 0) & unsigned(x, 1, 1).isin(2, 4) & (size >= 4) & (size <= F.octet_length(x))
-    return rows.where(ok).select(key, (size + 4).alias("size"), read_u32(x, 4).alias("mask"), mask_flags(read_u32(x, 4), FORM_FLAGS).alias("properties"))
-
-
-def profiles(rows: DataFrame, key: str, column: str) -> DataFrame:
-    """Of each stream: size, entropy, zero_bytes, numbers of strings, GUIDs, signatures and pictures among these. One pass over its bytes, no shuffle."""
-
-    def counted(batches):
-        for batch in batches:
-            data = [x.as_py() or b"" for x in batch.column("content")]
-            raw = [np.frombuffer(d, np.uint8) for d in data]
-            seen = [pictures.find_signatures(d) for d in data]
-            picture = re.compile("image|bitmap|icon|cursor", re.I)
-            cols = [[len(d) for d in data], [_bits(d) for d in raw], [int((d == 0).sum()) for d in raw], [len(find_strings(d)) for d in data], [len(find_guids(d)) for d in data], [len(s) for s in seen], [sum(bool(picture.search(x[1])) for x in s) for s in seen]]
-            kinds = [pa.int64(), pa.float64(), *[pa.int64()] * 5]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], [batch.schema.names[0], *names])
-
-    names = ["size", "entropy", "zero_bytes", "n_strings", "n_guids", "n_signatures", "n_media"]
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, F.col(column).cast("binary").alias("content")).mapInArrow(counted, f"`{key}` {kind}, " + ", ".join(f"{n} {'double' if n == 'entropy' else 'long'}" for n in names))

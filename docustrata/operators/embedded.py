@@ -45,20 +45,6 @@ def activex_controls(parts: DataFrame) -> DataFrame:
     return out.select("doc_id", F.concat(F.lit("activeX"), "number").alias("id"), "ord", "xml_path", F.col("b.path").alias("bin_path"), F.coalesce(guid, class_id).alias("class_id"), labels.guid_label(guid).alias("label"), F.coalesce(p("persistence"), p("persistStorage")).alias("persistence"), "properties", F.col("b.content").alias("bin"))
 
 
-def ole_colors(rows: DataFrame, key: str, column: str, most: int = 8) -> DataFrame:
-    """The first values of a stream that may be colours, at offsets divisible by four: offset, name, value."""
-    h = F.hex(F.col(column))
-    size = F.octet_length(column)
-    at = F.when(size >= 4, F.transform(F.sequence(F.lit(0), F.floor((size - 4) / 4).cast("int")), lambda i: i * 4)).otherwise(F.array().cast("array<int>"))
-    each = F.transform(at, lambda o: F.struct(o.alias("offset"), u32_at(h, o).alias("v")))
-    system = lambda v: F.shiftright(v, 24) == 0x80
-    found = F.slice(F.filter(each, lambda c: system(c["v"]) | ((F.shiftright(c["v"], 24) == 0) & (c["v"] != 0))), 1, most)
-    out = rows.select(key, F.explode(found).alias("c"))
-    v = F.col("c.v")
-    text = F.when(system(v), F.concat(to_hex(v, 8), F.lit(" ("), labels.color_label(v.bitwiseAND(F.lit(0xFF))), F.lit(")"))).otherwise(F.concat(to_hex(v, 8), F.lit(" (#"), F.lower(F.lpad(F.hex(v), 6, "0")), F.lit(")")))
-    return out.select(key, "c.offset", F.when(system(v), "SystemColor").otherwise("RgbColor").alias("name"), text.alias("value"))
-
-
 def inferred_bounds(rows: DataFrame, key: str, column: str) -> DataFrame:
     """The most likely position and size in twips among a form stream's first 160 bytes: left, top, width, height, confidence."""
     h, size = F.hex(F.col(column)), F.octet_length(column)
@@ -93,4 +79,4 @@ def hex_dump(x: Column, width: int = 16) -> Column:
     pairs = hex_pairs(x)
     rows = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(pairs) / width).cast("int") - 1)), lambda i: F.struct((i * width).alias("at"), F.slice(pairs, i * width + 1, F.lit(width)).alias("b")))
     shown = lambda b: F.array_join(F.transform(b, lambda h: F.when(F.conv(h, 16, 10).cast("int").between(32, 126), F.char(F.conv(h, 16, 10).cast("int"))).otherwise(".")), "")
-    return F.when(F.size(pairs) > 0, F.array_join(F.transform(rows, lambda r: F.concat(F.lpad(F.hex(r["at"]), 8, "0"), F.lit("  "), F.rpad(F.array_join(r["b"], " "), 3 * width - 1, " "), F.lit("  "), shown(r["b"]))), "\n")).otherwise("")
+    return F.when(F.size(pairs) > 0, F.array_join(F.transform(rows, lambda r: F.concat(F.lit("0x"), F.lpad(F.hex(r["at"]), 8, "0"), F.lit("  "), F.rpad(F.lower(F.array_join(r["b"], " ")), 3 * width - 1, " "), F.lit("  "), shown(r["b"]))), "\n")).otherwise("")

@@ -3,64 +3,40 @@
 Fixed values: names, order and meaning decide which rows a query gives, so they are stated as they are.
 """
 
-#: Markers by line: (category, pattern).
+#: Markers by line: (category, pattern, why it is one).
 RISKS = [
-    ("TODO", r"\b(TODO|FIXME|HACK|XXX)\b"),
-    ("Error handling", r"\bOn\s+Error\s+Resume\s+Next\b"),
-    ("Global state", r"^\s*(Public|Global)\s+[A-Za-z_][A-Za-z0-9_]*\s+"),
-    ("Dynamic execution", r"\b(Application\.Run|CallByName|Evaluate\s*\()"),
-    ("External process", r'\b(Shell|WScript\.Shell|CreateObject\s*\(\s*"WScript\.Shell")\b'),
-    ("File system", r"\b(FileSystemObject|Open\s+[^\r\n]+For\s+|Kill\s+|MkDir\s+|RmDir\s+)\b"),
-    ("WinAPI", r"\bDeclare\s+(PtrSafe\s+)?(Sub|Function)\b"),
+    ("TODO", r"\b(TODO|FIXME|HACK|XXX)\b", "Developer note may indicate incomplete or special-case logic."),
+    ("Error handling", r"\bOn\s+Error\s+Resume\s+Next\b", "Broad error handling can hide behavior that needs explicit frontend states."),
+    ("Global state", r"^\s*(Public|Global)\s+[A-Za-z_][A-Za-z0-9_]*\s+", "Global/public mutable state should become explicit app state."),
+    ("Dynamic execution", r"\b(Application\.Run|CallByName|Evaluate\s*\()", "Dynamic execution or indirection may require manual migration review."),
+    ("External process", r'\b(Shell|WScript\.Shell|CreateObject\s*\(\s*"WScript\.Shell")\b', "External process execution cannot be directly migrated to browser frontend code."),
+    ("File system", r"\b(FileSystemObject|Open\s+[^\r\n]+For\s+|Kill\s+|MkDir\s+|RmDir\s+)\b", "Local file access needs replacement with browser file APIs or backend services."),
+    ("WinAPI", r"\bDeclare\s+(PtrSafe\s+)?(Sub|Function)\b", "WinAPI calls do not run in browser frontend code."),
 ]
 
-#: Why each rule of RISKS is a marker, in their order.
-RISK_REASONS = [
-    "Developer note may indicate incomplete or special-case logic.",
-    "Broad error handling can hide behavior that needs explicit frontend states.",
-    "Global/public mutable state should become explicit app state.",
-    "Dynamic execution or indirection may require manual migration review.",
-    "External process execution cannot be directly migrated to browser frontend code.",
-    "Local file access needs replacement with browser file APIs or backend services.",
-    "WinAPI calls do not run in browser frontend code.",
-]
-
-#: What a procedure's body uses: (label, pattern). In label order because a procedure's uses are listed by label.
+#: What a procedure's body uses: (label, pattern).
 USES = [
-    ("Database/ADO", r"\b(ADODB|DAO\.|Recordset|Connection|OpenRecordset)\b"),
-    ("Error handling", r"\b(On\s+Error|Err\.)\b"),
     ("Excel object model", r"\b(Application|Workbook|Worksheet|Range|Cells|Rows|Columns|Sheets|ActiveCell|Selection)\b"),
+    ("UserForm/UI state", r"\b(Me\.|Controls\(|\.Caption|\.Value|\.Visible|\.Enabled|\.ListIndex|\.AddItem|\.Clear)\b"),
     ("File system", r"\b(FileSystemObject|Open\s+[^\r\n]+For\s+|Dir\s*\(|Kill\s+|MkDir\s+|RmDir\s+)\b"),
     ("HTTP/network", r"\b(XMLHTTP|WinHttp|ServerXMLHTTP|WebRequest|URLDownloadToFile)\b"),
+    ("Database/ADO", r"\b(ADODB|DAO\.|Recordset|Connection|OpenRecordset)\b"),
     ("Shell/process", r"\b(Shell|WScript\.Shell|Run\s*\()\b"),
-    ("UserForm/UI state", r"\b(Me\.|Controls\(|\.Caption|\.Value|\.Visible|\.Enabled|\.ListIndex|\.AddItem|\.Clear)\b"),
     ("WinAPI", r"\b(Declare\s+(PtrSafe\s+)?(Sub|Function)|AddressOf|LongPtr|LongLong)\b"),
+    ("Error handling", r"\b(On\s+Error|Err\.)\b"),
 ]
 
-#: External dependencies: (category, pattern, groups that hold the value, first non-empty one first).
+#: External dependencies: (category, pattern, groups that hold the value, first non-empty one first, what was found).
 DEPENDENCIES = [
-    ("WinAPI", r"\bDeclare\s+(PtrSafe\s+)?(Sub|Function)\s+([A-Za-z0-9_]+)", (1, 3)),
-    ("COM automation", r'\bCreateObject\s*\(\s*"([^"]+)"', (1,)),
-    ("COM automation", r'\bGetObject\s*\([^)]*"([^"]+)"', (1,)),
-    ("File system", r"\b(FileSystemObject|Open\s+[^\r\n]+For\s+|Kill\s+|MkDir\s+|RmDir\s+|Dir\s*\()", (1,)),
-    ("Shell/process", r"\b(Shell|WScript\.Shell|Run\s*\()", (1,)),
-    ("HTTP/network", r"\b(XMLHTTP|WinHttp|ServerXMLHTTP|WebRequest|InternetOpen|URLDownloadToFile)\b", (1,)),
-    ("Database", r"\b(ADODB|DAO\.|Recordset|ConnectionString|OpenRecordset)\b", (1,)),
-    ("Office automation", r"\b(Excel\.|Word\.|Outlook\.|PowerPoint\.|Application\.|Workbook|Worksheet|Range\(|Cells\()\b", (1,)),
-    ("Registry", r"\b(RegRead|RegWrite|RegDelete|GetSetting|SaveSetting|DeleteSetting)\b", (1,)),
-]
-
-#: What each rule of DEPENDENCIES found, in their order.
-DEPENDENCY_REASONS = [
-    "Declare statement",
-    "CreateObject call",
-    "GetObject call",
-    "FileSystemObject or file IO usage",
-    "Shell execution",
-    "HTTP client usage",
-    "Database/ADO usage",
-    "Office object model usage",
-    "Registry access",
+    ("WinAPI", r"\bDeclare\s+(PtrSafe\s+)?(Sub|Function)\s+([A-Za-z0-9_]+)", (1, 3), "Declare statement"),
+    ("COM automation", r'\bCreateObject\s*\(\s*"([^"]+)"', (1,), "CreateObject call"),
+    ("COM automation", r'\bGetObject\s*\([^)]*"([^"]+)"', (1,), "GetObject call"),
+    ("File system", r"\b(FileSystemObject|Open\s+[^\r\n]+For\s+|Kill\s+|MkDir\s+|RmDir\s+|Dir\s*\()", (1,), "FileSystemObject or file IO usage"),
+    ("Shell/process", r"\b(Shell|WScript\.Shell|Run\s*\()", (1,), "Shell execution"),
+    ("HTTP/network", r"\b(XMLHTTP|WinHttp|ServerXMLHTTP|WebRequest|InternetOpen|URLDownloadToFile)\b", (1,), "HTTP client usage"),
+    ("Database", r"\b(ADODB|DAO\.|Recordset|ConnectionString|OpenRecordset)\b", (1,), "Database/ADO usage"),
+    ("Office automation", r"\b(Excel\.|Word\.|Outlook\.|PowerPoint\.|Application\.|Workbook|Worksheet|Range\(|Cells\()\b", (1,), "Office object model usage"),
+    ("Registry", r"\b(RegRead|RegWrite|RegDelete|GetSetting|SaveSetting|DeleteSetting)\b", (1,), "Registry access"),
 ]
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_]*"

@@ -7,6 +7,8 @@ the joins between files (calls, references) do, and they move tokens.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,47 +144,71 @@ def events(procs: DataFrame) -> DataFrame:
     return procs.where(F.rlike("name", F.lit(pattern))).select(*KEY, "module", "proc_ord", F.col("name").alias("procedure"), part(1).alias("control_name"), part(2).alias("event_name"))
 
 
-def _matching(x: Column, rule_set) -> Column:
-    """Names of the rules that match, in their order."""
-    return F.filter(F.array(*(F.when(_hit(x, pattern), F.lit(name)) for name, pattern in rule_set)), lambda n: n.isNotNull())
+def _words(pattern: str) -> list[str]:
+    """Of a pattern ``\\b(a|b|...)`` the longest word of each alternative, in lower case: one of them is in every match. Empty where the pattern is of another form."""
+    inner, depth, parts = re.match(r"\\b\((.*)\)(?:\\b)?$", pattern), 0, [""]
+    for c in re.findall(r"\\.|\[[^]]*\]|.", inner.group(1) if inner else ""):
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            parts.append("")
+        elif c in "?*":
+            parts[-1] = parts[-1][:-1] + " "  # what may lack
+        elif not depth:
+            parts[-1] += c if c.isalpha() else " "
+    words = [max(re.findall("[A-Za-z]+", part), key=len, default="").lower() for part in parts]
+    return words if inner and all(words) and depth == 0 else []
+
+
+def _may_match(low: Column, pattern: str) -> Column:
+    """Whether a text, in lower case, holds a word that the pattern needs: a plain search before an expression is tried."""
+    test = F.lit(not _words(pattern))
+    for w in _words(pattern):
+        test |= F.contains(low, F.lit(w))
+    return test
+
+
+def _matching(x: Column, low: Column, rule_set) -> Column:
+    """Names of the rules that match, sorted."""
+    return F.array_sort(F.filter(F.array(*(F.when(_may_match(low, pattern) & _hit(x, pattern), F.lit(name)) for name, pattern in rule_set)), lambda n: n.isNotNull()))
 
 
 def line_markers(rows: DataFrame, rule_set=rules.RISKS) -> DataFrame:
-    """One row per line and rule that match: rule_ord, category. No join: the rules are in the row's expression."""
-    marks = F.filter(F.array(*(F.when(_hit(F.col("text"), p), F.struct(F.lit(i).alias("rule_ord"), F.lit(c).alias("category"))) for i, (c, p) in enumerate(rule_set))), lambda m: m.isNotNull())
+    """One row per line and rule that match: rule_ord, category, reason. No join: the rules are in the row's expression."""
+    marks = F.filter(F.array(*(F.when(_hit(F.col("text"), p), F.struct(F.lit(i).alias("rule_ord"), F.lit(c).alias("category"), F.lit(why).alias("reason"))) for i, (c, p, why) in enumerate(rule_set))), lambda m: m.isNotNull())
     return rows.withColumn("m", F.explode(marks)).select("*", "m.*").drop("m")
 
 
 def risk_markers(files: DataFrame) -> DataFrame:
     out = line_markers(source_lines(files))
-    return out.select(*KEY, "module", "line", "rule_ord", "category", js_trim(F.col("text")).alias("text"), F.get(F.array(*map(F.lit, rules.RISK_REASONS)), F.col("rule_ord")).alias("reason"))
+    return out.select(*KEY, "module", "line", "rule_ord", "category", js_trim(F.col("text")).alias("text"), "reason")
 
 
 def procedure_uses(procs_with_body: DataFrame) -> DataFrame:
     """Adds uses: the labels of the rules that the body matches, by label."""
-    return procs_with_body.withColumn("uses", _matching(F.col("body"), rules.USES))
+    low = procs_with_body.withColumn("_low", F.lower("body"))
+    return low.withColumn("uses", _matching(F.col("body"), F.col("_low"), rules.USES)).drop("_low")
 
 
-def _rule_matches(x: Column, number: int, category: str, pattern: str, own: tuple[int, ...]) -> Column:
+def _rule_matches(x: Column, number: int, category: str, pattern: str, own: tuple[int, ...], reason: str) -> Column:
     every = F.arrays_zip(*(F.regexp_extract_all(x, F.lit(spark(pattern)), F.lit(g)).alias(f"g{g}") for g in own))
 
     def row(m, i):
         value = js_trim(F.coalesce(*(F.nullif(m[f"g{g}"], F.lit("")) for g in own)))
-        return F.struct(F.lit(category).alias("category"), value.alias("value"), F.struct(F.lit(number).alias("rule"), i.alias("match")).alias("ord"))
+        return F.struct(F.lit(category).alias("category"), value.alias("value"), F.struct(F.lit(number).alias("rule"), i.alias("match")).alias("ord"), F.lit(reason).alias("reason"))
 
     return F.transform(every, row)
 
 
 def rule_matches(x: Column, rule_set=rules.DEPENDENCIES) -> Column:
-    """All matches of all rules as (category, value, ord); the value is the first of a rule's groups that is not empty; its last one never is."""
+    """All matches of all rules as (category, value, ord, reason); the value is the first of a rule's groups that is not empty; its last one never is."""
     return F.concat(*(_rule_matches(x, i, *rule) for i, rule in enumerate(rule_set)))
 
 
 def dependencies(files: DataFrame) -> DataFrame:
     """What the sources depend on, each (category, value) of a file once, with the place and the reason of its first match."""
     found = files.select("doc_id", "file_ord", F.col("name").alias("file_name"), F.explode(rule_matches(F.coalesce("text", F.lit("")))).alias("d")).select(*KEY, "d.*")
-    first = found.groupBy("doc_id", "category", "value", "file_name").agg(F.min(F.struct("file_ord", "ord")).alias("ord"))
-    return first.withColumn("reason", F.get(F.array(*map(F.lit, rules.DEPENDENCY_REASONS)), F.col("ord.ord.rule")))
+    place = F.struct("file_ord", "ord")
+    return found.groupBy("doc_id", "category", "value", "file_name").agg(F.min(place).alias("ord"), F.min_by("reason", place).alias("reason"))
 
 
 def reference_dependencies(references: DataFrame) -> DataFrame:

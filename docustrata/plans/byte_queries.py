@@ -165,9 +165,10 @@ _query(
 )
 
 _CAPTION = "concat('Form ', k)"
+FORM_CONTENT = f"'0004' || {_le(f'(12 + length({_CAPTION}))', 2)} || '00040800' || {_le('(200 + k % 20000)', 4)} || {_le('(150 + k % 9000)', 4)} || hex({_CAPTION})"
 _query(
     "form_records_in_bytes",
     f"SELECT k AS o_orderkey, i::INTEGER AS prop_ord, v[i + 1][1] AS name, v[i + 1][2] AS value FROM (SELECT k, {_FORM_VALUES} AS v FROM {_K}), range(8) r(i)",
     "SELECT t.k AS o_orderkey, s.prop_ord, s.name, s.value FROM {t} t, LATERAL oforms(t.content, 'Form/f') s",
-    content=f"'0004' || {_le(f'(12 + length({_CAPTION}))', 2)} || '00040800' || {_le('(200 + k % 20000)', 4)} || {_le('(150 + k % 9000)', 4)} || hex({_CAPTION})",
+    content=FORM_CONTENT,
 )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binary import decode_cp1252
 from ..functions.text import safe_file_name
-from ..operators import activex, embedded, forms
+from ..operators import activex, embedded, forms, profiles
 from ..operators import binary as B
 from ..operators import controls as C
 from ..operators import source_code as S
@@ -145,7 +145,7 @@ def model(spark: SparkSession, path: str, scratch: str | None = None) -> dict[st
         "event_links": linked,
         "activex_controls": embedded_,
         "media": pictures,
-        "profiles": B.profiles(held.withColumn("k", F.to_json(F.struct("doc_id", "container", "path"))), "k", "content"),
+        "profiles": profiles.stream_profiles(held, ["doc_id", "container"]),
         "preview": C.preview_layout(controls),
         "files": placed,
         "result_groups": C.result_groups(every),

@@ -104,13 +104,13 @@ def html_attributes(spark, sf_dir):
     return _read(spark, sf_dir, "pages", "page_id", "html").select("page_id", F.explode(both).alias("a")).groupBy("page_id", c("a.name").alias("name")).agg(F.count("*").alias("n"), F.max("a.value").alias("largest"))
 
 
-_TEXT_RULES = [("digits", "[0-9]{4,}"), ("license", "licen"), ("insult", r"\b(worthless|idiot)\b")]
+_TEXT_RULES = [("digits", "[0-9]{4,}", "a number"), ("license", "licen", "a licence"), ("insult", r"\b(worthless|idiot)\b", "an insult")]
 
 
 @_query(
     "rule_markers",
     "SELECT doc_id, line, category FROM (SELECT doc_id, i::INTEGER AS line, l[i] AS t FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))), (VALUES "
-    + ", ".join(f"('{n}', '{duckdb(p)}')" for n, p in _TEXT_RULES)
+    + ", ".join(f"('{n}', '{duckdb(p)}')" for n, p, _ in _TEXT_RULES)
     + ") r(category, pattern) WHERE regexp_matches(t, pattern, 'i')",
 )
 def rule_markers(spark, sf_dir):
@@ -169,10 +169,10 @@ def declares(spark, sf_dir):
 
 
 _list_of = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
-_RISKS = ", r AS (" + " UNION ALL ".join(f"SELECT *, {i} AS rule_ord, '{n}' AS category FROM l WHERE regexp_matches(text, '{duckdb(p)}', 'i')" for i, (n, p) in enumerate(rules.RISKS)) + ")"
+_RISKS = ", r AS (" + " UNION ALL ".join(f"SELECT *, {i} AS rule_ord, '{n}' AS category FROM l WHERE regexp_matches(text, '{duckdb(p)}', 'i')" for i, (n, p, _) in enumerate(rules.RISKS)) + ")"
 
 
-@_query("risk_markers", _LINES + _RISKS + " SELECT doc_id, file_ord, line, category, trim(text) AS text, " + _list_of(rules.RISK_REASONS) + "[rule_ord + 1] AS reason FROM r", files=True)
+@_query("risk_markers", _LINES + _RISKS + " SELECT doc_id, file_ord, line, category, trim(text) AS text, " + _list_of(why for _, _, why in rules.RISKS) + "[rule_ord + 1] AS reason FROM r", files=True)
 def risk_markers(spark, sf_dir):
     return S.risk_markers(rendered.files(spark, sf_dir)).select("doc_id", "file_ord", "line", "category", "text", "reason")
 
@@ -189,7 +189,7 @@ def procedure_uses(spark, sf_dir):
 
 def _dependency_sql() -> str:
     parts = []
-    for category, pattern, groups in rules.DEPENDENCIES:
+    for category, pattern, groups, _ in rules.DEPENDENCIES:
         every = [f"regexp_extract_all(text, '(?i){duckdb(pattern)}', {g})" for g in (*groups, 0)]
         value = "coalesce(" + ", ".join(f"nullif(x{i}, '')" for i in range(len(every))) + ")"
         parts.append(f"SELECT doc_id, '{category}' AS category, trim({value}) AS value, name AS file_name FROM (SELECT doc_id, name, " + ", ".join(f"unnest({e}) AS x{i}" for i, e in enumerate(every)) + " FROM files)")

@@ -1,7 +1,7 @@
 """Source files and controls rendered from the tables ``orders`` and ``customer`` by SQL that Spark and DuckDB both run.
 
-The given tables hold no macro source; this gives the source operators one module per customer
-with a procedure per order, so modules stay small however large the tables are.
+The given tables hold no macro source; this gives the source operators one module per customer and block of order keys,
+with a procedure per order, so modules stay small however large the tables are, and whoever holds most of the orders.
 """
 
 from __future__ import annotations
@@ -33,19 +33,23 @@ CASE WHEN o_orderkey % 11 = 0 THEN 'Private Declare PtrSafe Function GetTick' ||
 || CASE WHEN o_orderkey % 17 = 0 THEN '    Customer' || CAST((o_custkey * 3) % 150 AS STRING) || '.Refresh' || chr(10) ELSE '' END
 || CASE WHEN o_orderkey % 19 = 0 THEN '' WHEN o_orderkey % 5 IN (0) THEN 'End Function' WHEN o_orderkey % 5 IN (3) THEN 'End Property' ELSE 'End Sub' END
 """
-_NAME = "'Customer' || CAST(o_custkey AS STRING) || CASE o_custkey % 3 WHEN 0 THEN '.bas' WHEN 1 THEN '.cls' ELSE '.frm' END"
+#: Order keys of one module.
+BLOCK = 100_000
+_BLOCK = f"(o_orderkey - o_orderkey % {BLOCK}) / {BLOCK}"
+_MODULE = "'Customer' || CAST(o_custkey AS STRING) || CASE WHEN block > 0 THEN '_' || CAST(block AS STRING) ELSE '' END"
+_NAME = _MODULE + """ || CASE o_custkey % 3 WHEN 0 THEN '.bas' WHEN 1 THEN '.cls' ELSE '.frm' END"""
 _KIND = "CASE o_custkey % 3 WHEN 2 THEN 'frm' ELSE 'vba' END"
 _PATH = "CASE o_custkey % 4 WHEN 0 THEN 'book.xlsm/xl/vbaProject.bin/VBA/m' WHEN 1 THEN 'book.xlsm/xl/vbaProject.bin/Form' WHEN 2 THEN 'book.xlsm/xl/vbaProject.bin/VBA/x (recovered by scan)' ELSE 'loose/x' END || CAST(o_custkey % 10 AS STRING)"
-#: Customers of one document.
-PER_DOC = 50
+#: Customers of one document; what parts the numbers of a customer's modules.
+PER_DOC, FAR = 50, 10**9
 
 #: For DuckDB: common table expressions before a query.
 FILES_SQL = f"""
-parts AS (SELECT o_custkey, o_orderkey, {PART} AS part FROM orders),
+parts AS (SELECT o_custkey, CAST({_BLOCK} AS BIGINT) AS block, o_orderkey, {PART} AS part FROM orders),
 files AS (
-  SELECT o_custkey // {PER_DOC} AS doc_id, o_custkey AS file_ord, {_NAME} AS name, {_KIND} AS kind, {_PATH} AS source_path,
+  SELECT o_custkey // {PER_DOC} AS doc_id, o_custkey + block * {FAR} AS file_ord, {_NAME} AS name, {_KIND} AS kind, {_PATH} AS source_path,
     string_agg(part, chr(10) ORDER BY o_orderkey) AS text
-  FROM parts GROUP BY o_custkey
+  FROM parts GROUP BY o_custkey, block
 )"""
 
 _CONTROL = """o_custkey % 3 = 2 AND o_orderkey % 5 IN (1, 2) AND o_orderkey % 2 = 0"""
@@ -61,11 +65,11 @@ CONTROLS_SQL = f"controls AS (SELECT o_custkey // {PER_DOC} AS doc_id, {_CONTROL
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, file_ord, name, kind, source_path, text: one file per customer with orders."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderkey")
-    parts = orders.select("o_custkey", F.struct("o_orderkey", F.expr(PART).alias("part")).alias("p"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", F.expr(f"CAST({_BLOCK} AS BIGINT)").alias("block"), "o_orderkey")
+    parts = orders.select("o_custkey", "block", F.struct("o_orderkey", F.expr(PART).alias("part")).alias("p"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["part"]), "\n")
-    got = parts.groupBy("o_custkey").agg(text.alias("text"))
-    return got.select(F.expr(f"o_custkey DIV {PER_DOC}").alias("doc_id"), F.col("o_custkey").alias("file_ord"), F.expr(_NAME).alias("name"), F.expr(_KIND).alias("kind"), F.expr(_PATH).alias("source_path"), "text")
+    got = parts.groupBy("o_custkey", "block").agg(text.alias("text"))
+    return got.select(F.expr(f"o_custkey DIV {PER_DOC}").alias("doc_id"), F.expr(f"o_custkey + block * {FAR}").alias("file_ord"), F.expr(_NAME).alias("name"), F.expr(_KIND).alias("kind"), F.expr(_PATH).alias("source_path"), "text")
 
 
 def controls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import table_functions
-from ..operators import chunks, controls, intervals, merges, source_code, trees
+from ..operators import chunks, controls, embedded, intervals, merges, profiles, source_code, trees
 from ..operators.forms import _STRING_BITS
-from .byte_queries import GUID_CONTENT, _le
+from .byte_queries import FORM_CONTENT, GUID_CONTENT, _le
 from .queries import QUERIES, SQL
 
 #: Customers as controls, 400 to a form: three children each, six levels deep, some with an absent parent, some in a loop, in an order of their own.
@@ -206,3 +206,31 @@ def chunked_guids(spark, sf_dir):
 
 
 QUERIES["chunked_guids"], SQL["chunked_guids"] = chunked_guids, SQL["guids_in_bytes"]
+
+
+def stream_profile(spark, sf_dir):
+    """The summary of rendered form streams, a row for each of its lines."""
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k")).repartition(spark.sparkContext.defaultParallelism, "k")
+    found = profiles.stream_profiles(keys.select("k", F.lit("Form/f").alias("path"), F.unhex(F.expr(FORM_CONTENT)).alias("content")), ["k"])
+    return found.select("k", "title", F.element_at("strings", 1)["value"].alias("text"), F.posexplode("summary").alias("i", "s")).select("k", "title", "text", "i", "s.*")
+
+
+QUERIES["stream_profile"] = stream_profile
+SQL["stream_profile"] = f"""WITH c AS (SELECT k, 200 + k % 20000 AS w, 150 + k % 9000 AS h, 'Form ' || k AS caption, regexp_extract_all({FORM_CONTENT}, '..') AS b FROM (SELECT o_orderkey AS k FROM orders)),
+u AS (SELECT k, x, count(*)::DOUBLE AS n FROM (SELECT k, unnest(b) AS x FROM c) GROUP BY k, x),
+e AS (SELECT k, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS entropy, coalesce(sum(n) FILTER (x = '00'), 0)::BIGINT AS zeros, sum(n)::BIGINT AS size FROM u GROUP BY k),
+s AS (SELECT k, caption, ['Form', 'f', size || ' B', printf('%.2f', entropy) || ' bits/byte', zeros || ' (' || printf('%.1f', 100 * zeros / size::DOUBLE) || '%)', '0', '1',
+  CASE WHEN w % 256 BETWEEN 128 AND 191 OR h % 256 BETWEEN 128 AND 191 THEN '1' ELSE '0' END, 'Form stream (high)'] AS v FROM c JOIN e USING (k))
+SELECT k, 'Form/control properties stream' AS title, caption AS text, i::INTEGER AS i, ['Storage', 'Stream', 'Size', 'Entropy', 'Zero bytes', 'Media candidates', 'Text strings', 'GUID candidates', 'MS-OFORMS'][i + 1] AS label, v[i + 1] AS value FROM s, range(9) r(i)"""
+
+
+def hex_dump(spark, sf_dir):
+    """Dumps of the first 100 bytes of the texts."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", embedded.hex_dump(F.substring(F.col("text").cast("binary"), 1, 100)).alias("dump"))
+
+
+QUERIES["hex_dump"] = hex_dump
+SQL["hex_dump"] = """WITH b AS (SELECT doc_id, regexp_extract_all(left(hex(encode(text)), 200), '..') AS b FROM documents),
+l AS (SELECT doc_id, i, b[i * 16 + 1:i * 16 + 16] AS b FROM b, range(7) r(i) WHERE i * 16 < len(b))
+SELECT doc_id, string_agg('0x' || lpad(hex(i * 16), 8, '0') || '  ' || rpad(lower(array_to_string(b, ' ')), 47, ' ') || '  ' || array_to_string(list_transform(b, lambda x: CASE WHEN x BETWEEN '20' AND '7E' THEN chr(('0x' || x)::INTEGER) ELSE '.' END), ''), chr(10) ORDER BY i) AS dump FROM l GROUP BY doc_id"""

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from docustrata.functions import binary as B
 from docustrata.functions import text as T
-from docustrata.operators import binary, controls, reports
+from docustrata.operators import binary, controls, profiles, reports
 from docustrata.operators import source_code as S
 
 FILES = "doc_id long, file_ord int, name string, kind string, source_path string, text string"
@@ -92,9 +92,14 @@ def test_binary_scans(spark):
     assert "{D7053240-CE69-11CD-A777-00DD01143C57}" in {r.guid for r in binary.guids(rows, "k", "content").collect()}
     assert {(r.extension, bytes(r.bytes)[:3]) for r in binary.media(rows, "k", "content").collect()} == {("png", b"\x89PN"), ("gif", b"GIF")}
     assert {r.k: round(r.entropy, 6) for r in binary.entropy(rows, "k", "content").collect()}[2] == 0.0
-    assert binary.profiles(rows, "k", "content").count() == 3
-    form = spark.createDataFrame([(1, bytearray(b"\0\x04\x08\0\x02\0\x08\0zzzz")), (2, bytearray(b"\x01"))], "k int, content binary")
-    assert [(r.size, r.properties) for r in binary.form_headers(form, "k", "content").collect()] == [(12, ["BackColor", "Caption"])]
+    form = b"\0\x04\x08\0\x02\0\x08\0zzzz"
+    streams = spark.createDataFrame([(1, "F/f", bytearray(form)), (2, "F/i1/\x01CompObj", bytearray(data)), (3, None, None), (4, "o", bytearray(b"\x6c\x74\0\0\x04\0\0\0zzzz" * 30))], "k int, path string, content binary")
+    got = {r.k: r for r in profiles.stream_profiles(streams, ["k"]).collect()}
+    assert got[1].title == "Form/control properties stream" and got[1].kind == "Form stream" and len(got[1].notes) == 1 and dict(got[1].summary)["Zero bytes"] == "4 (33.3%)"
+    assert got[2].title == "COM compound object metadata" and dict(got[2].summary)["Storage"] == "F/i1" and dict(got[2].summary)["Stream"] == "0x01 CompObj" and dict(got[2].summary)["Media candidates"] == "2"
+    assert [(g.guid, g.label) for g in got[2].guids if g.label] == [("{D7053240-CE69-11CD-A777-00DD01143C57}", "Microsoft Forms 2.0 CommandButton")]
+    assert got[3].size == 0 and dict(got[3].summary)["Storage"] == "(root)" and dict(got[3].summary)["MS-OFORMS"] == "No structured match" and got[3].title == "Binary form resource stream"
+    assert got[4].n_signatures == 30 and len(got[4].signatures) == 24 and got[4].signatures[1].offset == 12
 
 
 def test_groups_and_paths(spark):
@@ -136,14 +141,13 @@ def test_embedded_controls(spark):
 def test_streams_as_integers(spark):
     import struct
 
-    from docustrata.operators import embedded
+    from docustrata.operators import activex, embedded
 
-    colors = spark.createDataFrame([(1, bytearray(struct.pack("<IIII", 0x8000000F, 0, 0x00FF00, 0x7F000000))), (2, bytearray(b"ab")), (3, None)], "k int, content binary")
-    assert [(r.k, r.offset, r.value) for r in embedded.ole_colors(colors, "k", "content").collect()] == [(1, 0, "0x8000000F (button face)"), (1, 8, "0x0000FF00 (#00ff00)")]
+    assert [(c[0], c[2]) for c in activex.colours(struct.pack("<IIII", 0x8000000F, 0, 0x00FF00, 0x7F000000))] == [(0, "0x8000000F (button face)"), (8, "0x0000FF00 (#00ff00)")] and activex.colours(b"ab") == []
     data = struct.pack("<8I", 0xFFFFFFFF, 0xFFFFFFFF, 100, 200, 4000, 3000, 0xFFFFFFFF, 0)
     rows = spark.createDataFrame([(1, bytearray(data)), (2, bytearray(b"x"))], "k int, content binary")
     assert [tuple(r) for r in embedded.inferred_bounds(rows, "k", "content").collect()] == [(1, 100, 200, 4000, 3000, "medium")]
-    assert spark.range(1).select(embedded.hex_dump(F.lit(bytearray(b"Az\x00" + b"b" * 14)))).first()[0].split("\n") == ["00000000  41 7A 00 62 62 62 62 62 62 62 62 62 62 62 62 62  Az.bbbbbbbbbbbbb", "00000010  62" + " " * 45 + "  b"]
+    assert spark.range(1).select(embedded.hex_dump(F.lit(bytearray(b"Az\x00" + b"b" * 14)))).first()[0].split("\n") == ["0x00000000  41 7a 00 62 62 62 62 62 62 62 62 62 62 62 62 62  Az.bbbbbbbbbbbbb", "0x00000010  62" + " " * 45 + "  b"]
     frame = spark.createDataFrame([("d", "c", "Form1/\x03VBFrame", bytearray(b'Begin {X} Form1\r\n  Caption = "Hi"\r\n  Caption = "Ho"\r\nEnd'))], "doc_id string, container string, path string, content binary")
     assert {r.name: r.value for r in embedded.frame_properties(frame).collect()} == {"Name": "Form1", "Caption": "Ho"}
 
