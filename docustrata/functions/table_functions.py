@@ -78,7 +78,7 @@ FUNCTIONS: dict[str, tuple[str, Callable[..., Iterator[tuple]]]] = {
     "cfb_streams": ("ord int, path string, size long, content binary", _cfb_streams),
     "ovba_text": ("n_bytes long, text string", _ovba_text),
     "dir_modules": ("ord int, name string, stream_name string, text_offset long, module_type_id int", _dir_modules),
-    "dir_references": ("ord int, kind string, name string, lib_id string", _dir_references),
+    "dir_references": ("ord int, kind string, name string, lib_id string, raw string", _dir_references),
     "recover_media": ("offset long, extension string, mime_type string, length long, bytes binary, place string", _recover_media),
     "strings": ("encoding string, offset long, value string", _strings),
     "guids": ("offset long, guid string", _guids),

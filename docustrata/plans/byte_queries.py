@@ -116,9 +116,9 @@ _query(
 )
 _query(
     "references_in_bytes",
-    rf"""SELECT k AS o_orderkey, 0 AS ord, 'registered' AS kind, 'lib' || k AS name, '*\G{{00020430-0000-0000-C000-0000' || lpad(k::VARCHAR, 8, '0') || '}}#2.' || k % 10 || '#0#C:/x.dll#Some library' AS lib_id FROM {_K}
-    UNION ALL SELECT k, 1, 'project', 'other', '..\a.xls' FROM {_K} WHERE k % 2 = 0""",
-    "SELECT cast(key AS BIGINT) AS o_orderkey, ord, kind, name, lib_id FROM dir_references_of(TABLE(SELECT k, content FROM {t}))",
+    rf"""SELECT *, CASE kind WHEN 'registered' THEN 'record 0x000D ' ELSE 'record 0x000E ' END || lib_id AS raw FROM (SELECT k AS o_orderkey, 0 AS ord, 'registered' AS kind, 'lib' || k AS name, '*\G{{00020430-0000-0000-C000-0000' || lpad(k::VARCHAR, 8, '0') || '}}#2.' || k % 10 || '#0#C:/x.dll#Some library' AS lib_id FROM {_K}
+    UNION ALL SELECT k, 1, 'project', 'other', '..\a.xls' FROM {_K} WHERE k % 2 = 0)""",
+    "SELECT cast(key AS BIGINT) AS o_orderkey, ord, kind, name, lib_id, raw FROM dir_references_of(TABLE(SELECT k, content FROM {t}))",
     _DIR | {"all": "refs || mods"},
     content=_raw_container('`all`'),
 )

@@ -154,8 +154,11 @@ def dir_modules(data: bytes) -> list[tuple[str, str, int, int]]:
     return out
 
 
-def dir_references(data: bytes) -> list[tuple[str, str | None, str | None]]:
-    """(kind, name, library id) of the records before the modules; a byte that begins no record is skipped."""
+def dir_references(data: bytes) -> list[tuple[str, str | None, str | None, str]]:
+    """(kind, name, library id, record) of the records before the modules; a byte that begins no record is skipped.
+
+    An original id that no reference record follows is a control's reference of its own.
+    """
     import re
 
     end = modules_at(data)
@@ -195,7 +198,11 @@ def dir_references(data: bytes) -> list[tuple[str, str | None, str | None]]:
             elif kind in (0x2F, 0x30) and not found:
                 found = library(payload)
             if found or original or name:
-                out.append(({0x0D: "registered", 0x0E: "project"}.get(kind, "control"), name, found or original))
+                told = found or original
+                out.append(({0x0D: "registered", 0x0E: "project"}.get(kind, "control"), name, told, f"record 0x{kind:04X} {told or ''}".strip()))
+                name = original = None
+        elif original:
+            out.append(("control", name, original, f"record 0x0033 {original}"))
             name = original = None
     return out
 
@@ -221,8 +228,9 @@ def project_dir_modules(dirs: DataFrame) -> DataFrame:
 
 def project_dir_references(dirs: DataFrame) -> DataFrame:
     """References of ``dir`` streams, with guid, version and path taken from the library id."""
-    out = dirs.select("doc_id", "container", "content").mapInArrow(_decoded(dir_references, ["kind", "name", "lib_id"], [pa.string(), pa.string(), pa.string()]), "doc_id string, container string, ord int, kind string, name string, lib_id string")
-    return out.withColumns(library_fields(F.col("lib_id")))
+    out = dirs.select("doc_id", "container", "content").mapInArrow(_decoded(dir_references, ["kind", "name", "lib_id", "raw"], [pa.string()] * 4), "doc_id string, container string, ord int, kind string, name string, lib_id string, raw string")
+    some = lambda pattern: F.get(F.filter(F.split("lib_id", "#"), lambda p: F.rlike(p, F.lit(pattern))), F.lit(0))
+    return out.withColumns({"guid": normalize_guid(F.col("lib_id")), "version": some(r"^[0-9]+\.[0-9]+\z"), "path": some(r"(?i)[A-Z]:\\|/|\.dll|\.ocx|\.tlb|\.olb")})
 
 
 def library_fields(x: Column) -> dict[str, Column]:
@@ -262,7 +270,7 @@ def references(streams: DataFrame) -> DataFrame:
     """
     lower = F.lower("path")
     said = project_references(streams.where(lower.isin("project", "vba/project"))).withColumn("source", F.lit("PROJECT"))
-    bound = project_dir_references(streams.where(lower.isin("vba/dir", "dir"))).withColumns({"source": F.lit("dir"), "raw": F.coalesce("lib_id", "name")})
+    bound = project_dir_references(streams.where(lower.isin("vba/dir", "dir"))).withColumn("source", F.lit("dir"))
     columns = ["doc_id", "container", "source", "ord", "kind", "name", "lib_id", "guid", "version", "path", "raw"]
     both = said.select(*columns).unionByName(bound.select(*columns)).withColumn("ord", F.when(F.col("source") == "dir", F.lit(1 << 20)).otherwise(F.lit(0)) + F.col("ord"))
     first = both.groupBy("doc_id", "container", "source", "kind", "name", "lib_id", "raw").agg(F.min_by(F.struct("ord", "guid", "version", "path"), "ord").alias("r"))

@@ -130,7 +130,9 @@ def test_dir_modules_and_damage():
 def test_dir_references():
     lib = rb"*\G{00020430-0000-0000-C000-000000000046}#2.0#0#C:\x\stdole2.tlb#OLE Automation"
     records = record(0x16, b"stdole") + struct.pack("<HI", 0x3E, 12) + "stdole".encode("utf-16-le") + record(0x0D, struct.pack("<I", len(lib)) + lib + b"\0" * 6)
-    assert macros.dir_references(macros.decompress(dir_stream([("A", 0, 0x21)], records))) == [("registered", "stdole", lib.decode())]
+    assert macros.dir_references(macros.decompress(dir_stream([("A", 0, 0x21)], records))) == [("registered", "stdole", lib.decode(), f"record 0x000D {lib.decode()}")]
+    lone = record(0x16, b"ctl") + record(0x33, lib) + record(0x99, b"?") + record(0x0E, b"")
+    assert macros.dir_references(macros.decompress(dir_stream([("A", 0, 0x21)], lone))) == [("control", "ctl", lib.decode(), f"record 0x0033 {lib.decode()}")]
 
 
 def test_model_of_a_folder(spark, tmp_path):

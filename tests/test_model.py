@@ -157,7 +157,7 @@ def test_model_of_files(model):
     own = model["activex_controls"].first()
     assert own.label == "Microsoft Forms 2.0 CommandButton" and own.persistence_analysis.format == "cfb-storage" and own.properties["bin.UserType"] == "Microsoft Forms 2.0 CommandButton" and own.source_files == [own.xml_path, own.bin_path]
     assert "VBA reference" in {r.category for r in model["dependencies"].collect()}
-    assert {r.n_media for r in model["profiles"].collect()} == {0, 1}
+    assert {dict(r.summary)["Media candidates"] for r in model["profiles"].collect()} == {"0", "1"}
 
 
 def test_export_and_reports(spark, model, tmp_path):

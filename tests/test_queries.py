@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from docustrata.plans import byte_queries, report_queries, structure_queries  # noqa: F401 (add their queries)
+from docustrata.plans import byte_queries, document_queries, report_queries, structure_queries  # noqa: F401 (add their queries)
 from docustrata.plans.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
