@@ -201,18 +201,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     # classes that are not in the component of their bucket's smallest, against all of the bucket
     named = met.join(label.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     named = named.join(label.select(F.col("node").alias("head"), F.col("root").alias("head_root")), "head", "left").withColumn("major", F.col("root") == F.coalesce("head_root", "head"))
-    mixed = named.groupBy("band").agg(F.bool_or(~F.col("major")).alias("mixed"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("mixed").drop("mixed")
+    mixed = named.groupBy("band").agg(F.count_if(~F.col("major")).alias("n_apart"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("n_apart > 0").select("band", "blocks", F.ceil(F.col("n_apart") / BLOCK).cast("int").alias("rows"))
     words_ = -(-bands * rows // 64)
     wide = cls.select("digest", F.col("n_shingles").alias("n"), "bits", "bands", *(F.get("signs", F.lit(i)).alias(f"s{i}") for i in range(words_)))
-    apart = stored(named.join(mixed, "band").join(wide, "digest").select("band", "blocks", "digest", "root", "major", "n", "bits", "bands", *(f"s{i}" for i in range(words_))), "apart")
-    # a bucket is dealt in blocks, and its classes that are apart meet each of them: no task has all pairs of a large bucket
-    left = apart.where("not major").select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("digest").alias("a"), F.col("root").alias("p"), "n", F.col("bits").alias("x"), F.col("bands").alias("u"), *(F.col(f"s{i}").alias(f"g{i}") for i in range(words_)))
-    right = apart.select(F.col("band").alias("band2"), F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int").alias("block2"), F.col("digest").alias("b"), F.col("root").alias("q"), F.col("n").alias("m"), F.col("bits").alias("y"), F.col("bands").alias("v"), "major", *(f"s{i}" for i in range(words_)))
+    apart = stored(named.join(mixed, "band").join(wide, "digest").select("band", "blocks", "rows", "digest", "root", "major", "n", "bits", "bands", *(f"s{i}" for i in range(words_))), "apart")
+    # a bucket and its classes that are apart are both dealt in blocks, and each pair of blocks meets by itself: no task has more than
+    # BLOCK classes of either side, however large the bucket
+    dealt = lambda n: F.pmod(F.xxhash64("digest"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = apart.where("not major").withColumn("row", dealt("rows")).select("band", "row", every("blocks").alias("block"), F.col("digest").alias("a"), F.col("root").alias("p"), "n", F.col("bits").alias("x"), F.col("bands").alias("u"), *(F.col(f"s{i}").alias(f"g{i}") for i in range(words_)))
+    right = apart.withColumn("block2", dealt("blocks")).select(F.col("band").alias("band2"), every("rows").alias("row2"), "block2", F.col("digest").alias("b"), F.col("root").alias("q"), F.col("n").alias("m"), F.col("bits").alias("y"), F.col("bands").alias("v"), "major", *(f"s{i}" for i in range(words_)))
     # cheap tests first; a pair is taken in the first band that it shares
     first = F.get(F.filter(F.zip_with("u", "v", lambda c, d: F.when(c == d, c)), lambda c: c.isNotNull()), F.lit(0)) == F.col("band")
     n, m = F.col("n"), F.col("m")
     same = _signs_agree([F.col(f"g{i}") for i in range(words_)], [F.col(f"s{i}") for i in range(words_)], bands * rows, percent)
-    rest = left.join(right, (F.col("band") == F.col("band2")) & (F.col("block") == F.col("block2")) & (F.col("p") != F.col("q")) & (F.col("major") | (F.col("a") > F.col("b"))) & _sized(n, m, percent) & same & first & _may_link(n, m, F.col("x"), F.col("y"), percent))
+    rest = left.join(right, (F.col("band") == F.col("band2")) & (F.col("block") == F.col("block2")) & (F.col("row") == F.col("row2")) & (F.col("p") != F.col("q")) & (F.col("major") | (F.col("a") > F.col("b"))) & _sized(n, m, percent) & same & first & _may_link(n, m, F.col("x"), F.col("y"), percent))
     rest = stored(rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "rest")
     more = _verified(base, sig, rest, words, percent)
     label = components(stored(links.unionByName(more), "links"))

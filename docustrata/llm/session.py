@@ -56,7 +56,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge list, as (node, root): root is the component's smallest node.
 
     Alternates the large-star and small-star steps (Kiveris et al. 2014): edges never grow in
-    number, and a hub is spread since each step groups by the smaller-degree ends first.
+    number. A hub's neighbours meet it by one key; Spark's adaptive join splits such a key, and the minima are partial aggregates.
     Each round is written to the shared folder. Nodes without edges are not in the result.
     Empty input gives an empty result.
     """

@@ -107,6 +107,20 @@ def test_chain_of_near_duplicates(spark):
     assert got == want
 
 
+def test_near_duplicates_of_one_hot_band(spark, monkeypatch):
+    """Many classes that share a bucket and link with nothing but a few: both sides are dealt in blocks, no link is lost, no task gets many."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "_bands", lambda values, rows: np.concatenate([np.full((len(values), 1), 7), bands(values, rows)[:, 1:]], axis=1))
+    r = random.Random(3)
+    base = [" ".join(f"{r.choice('abcdefgh')}{r.randint(0, 99)}" for _ in range(60)) for _ in range(60)]
+    rows = list(enumerate(base)) + [(100 + k, base[k] + " more") for k in range(0, 60, 7)]
+    got = minhash.near_duplicates(table(spark, rows), words=4).collect()
+    assert {(x.doc_id, x.component_id) for x in got} == {(i, c) for i, _, c in near_groups(rows, 4)}
+
+
+bands = minhash._bands
+
+
 def test_sketch_fills_and_estimates():
     r = np.random.default_rng(1)
     a = r.integers(0, 2**63, 400, dtype=np.uint64)

@@ -55,6 +55,15 @@ def test_stages_with_odd_rows(spark):
         assert graded.columns == corpus_pipeline.COLUMNS and graded.count() <= table.count()
 
 
+def test_near_duplicates_stage_ignores_other_columns(spark):
+    """Columns that the stage uses inside itself may be in the corpus as well."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, i long, text_hash long, gone_id long, gone_hash long, digest binary"
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text, "en", "a", 1, 7, 8, 9, 10, None), (2, text, "en", "b", 1, 7, 8, 9, 10, None), (None, text, "en", "b", 1, 1, 1, 1, 1, None), (4, "other words", "en", "b", 1, 1, 1, 1, 1, None)]
+    out = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, schema), DATA)
+    assert out.columns == corpus_pipeline.COLUMNS and sorted(r.doc_id for r in out.collect()) == [1, 4]
+
+
 def test_every_operator_is_registered():
     names = list(registry.queries())
     assert [n for n in names if n.startswith("op")] == sorted((n for n in names if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0]))
