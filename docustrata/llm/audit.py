@@ -25,10 +25,11 @@ def word_totals(docs: DataFrame) -> DataFrame:
     """
     key = ["doc_id", "h", "own"]
     dealt = docs.select("doc_id", "h", F.spark_partition_id().alias("own"), "text").repartition(*key)
-    words = F.filter(F.split("text", _WORDS), lambda w: w != "")
-    word = dealt.select(*key, F.posexplode_outer(words).alias("pos", "word"))
-    pairs = word.groupBy(*key, "word").agg(F.count("word").alias("n"), F.count_if(F.coalesce(F.col("pos"), F.lit(0)) == 0).alias("copies"))
-    texts = pairs.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("copies").alias("copies"), F.count("word").alias("n_distinct"))
+    # a null before the words of a row: its count is the number of rows
+    words = F.concat(F.array(F.lit(None).cast("string")), F.filter(F.split("text", _WORDS), lambda w: w != ""))
+    pairs = dealt.select(*key, F.explode(words).alias("word")).groupBy(*key, "word").agg(F.count("*").alias("n"))
+    word = F.col("word").isNotNull()
+    texts = pairs.groupBy(*key).agg(F.sum(F.when(word, F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(word, 0).otherwise(F.col("n"))).alias("copies"), F.count("word").alias("n_distinct"))
     return texts.groupBy("doc_id", "h").agg(F.any_value(F.expr("n div copies")).alias("n_words"), F.any_value("n_distinct").alias("n_distinct"))
 
 

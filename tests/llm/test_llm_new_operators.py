@@ -162,7 +162,7 @@ def test_filter_audit(spark):
 
 def test_filter_audit_shuffles_texts_once_and_no_words(spark):
     plan = audit.word_totals(table(spark, corpus()).selectExpr("doc_id", "text", "xxhash64(text) h"))._jdf.queryExecution().executedPlan().toString()
-    before = plan.split("Generate posexplode")[0]
+    before = plan.split("Generate explode")[0]
     assert before.count("Exchange") == 1  # of the totals; the other one lies under the words
 
 
