@@ -55,8 +55,8 @@ def _control_keys(controls: DataFrame) -> DataFrame:
 
 
 def event_links(events: DataFrame, controls: DataFrame) -> DataFrame:
-    """Events with linked_control_path and linked_control_type: of the form with the module's name, the first control that answers to the handler's."""
-    keyed = _control_keys(controls).groupBy("doc_id", F.col("form").alias("module"), "key").agg(F.min_by(F.struct("path", "type"), "control_ord").alias("c"))
+    """Events with linked_control_path and linked_control_type: of the form with the module's name, the first control (by order, then path) that answers to the handler's."""
+    keyed = _control_keys(controls).groupBy("doc_id", F.col("form").alias("module"), "key").agg(F.min_by(F.struct("path", "type"), F.struct("control_ord", "path")).alias("c"))
     out = events.withColumn("key", normalize_identifier(F.col("control_name"))).join(keyed, ["doc_id", "module", "key"], "left")
     return out.select(*events.columns, F.col("c.path").alias("linked_control_path"), F.col("c.type").alias("linked_control_type"))
 

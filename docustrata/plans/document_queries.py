@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import office
+from ..sources import containers, office
+from . import rendered
 from . import rendered_documents as D
 from .queries import QUERIES, SQL
 
@@ -130,3 +131,17 @@ _query(
 )
 
 _query("rejected_documents", "rejected", _rows("'note' || k || '.txt' AS file, k, 'unsupported' AS format"), "format")
+
+
+def zip_export(spark, sf_dir):
+    """Rendered sources packed into a package per document by tasks, then read back entry by entry."""
+    office.register(spark)
+    folder = D.shared(spark, "export")
+    files = rendered.files(spark, sf_dir).select("doc_id", "file_ord", F.col("name").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    containers.write_zips(files, folder).write.format("noop").mode("overwrite").save()
+    found = spark.read.format("office_parts").load(folder)
+    return found.select(F.regexp_extract("file", "^([0-9]+)[.]zip$", 1).cast("long").alias("doc_id"), "ord", "path", "method", "size", F.md5("content").alias("digest"))
+
+
+QUERIES["zip_export"] = zip_export
+SQL["zip_export"] = f"WITH {rendered.FILES_SQL} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY file_ord) - 1)::INTEGER AS ord, name AS path, 0 AS method, strlen(text)::BIGINT AS size, md5(text) AS digest FROM files"

@@ -36,6 +36,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFr
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Keys dealt to all cores before costly decoding: a small table may be one row group."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, rows.columns[0])
+
+
 def _one(name: str, table: str, columns: list[str], make: Callable[[], dict], sql: str, source: str | None = None):
     """A query that projects columns of one table; ``source``: what SQL reads in its place."""
 
@@ -394,7 +399,7 @@ def picture_scan(spark, sf_dir):
     from ..operators import binary
 
     data = F.unhex(F.concat(F.expr("repeat('41', cast(k % 13 AS INT))"), F.expr(_PICTURE), F.lit("4141")))
-    rows = _read(spark, sf_dir, "orders", "o_orderkey").withColumn("k", c("o_orderkey")).withColumn("data", data)
+    rows = _spread(_read(spark, sf_dir, "orders", "o_orderkey")).withColumn("k", c("o_orderkey")).withColumn("data", data)
     return binary.media(rows, "o_orderkey", "data").select("o_orderkey", "offset", "extension", "mime_type", "length", F.octet_length("bytes").cast("long").alias("n_bytes"), "place")
 
 
@@ -419,7 +424,7 @@ def form_record_values(spark, sf_dir):
     caption = F.concat(F.lit("Form "), c("o_orderkey").cast("string"))
     le = lambda n: F.concat(F.lpad(F.hex(n % 256), 2, "0"), F.lpad(F.hex(F.floor(n / 256)), 2, "0"), F.lit("0000"))
     data = F.unhex(F.concat(F.lit("0004"), F.substring(le(12 + F.length(caption)), 1, 4), F.lit("00040800"), le(200 + c("o_orderkey") % 20000), le(150 + c("o_orderkey") % 9000), F.hex(caption)))
-    rows = _read(spark, sf_dir, "orders", "o_orderkey").select(c("o_orderkey").cast("string").alias("doc_id"), F.lit("c").alias("container"), F.lit(0).alias("ord"), F.lit("Form/f").alias("path"), data.alias("content"))
+    rows = _spread(_read(spark, sf_dir, "orders", "o_orderkey")).select(c("o_orderkey").cast("string").alias("doc_id"), F.lit("c").alias("container"), F.lit(0).alias("ord"), F.lit("Form/f").alias("path"), data.alias("content"))
     return forms.form_records(forms.form_streams(rows)).select(c("doc_id").cast("long").alias("o_orderkey"), "prop_ord", "name", "value")
 
 

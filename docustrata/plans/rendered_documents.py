@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import office
 from ..sources.containers import OLE_MARK
 from . import documents
 
@@ -155,22 +156,25 @@ def files(k: int) -> dict[str, bytes]:
 _known: dict[tuple[str, str], str] = {}
 
 
-def folder(spark: SparkSession, sf_dir: str) -> str:
-    """The folder of the rendered documents: below ``spark.checkpoint.dir``; a temporary one only where all runs in one process. Written once a session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key in _known:
-        return _known[key]
+def shared(spark: SparkSession, name: str) -> str:
+    """A new path below ``spark.checkpoint.dir``; a temporary one only where all runs in one process."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = tempfile.mkdtemp(prefix="docustrata-")
-    path = f"{top.rstrip('/')}/documents-{uuid.uuid4().hex}"
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-    def write(batches):
-        from pyarrow import fs
 
-        store, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+def folder(spark: SparkSession, sf_dir: str) -> str:
+    """The shared folder of the rendered documents, written once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _known:
+        return _known[key]
+    path = shared(spark, "documents")
+
+    def write(batches):
+        store, at = office._store(path)
         for batch in batches:
             store.create_dir(at, recursive=True)
             for k in batch.column("k").to_pylist():

@@ -6,11 +6,10 @@ parts as rows, which stay in the same partition. A damaged container gives a row
 
 from __future__ import annotations
 
-import io
 import struct
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
+from datetime import datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -181,29 +180,45 @@ def classified(parts: DataFrame) -> DataFrame:
     return parts.withColumns({"kind": kind, "note": note, "mime_type": mime})
 
 
-def write_zips(files: DataFrame, folder: str) -> DataFrame:
+def write_zips(files: DataFrame, folder: str, at: datetime | None = None) -> DataFrame:
     """Packs files (doc_id, file_ord, path, content) into one stored ZIP per document and returns doc_id, path, size, entries.
 
-    Written by tasks, one document each; colliding paths get a numbered suffix. A document's export must fit a task's
-    memory. ``folder``: a path or address (``hdfs://``, ``s3://``, ``file://``) that all executors reach.
+    A document's files come to one task in their order and are written as they come, so a task holds a batch of files and a
+    directory, not an export. Colliding paths get a numbered suffix. ``folder``: an address (``hdfs://``, ``s3://``, ``file://``) that all
+    executors reach; a bare path only where all runs in one process. ``at``: the time stamped on entries (default: now).
     """
+    master = files.sparkSession.sparkContext.master
+    if "://" not in folder and master != "local" and not master.startswith("local["):
+        raise ValueError("give the folder as an address that the driver and all executors share")
+    t = at or datetime.now()
+    time, date = t.hour << 11 | t.minute << 5 | t.second // 2, max(t.year - 1980, 0) << 9 | t.month << 5 | t.day
 
-    def pack(pdf):
-        import pandas as pd
+    def pack(batches):
         from pyarrow import fs
 
-        doc, buffer, taken = str(pdf.doc_id.iloc[0]), io.BytesIO(), {}
-        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_STORED, allowZip64=False) as z:
-            for path, content in pdf.sort_values("file_ord")[["path", "content"]].itertuples(index=False):
-                n = taken[path] = taken.get(path, 0) + 1
-                z.writestr(zipfile.ZipInfo(path if n == 1 else f"{path}~{n}"), content or b"")
         store, top = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
         store.create_dir(top, recursive=True)
-        data, target = buffer.getvalue(), f"{top.rstrip('/')}/{doc}.zip"
-        part = f"{target}.{uuid.uuid4().hex}.part"
-        with store.open_output_stream(part) as f:
-            f.write(data)
-        store.move(part, target)  # a repeated task replaces the file as a whole
-        return pd.DataFrame({"doc_id": [doc], "path": [f"{folder.rstrip('/')}/{doc}.zip"], "size": [len(data)], "entries": [len(pdf)]})
-
-    return files.groupBy("doc_id").applyInPandas(pack, "doc_id string, path string, size long, entries long")
+        doc, out, writer, part = None, None, None, ""
+
+        def closed():
+            writer.close()
+            out.close()
+            store.move(part, f"{top.rstrip('/')}/{doc}.zip")  # a repeated task replaces the file as a whole
+            return pa.RecordBatch.from_pylist([{"doc_id": doc, "path": f"{folder.rstrip('/')}/{doc}.zip", "size": writer.size, "entries": writer.entries}])
+
+        for batch in batches:
+            for i in range(len(batch)):
+                own, path, content = (batch.column(c)[i].as_py() for c in ("doc_id", "path", "content"))
+                if writer is None or own != doc:
+                    if writer is not None:
+                        yield closed()
+                    doc, part = own, f"{top.rstrip('/')}/{own}.zip.{uuid.uuid4().hex}.part"
+                    out = store.open_output_stream(part)
+                    writer = packages.Writer(out.write, time, date)
+                writer.add(path, content or b"")
+        if writer is not None:
+            yield closed()
+
+    rows = files.select(F.col("doc_id").cast("string").alias("doc_id"), "file_ord", "path", "content")
+    dealt = rows.repartition("doc_id").sortWithinPartitions("doc_id", "file_ord", "path")
+    return dealt.mapInArrow(pack, "doc_id string, path string, size long, entries long")

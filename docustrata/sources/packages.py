@@ -110,3 +110,37 @@ def unpack(read: Read, entry: Entry, most: int) -> bytes:
 def reader(content: bytes) -> Read:
     """Ranges of bytes in memory."""
     return lambda offset, length: content[offset : offset + length]
+
+
+class Writer:
+    """A package written front to back: entries as they are (stored), then the directory. Only the directory is held.
+
+    ``write``: takes bytes; ``time`` and ``date``: the entries' stamp. A name that comes again gets a number.
+    """
+
+    def __init__(self, write: Callable[[bytes], object], time: int, date: int):
+        self._write, self._stamp = write, struct.pack("<HH", time, date)
+        self.size, self.entries, self._directory, self._names = 0, 0, [], {}
+
+    def _put(self, data: bytes) -> None:
+        self._write(data)
+        self.size += len(data)
+
+    def add(self, name: str, data: bytes) -> None:
+        n = self._names[name] = self._names.get(name, 0) + 1
+        raw = (name if n == 1 else f"{name}~{n}").encode()
+        at = self.size
+        if at + len(data) > 0xFFFFFFFE or self.entries == 0xFFFE:
+            raise BadPackage("a package of over 4 GB or 65,534 entries")
+        # fixed values: version 2.0, names in UTF-8, stored
+        common = struct.pack("<HHH", 20, 0x0800, STORED) + self._stamp + struct.pack("<IIIHH", zlib.crc32(data), len(data), len(data), len(raw), 0)
+        self._put(_LOCAL + common + raw)
+        self._put(data)
+        self._directory.append(_ENTRY + struct.pack("<H", 0x0314) + common + struct.pack("<HHHII", 0, 0, 0, 0, at) + raw)
+        self.entries += 1
+
+    def close(self) -> None:
+        at = self.size
+        for record in self._directory:
+            self._put(record)
+        self._put(_END + struct.pack("<HHHHIIH", 0, 0, self.entries, self.entries, self.size - at, at, 0))

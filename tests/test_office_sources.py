@@ -156,3 +156,24 @@ def test_table_functions(spark):
         assert lateral.columns[1:] == [c.split()[0] for c in columns.split(", ")]
         assert "Exchange" not in batched._jdf.queryExecution().executedPlan().toString()
         assert len(one) == {"zip_entries": 1, "cfb_streams": 1, "ovba_text": 3, "dir_modules": 1}.get(name, len(one))
+
+
+def test_packages_are_written_front_to_back(spark, tmp_path):
+    """What is written reads back, by this library and by another; colliding names are numbered; a task holds no whole export."""
+    import datetime
+
+    files = [("d1", i, f"f/{i % 30}.txt", os.urandom(i * 37 % 900)) for i in range(100)] + [("d2", 0, "wörk.xml", b"<x/>"), ("d2", 1, "empty", None)]
+    df = spark.createDataFrame([(d, i, p, None if b is None else bytearray(b)) for d, i, p, b in files], "doc_id string, file_ord int, path string, content binary").repartition(7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    try:
+        rows = {r.doc_id: r for r in containers.write_zips(df, str(tmp_path / "out"), datetime.datetime(2024, 5, 17, 13, 31, 58)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {k: r.entries for k, r in rows.items()} == {"d1": 100, "d2": 2} and sorted(os.listdir(tmp_path / "out")) == ["d1.zip", "d2.zip"]
+    for d, r in rows.items():
+        own = [f for f in files if f[0] == d]
+        with zipfile.ZipFile(r.path) as z:
+            assert z.testzip() is None and [z.read(n) for n in z.namelist()] == [f[3] or b"" for f in own] and r.size == os.path.getsize(r.path)
+            assert all(i.compress_type == 0 and i.flag_bits == 0x0800 and i.date_time == (2024, 5, 17, 13, 31, 58) for i in z.infolist())
+    with zipfile.ZipFile(rows["d1"].path) as z:
+        assert z.namelist()[31] == "f/1.txt~2" and z.namelist()[99] == "f/9.txt~4"
