@@ -172,3 +172,54 @@ _query(
     "SELECT t.k AS o_orderkey, s.prop_ord, s.name, s.value FROM {t} t, LATERAL oforms(t.content, 'Form/f') s",
     content=FORM_CONTENT,
 )
+
+_M = "(40 + k % 60)"
+_PICTURES = f"""case k % 7
+  when 0 then '000001000100' || '1010000001002000' || {_le('(k % 60 + 5)', 4)} || '16000000' || repeat('2C', cast(k % 60 + 5 as int))
+  when 1 then '000002000100' || '1010000001002000' || {_le('(k % 60 + 5)', 4)} || '16000000' || repeat('2C', cast(k % 60 + 5 as int))
+  when 2 then 'FFD8' || repeat('2C', cast({_M} as int)) || 'FFD9'
+  when 3 then '49492A00' || repeat('2C', cast({_M} as int))
+  when 4 then 'D7CDC69A' || repeat('2C', cast({_M} as int))
+  when 5 then '01000000' || repeat('00', 36) || '20454D46' || '2C2C2C2C' || {_le('(100 + k % 60)', 4)} || repeat('2C', cast(48 + k % 60 as int))
+  else '6C740000' || {_le('20', 4)} || '010009000003' || {_le('10', 4)} || repeat('00', 10) end"""
+_query(
+    "picture_formats",
+    f"""SELECT k AS o_orderkey, (k % 11)::BIGINT AS "offset", x[1] AS extension, x[2] AS mime_type, x[3]::BIGINT AS length, x[4] AS label FROM (SELECT k, CASE k % 7
+      WHEN 0 THEN ['ico', 'image/x-icon', (27 + k % 60)::VARCHAR, 'ICO icon'] WHEN 1 THEN ['cur', 'image/x-icon', (27 + k % 60)::VARCHAR, 'CUR cursor'] WHEN 2 THEN ['jpg', 'image/jpeg', (44 + k % 60)::VARCHAR, 'JPEG image']
+      WHEN 3 THEN ['tif', 'image/tiff', (47 + k % 60)::VARCHAR, 'TIFF image'] WHEN 4 THEN ['wmf', 'image/wmf', (47 + k % 60)::VARCHAR, 'Placeable WMF image'] WHEN 5 THEN ['emf', 'image/emf', (100 + k % 60)::VARCHAR, 'EMF image']
+      ELSE ['wmf', 'image/wmf', '28', 'MS-OFORMS StdPicture WMF image'] END AS x FROM {_K})""",
+    "SELECT t.k AS o_orderkey, s.offset, s.extension, s.mime_type, s.length, regexp_replace(s.place, ' at 0x[0-9A-F]+$', '') AS label FROM {t} t, LATERAL recover_media(t.content) s",
+    content=f"repeat('41', cast(k % 11 as int)) || {_PICTURES} || '414141'",
+)
+
+_query(
+    "nested_pictures",
+    f"""SELECT k AS o_orderkey, (k % 5)::BIGINT AS "offset", 'gif' AS extension, 'Nested OLE at 0x000' || k % 5 || ' / VBA/m' || k || ' / GIF image at 0x0002' AS place FROM {_K} UNION ALL
+    SELECT k, k % 5 + 2050, 'gif', 'GIF image at 0x' || lpad(hex(k % 5 + 2050), 4, '0') FROM {_K}""",
+    "SELECT t.k AS o_orderkey, s.offset, s.extension, s.place FROM {t} t, LATERAL recover_media(t.content) s",
+    content="repeat('41', cast(k % 5 as int)) || " + COMPOUND.replace(_TEXT, "hex('xxGIF89a') || repeat('00', 7) || '2C3B'").replace(_LEN, "17"),
+)
+
+_query(
+    "extended_streams",
+    f"""SELECT k AS o_orderkey, kind, record_ord, "offset", size, name, value FROM (
+      SELECT k, 'Extended stream' AS kind, i::INTEGER AS record_ord, 8 * i AS "offset", 8 AS size, p[1] AS name, p[2] AS value FROM (SELECT k, i, unnest([['Value1', '0x' || lpad(hex(k + i), 8, '0')], ['Value2', '0x' || lpad(hex(i * 3), 8, '0')]]) AS p FROM {_K}, range(3) r(i) WHERE i < k % 3 + 1)
+      UNION ALL SELECT k, 'COM compound object', 0, 0, 12 + length('Form ' || k) + 1 + 20, 'ASCII string @ 0x000C', 'Form ' || k FROM {_K}
+      UNION ALL SELECT k, 'COM compound object', 0, 0, 12 + length('Form ' || k) + 1 + 20, 'ASCII string @ 0x' || lpad(hex(13 + length('Form ' || k)), 4, '0'), 'Microsoft Forms 2.00' FROM {_K})""",
+    "SELECT t.k AS o_orderkey, s.kind, s.record_ord, s.offset, s.size, s.name, s.value FROM {t} t, LATERAL oforms(t.content, t.stream) s",
+    content=" || ".join(f"case when k % 3 >= {i} then {_le(f'(k + {i})', 4)} || {_le(str(3 * i), 4)} else '' end" for i in range(3)),
+    stream="'Form/x'",
+)
+_plain_extended = QUERIES["extended_streams"]
+
+
+def _both_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extended streams, and class streams beside them."""
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k")).repartition(spark.sparkContext.defaultParallelism, "k")
+    content = "repeat('00', 12) || hex(concat('Form ', k)) || '00' || hex('Microsoft Forms 2.00')"
+    rows = keys.select("k", F.lit("Form/\x01CompObj").alias("stream"), F.unhex(F.expr(content)).alias("content"))
+    more = spark.sql("SELECT t.k AS o_orderkey, s.kind, s.record_ord, s.offset, s.size, s.name, s.value FROM {t} t, LATERAL oforms(t.content, t.stream) s", t=rows)
+    return _plain_extended(spark, sf_dir).unionByName(more)
+
+
+QUERIES["extended_streams"] = _both_extended

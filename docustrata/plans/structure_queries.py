@@ -234,3 +234,17 @@ QUERIES["hex_dump"] = hex_dump
 SQL["hex_dump"] = """WITH b AS (SELECT doc_id, regexp_extract_all(left(hex(encode(text)), 200), '..') AS b FROM documents),
 l AS (SELECT doc_id, i, b[i * 16 + 1:i * 16 + 16] AS b FROM b, range(7) r(i) WHERE i * 16 < len(b))
 SELECT doc_id, string_agg('0x' || lpad(hex(i * 16), 8, '0') || '  ' || rpad(lower(array_to_string(b, ' ')), 47, ' ') || '  ' || array_to_string(list_transform(b, lambda x: CASE WHEN x BETWEEN '20' AND '7E' THEN chr(('0x' || x)::INTEGER) ELSE '.' END), ''), chr(10) ORDER BY i) AS dump FROM l GROUP BY doc_id"""
+
+
+def text_codecs(spark, sf_dir):
+    """Texts through UTF-16 and windows-1252, and with their marks escaped."""
+    from ..functions import binary, text
+
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    said = F.concat(F.lit('<a b="'), "p_name", F.lit("€ & '"), F.col("p_partkey").cast("string"), F.lit("'>"))
+    return part.select("p_partkey", binary.decode_utf16le(F.encode(F.concat("p_name", F.lit("\0é")), "UTF-16LE")).alias("wide"), binary.decode_cp1252(F.concat(F.encode("p_name", "UTF-8"), F.unhex(F.lit("8094E9")))).alias("narrow"), text.escape_xml(said).alias("xml"))
+
+
+QUERIES["text_codecs"] = text_codecs
+SQL["text_codecs"] = """SELECT p_partkey, p_name || chr(233) AS wide, p_name || chr(8364) || chr(8221) || chr(233) AS narrow,
+  replace(replace(replace(replace('<a b="' || p_name || chr(8364) || ' & ''' || p_partkey || '''>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS xml FROM part"""
