@@ -23,6 +23,9 @@ from pyspark.sql.functions import arrow_udtf, udtf
 from ..operators import binary, forms, pictures
 from ..sources import containers, macros, packages
 
+#: Rows, and bytes of texts and contents, after which a batched function hands its results on.
+ROWS, BYTES = 4096, 4 << 20
+
 _ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 
 
@@ -104,21 +107,36 @@ def _lateral(columns: str, find: Callable[..., Iterator[tuple]], named: bool):
         def eval(self, content, name):
             yield from _rows(find, content, name or "")
 
-    return udtf(PerNamedRow if named else PerRow, returnType=columns, useArrow=True)
+    return udtf(PerNamedRow if named else PerRow, returnType=columns, useArrow=False)
 
 
 def _batched(columns: str, find: Callable[..., Iterator[tuple]], named: bool):
     """Columns of the table by position: key, content and, for form streams, the stream's name."""
     fields = [f.rsplit(" ", 1) for f in columns.split(", ")]
 
+    names = ["key", *("key_name" if n == "key" else n for n, _ in fields)]
+
+    heavy = [i for i, (_, t) in enumerate(fields) if t in ("string", "binary")]
+
+    def table(keys, rows):
+        return pa.table([pa.array(keys, pa.string()), *(pa.array(c, _ARROW[t]) for c, (_, t) in zip(zip(*rows), fields, strict=True))], names=names)
+
     class PerBatch:
         def eval(self, rows):
-            for at in range(rows.num_rows):  # a content at a time, so that one row's results are held at once
+            keys, found, held = [], [], 0
+            for at in range(rows.num_rows):  # a content at a time; a table for many contents, as each table handed on costs as much as many rows
                 more = [rows.column(2)[at].as_py() or ""] if named else []
-                got = list(_rows(find, rows.column(1)[at].as_py(), *more))
-                if got:
-                    key = pa.array([str(rows.column(0)[at].as_py())] * len(got), pa.string())
-                    yield pa.table({"key": key} | {f"c{i}": pa.array([g[i] for g in got], _ARROW[t]) for i, (_, t) in enumerate(fields)}).rename_columns(["key", *("key_name" if n == "key" else n for n, _ in fields)])
+                key = str(rows.column(0)[at].as_py())
+                for row in _rows(find, rows.column(1)[at].as_py(), *more):
+                    keys.append(key)
+                    found.append(row)
+                    for i in heavy:
+                        held += len(row[i] or "")
+                    if len(found) >= ROWS or held >= BYTES:
+                        yield table(keys, found)
+                        keys, found, held = [], [], 0
+            if found:
+                yield table(keys, found)
 
     return arrow_udtf(PerBatch, returnType=f"key string, {columns}")
 

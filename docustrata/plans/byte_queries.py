@@ -200,13 +200,14 @@ _query(
     content="repeat('41', cast(k % 5 as int)) || " + COMPOUND.replace(_TEXT, "hex('xxGIF89a') || repeat('00', 7) || '2C3B'").replace(_LEN, "17"),
 )
 
+_EXTENDED = "SELECT cast(key AS BIGINT) AS o_orderkey, kind, record_ord, offset, size, name, value FROM oforms_of(TABLE(SELECT k, content, stream FROM {t}))"
 _query(
     "extended_streams",
     f"""SELECT k AS o_orderkey, kind, record_ord, "offset", size, name, value FROM (
       SELECT k, 'Extended stream' AS kind, i::INTEGER AS record_ord, 8 * i AS "offset", 8 AS size, p[1] AS name, p[2] AS value FROM (SELECT k, i, unnest([['Value1', '0x' || lpad(hex(k + i), 8, '0')], ['Value2', '0x' || lpad(hex(i * 3), 8, '0')]]) AS p FROM {_K}, range(3) r(i) WHERE i < k % 3 + 1)
       UNION ALL SELECT k, 'COM compound object', 0, 0, 12 + length('Form ' || k) + 1 + 20, 'ASCII string @ 0x000C', 'Form ' || k FROM {_K}
       UNION ALL SELECT k, 'COM compound object', 0, 0, 12 + length('Form ' || k) + 1 + 20, 'ASCII string @ 0x' || lpad(hex(13 + length('Form ' || k)), 4, '0'), 'Microsoft Forms 2.00' FROM {_K})""",
-    "SELECT t.k AS o_orderkey, s.kind, s.record_ord, s.offset, s.size, s.name, s.value FROM {t} t, LATERAL oforms(t.content, t.stream) s",
+    _EXTENDED,
     content=" || ".join(f"case when k % 3 >= {i} then {_le(f'(k + {i})', 4)} || {_le(str(3 * i), 4)} else '' end" for i in range(3)),
     stream="'Form/x'",
 )
@@ -218,7 +219,7 @@ def _both_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k")).repartition(spark.sparkContext.defaultParallelism, "k")
     content = "repeat('00', 12) || hex(concat('Form ', k)) || '00' || hex('Microsoft Forms 2.00')"
     rows = keys.select("k", F.lit("Form/\x01CompObj").alias("stream"), F.unhex(F.expr(content)).alias("content"))
-    more = spark.sql("SELECT t.k AS o_orderkey, s.kind, s.record_ord, s.offset, s.size, s.name, s.value FROM {t} t, LATERAL oforms(t.content, t.stream) s", t=rows)
+    more = spark.sql(_EXTENDED, t=rows)
     return _plain_extended(spark, sf_dir).unionByName(more)
 
 

@@ -177,3 +177,52 @@ def test_packages_are_written_front_to_back(spark, tmp_path):
             assert all(i.compress_type == 0 and i.flag_bits == 0x0800 and i.date_time == (2024, 5, 17, 13, 31, 58) for i in z.infolist())
     with zipfile.ZipFile(rows["d1"].path) as z:
         assert z.namelist()[31] == "f/1.txt~2" and z.namelist()[99] == "f/9.txt~4"
+
+
+def test_batched_functions_hand_on_few_tables():
+    """One table for many contents, and no table of more than ROWS rows however many one content gives."""
+    import pyarrow as pa
+
+    make = table_functions._batched(*table_functions.FUNCTIONS["strings"], False).func
+    rows = lambda *contents: pa.RecordBatch.from_arrays([pa.array(range(len(contents))), pa.array(contents, pa.binary())], ["k", "content"])
+    got = list(make().eval(rows(*[b"word"] * 1000)))
+    assert len(got) == 1 and got[0].column("key").to_pylist() == [str(i) for i in range(1000)]
+    got = list(make().eval(rows(b"word\0" * 10_000, b"last")))
+    assert [t.num_rows for t in got] == [4096, 4096, 1809] and got[-1].to_pylist()[-1] == {"key": "1", "encoding": "ASCII", "offset": 0, "value": "last"}
+    assert [t.num_rows for t in make().eval(rows(*[b"x" * (3 << 20)] * 3))] == [2, 1]
+
+
+@pytest.mark.parametrize("name, function", [("extended_streams", "oforms"), ("form_records_in_bytes", "oforms"), ("nested_pictures", "recover_media"), ("streams_in_bytes", "cfb_streams"), ("modules_in_bytes", "dir_modules"), ("picture_formats", "recover_media")])
+def test_queries_over_bytes_take_whole_batches(spark, name, function):
+    from docustrata.plans.byte_queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert f"{function}_of(" in plan and f" {function}(" not in plan
+
+
+def test_shared_folders_are_addresses(tmp_path):
+    """Executors of a cluster write below the checkpoint folder, so it is named with its file system."""
+    from types import SimpleNamespace
+
+    from docustrata.plans import rendered_documents as D
+
+    for top, want in ((str(tmp_path), f"file://{tmp_path}"), (f"file:{tmp_path}", f"file://{tmp_path}"), (f"file://{tmp_path}", f"file://{tmp_path}"), ("hdfs://h/x", "hdfs://h/x")):
+        session = SimpleNamespace(conf={"spark.checkpoint.dir": top}, sparkContext=SimpleNamespace(master="spark://h:7077"))
+        assert D.shared(session, "export").startswith(f"{want}/export-")
+
+
+def test_form_sizes_of_large_keys(spark, tmp_path):
+    """Suppliers whose form is too wide to be sure of, or to be one at all."""
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from docustrata.plans.document_queries import QUERIES, SQL
+
+    keys = [1, 999, 20_999, 21_000, 27_999, 28_000, 60_000, 360_000]
+    pq.write_table(pa.table({"s_suppkey": keys}), tmp_path / "supplier.parquet")
+    got = sorted(map(tuple, QUERIES["document_form_properties"](spark, str(tmp_path)).select("k", "file", "form", "name", "value").collect()))
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet'")
+    assert got == sorted(duck.sql(f"SELECT k, file, form, name, value FROM ({SQL['document_form_properties']})").fetchall())
+    assert sum("low" in v for _, _, _, n, v in got if n == "Decoded DisplayedSize") == 2 and len(got) == 7 * 8 - 3
