@@ -55,9 +55,14 @@ def _each(rows: DataFrame, key: str, column: str, find, fields: str, types: list
     return rows.select(key, column).mapInArrow(_scan(find, names, types), f"`{key}` {rows.schema[key].dataType.simpleString()}, {fields}")
 
 
+_WIDE = re.compile(rb"(?:[\x20-\x7e]\x00){4}")
+
+
 def find_strings(data: bytes) -> list[tuple[str, int, str]]:
     """(encoding, offset, value) of runs of four and more printable ASCII characters, one byte each or two at even offsets, by offset."""
     out = [("ASCII", m.start(), m.group().decode("ascii")) for m in re.finditer(rb"[\x20-\x7e]{4,}", data)]
+    if not _WIDE.search(data):  # no run of two-byte characters at any offset: the common case, told faster than the runs at even ones are found
+        return out
     words = np.frombuffer(data[: len(data) // 2 * 2], "<u2")
     inside = np.concatenate([[False], (words >= 0x20) & (words <= 0x7E), [False]])
     edge = np.flatnonzero(inside[1:] != inside[:-1])

@@ -169,7 +169,7 @@ FORM_CONTENT = f"'0004' || {_le(f'(12 + length({_CAPTION}))', 2)} || '00040800'
 _query(
     "form_records_in_bytes",
     f"SELECT k AS o_orderkey, i::INTEGER AS prop_ord, v[i + 1][1] AS name, v[i + 1][2] AS value FROM (SELECT k, {_FORM_VALUES} AS v FROM {_K}), range(8) r(i)",
-    "SELECT t.k AS o_orderkey, s.prop_ord, s.name, s.value FROM {t} t, LATERAL oforms(t.content, 'Form/f') s",
+    "SELECT cast(key AS BIGINT) AS o_orderkey, prop_ord, name, value FROM oforms_of(TABLE(SELECT k, content, 'Form/f' FROM {t}))",
     content=FORM_CONTENT,
 )
 
