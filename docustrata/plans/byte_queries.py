@@ -196,7 +196,7 @@ _query(
     "nested_pictures",
     f"""SELECT k AS o_orderkey, (k % 5)::BIGINT AS "offset", 'gif' AS extension, 'Nested OLE at 0x000' || k % 5 || ' / VBA/m' || k || ' / GIF image at 0x0002' AS place FROM {_K} UNION ALL
     SELECT k, k % 5 + 2050, 'gif', 'GIF image at 0x' || lpad(hex(k % 5 + 2050), 4, '0') FROM {_K}""",
-    "SELECT t.k AS o_orderkey, s.offset, s.extension, s.place FROM {t} t, LATERAL recover_media(t.content) s",
+    "SELECT cast(key AS BIGINT) AS o_orderkey, offset, extension, place FROM recover_media_of(TABLE(SELECT k, content FROM {t}))",
     content="repeat('41', cast(k % 5 as int)) || " + COMPOUND.replace(_TEXT, "hex('xxGIF89a') || repeat('00', 7) || '2C3B'").replace(_LEN, "17"),
 )
 

@@ -169,3 +169,30 @@ def test_files_in_chunks(spark, tmp_path):
     assert df.where("file = 'f3'").count() == -(-20000 // 64)
     with pytest.raises(ValueError):
         chunks.chunked(df, "file", "content", 63)
+
+
+def test_starts_of_pictures_are_those_of_one_pattern():
+    """Every format by itself finds what the alternation does, in its order."""
+    from docustrata.operators import pictures as P
+
+    def plain(data):
+        at = 0
+        while m := P._START.search(data, at):
+            at = m.start()
+            got = P._FORMATS[m.lastgroup](data, at, False)
+            if got:
+                yield at, got
+            at += max(got.length, 1) if got else 1
+
+    r = random.Random(5)
+    parts = [b"\0", b"\0\0\1\0", b"\0\0\2\0", b"BM", b"GIF89a", b"\xff\xd8", b"\xff\xd9", b"II*\0", b"MM\0*", b"\x28\0\0\0", b"\1\0\0\0", b" EMF", b";", P._WRAPPER, P._PNG, P._PNG_END, P._PICTURE_CLASS, b"\1\0", b"x", b"\n", b"\xd7\xcd\xc6\x9a", b"\x14\0\0\0"]
+    for _ in range(3000):
+        data = b"".join(r.choices(parts, k=r.randint(0, 60)))
+        assert list(P._found(data)) == list(plain(data))
+
+
+def test_wide_strings_at_odd_offsets_are_none():
+    """A run of two-byte characters counts at even offsets only, also where one stands at an odd one."""
+    wide = "word".encode("utf-16-le")
+    assert binary.find_strings(b"\1" + wide) == [] and binary.find_strings(b"\1\1" + wide) == [("UTF-16LE", 2, "word")]
+    assert binary.find_strings(b"\1" + wide + b"\1" + wide) == [("UTF-16LE", 10, "word")]
