@@ -110,7 +110,7 @@ _DIR = {
 _query(
     "modules_in_bytes",
     f"SELECT k AS o_orderkey, 0 AS ord, 'Mod' || k AS name, 'Mod' || k || 's' AS stream_name, (k * 3)::BIGINT AS text_offset, 33 AS module_type_id FROM {_K} UNION ALL SELECT k, 1, 'Cls' || k, 'Cls' || k || 's', k % 1000, 34 FROM {_K}",
-    "SELECT t.k AS o_orderkey, s.* FROM {t} t, LATERAL dir_modules(t.content) s",
+    "SELECT cast(key AS BIGINT) AS o_orderkey, ord, name, stream_name, text_offset, module_type_id FROM dir_modules_of(TABLE(SELECT k, content FROM {t}))",
     _DIR | {"all": "refs || mods"},
     content=_raw_container('`all`'),
 )
