@@ -188,7 +188,7 @@ _query(
       WHEN 0 THEN ['ico', 'image/x-icon', (27 + k % 60)::VARCHAR, 'ICO icon'] WHEN 1 THEN ['cur', 'image/x-icon', (27 + k % 60)::VARCHAR, 'CUR cursor'] WHEN 2 THEN ['jpg', 'image/jpeg', (44 + k % 60)::VARCHAR, 'JPEG image']
       WHEN 3 THEN ['tif', 'image/tiff', (47 + k % 60)::VARCHAR, 'TIFF image'] WHEN 4 THEN ['wmf', 'image/wmf', (47 + k % 60)::VARCHAR, 'Placeable WMF image'] WHEN 5 THEN ['emf', 'image/emf', (100 + k % 60)::VARCHAR, 'EMF image']
       ELSE ['wmf', 'image/wmf', '28', 'MS-OFORMS StdPicture WMF image'] END AS x FROM {_K})""",
-    "SELECT t.k AS o_orderkey, s.offset, s.extension, s.mime_type, s.length, regexp_replace(s.place, ' at 0x[0-9A-F]+$', '') AS label FROM {t} t, LATERAL recover_media(t.content) s",
+    "SELECT cast(key AS BIGINT) AS o_orderkey, offset, extension, mime_type, length, regexp_replace(place, ' at 0x[0-9A-F]+$', '') AS label FROM recover_media_of(TABLE(SELECT k, content FROM {t}))",
     content=f"repeat('41', cast(k % 11 as int)) || {_PICTURES} || '414141'",
 )
 
