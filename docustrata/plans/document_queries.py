@@ -83,7 +83,9 @@ _query(
 _query(
     "document_form_properties",
     "form_properties",
-    _rows(*(f"{_DOC}, 'Form1' AS form, '{n}' AS name, {v} AS value" for n, v in (("Caption", "'Form ' || k"), ("ClientHeight", "(100 + k)::VARCHAR"), ("Name", "'Form1'"), ("Decoded Caption", "'Main ' || k || ' (medium)'"), ("Decoded DisplayedSize", "(4000 + k) || ' x 3000 twips @ 0x0008 (medium)'"), ("FormControl PropMask", "'0x00080400 (DisplayedSize, Caption)'"), ("Label 3", "'Main ' || k")))),
+    # a size counts below 32,000 twips and is sure below 25,000; without one the caption is the third property, not the fourth
+    _rows(*(f"{_DOC}, 'Form1' AS form, {n} AS name, {v} AS value" for n, v in (("'Caption'", "'Form ' || k"), ("'ClientHeight'", "(100 + k)::VARCHAR"), ("'Name'", "'Form1'"), ("'Decoded Caption'", "'Main ' || k || ' (medium)'"), ("'FormControl PropMask'", "'0x00080400 (DisplayedSize, Caption)'"), ("'Label ' || CASE WHEN 4000 + k < 32000 THEN 3 ELSE 2 END", "'Main ' || k"))))
+    + f" UNION ALL SELECT {_DOC}, 'Form1', 'Decoded DisplayedSize', (4000 + k) || ' x 3000 twips @ 0x0008 (' || CASE WHEN 4000 + k < 25000 THEN 'medium' ELSE 'low' END || ')' FROM {_S} WHERE 4000 + k < 32000",
     "form", "name", "value",
 )
 
