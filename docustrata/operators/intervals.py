@@ -66,3 +66,13 @@ def ordinal_properties(masks: DataFrame, strings: DataFrame, key: list[str], nam
 def left_over(strings: DataFrame, taken: DataFrame, key: list[str]) -> DataFrame:
     """The strings that no property took: an anti-join by their place, so equal texts elsewhere stay."""
     return strings.join(taken.select(*key, "offset"), [*key, "offset"], "left_anti")
+
+
+def strings_by_mask(masks: DataFrame, strings: DataFrame, key: list[str], names: dict[int, str]) -> DataFrame:
+    """``ordinal_properties`` with what they leave over, in one join: key, bit, name, offset, value of every string; no bit and no name where no property took it.
+
+    Strings of a key stand at places of their own.
+    """
+    bits = masks.select(*key, F.posexplode(set_bits(F.col("mask"), names)).alias("ordinal", "b")).select(*key, "ordinal", "b.bit", "b.name")
+    number = F.row_number().over(Window.partitionBy(*key).orderBy("offset")) - 1
+    return strings.select(*key, "offset", "value", number.alias("ordinal")).join(bits.hint("merge"), [*key, "ordinal"], "left").select(*key, "bit", "name", "offset", "value")
