@@ -196,7 +196,8 @@ def test_batched_functions_hand_on_few_tables():
 def test_queries_over_bytes_take_whole_batches(spark, name, function):
     from docustrata.plans.byte_queries import QUERIES
 
-    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # a session of its own: no other query has registered the functions
+    plan = QUERIES[name](spark.newSession(), "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert f"{function}_of(" in plan and f" {function}(" not in plan
 
 
