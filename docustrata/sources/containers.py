@@ -22,6 +22,8 @@ from . import packages
 PARTS = "doc_id string, ord int, path string, method int, compressed_size long, size long, content binary, error string"
 #: Largest part that is unpacked: a guard against bombs. A larger one gives a row without content and an error.
 MOST = 1 << 30
+#: Bytes of content in a batch that a task hands on.
+BATCH = 16 << 20
 
 
 def raw_documents(spark, path: str, glob: str = "*") -> DataFrame:
@@ -30,6 +32,40 @@ def raw_documents(spark, path: str, glob: str = "*") -> DataFrame:
     return with_format(found.select(F.sha2("path", 256).alias("doc_id"), "path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "content"))
 
 
+def addressed_documents(addresses: DataFrame) -> DataFrame:
+    """The documents at addresses (path), as ``raw_documents`` gives those of a folder.
+
+    Tasks read them, many to a task however small they are, and the driver holds no list of them. Addresses are what ``pyarrow.fs`` opens.
+    """
+
+    def made(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["path", "content"])
+
+    def read(batches):
+        from pyarrow import fs
+
+        stores: dict[str, tuple] = {}
+        rows, size = [], 0
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                top, _, name = path.rpartition("/")
+                if top not in stores:
+                    stores[top] = fs.FileSystem.from_uri(top) if "://" in top else (fs.LocalFileSystem(), top.removeprefix("file:"))
+                store, at = stores[top]
+                with store.open_input_file(f"{at}/{name}") as f:
+                    rows.append((path, f.read()))
+                size += len(rows[-1][1])
+                if size >= BATCH:
+                    yield made(rows)
+                    rows, size = [], 0
+        if rows:
+            yield made(rows)
+
+    dealt = addresses.select("path").repartition(4 * addresses.sparkSession.sparkContext.defaultParallelism, "path")
+    found = dealt.mapInArrow(read, "path string, content binary")
+    return with_format(found.select(F.sha2("path", 256).alias("doc_id"), "path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "content"))
+
+
 def with_format(docs: DataFrame) -> DataFrame:
     loose = F.rlike("file_name", F.lit(r"(?i)\.(bas|cls|frm|frx)\z"))
     return docs.withColumn("format", F.when(loose, "raw").when(is_zip(F.col("content")), "zip").when(is_ole(F.col("content")), "ole").otherwise("unsupported"))
@@ -137,19 +173,31 @@ class CompoundFile:
         return b"".join(self.small[i * n : (i + 1) * n] for i in self._follow(first, self.small_next))[:size]
 
 
+_ROW = [("doc_id", pa.string()), ("ord", pa.int32()), ("path", pa.string()), ("method", pa.int32()), ("compressed_size", pa.int64()), ("size", pa.int64()), ("content", pa.binary()), ("error", pa.string())]
+
+
 def _rows(decode):
+    """Rows of many documents in a batch, of about ``BATCH`` bytes."""
+
+    def made(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(_ROW)], [n for n, _ in _ROW])
+
     def run(batches):
+        rows, size = [], 0
         for batch in batches:
             for doc, content in zip(batch.column("doc_id"), batch.column("content"), strict=True):
-                rows = []
+                key = doc.as_py()
                 try:
-                    rows = list(decode(content.as_py() or b""))
+                    own = [(key, *row) for row in decode(content.as_py() or b"")]
                 except (ValueError, struct.error, IndexError) as e:
-                    rows = [(None, None, None, None, None, None, str(e))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc.as_py()] * len(rows), pa.string()), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.string())))],
-                    ["doc_id", "ord", "path", "method", "compressed_size", "size", "content", "error"],
-                )
+                    own = [(key, None, None, None, None, None, None, str(e))]
+                rows += own
+                size += sum(len(r[6]) for r in own if r[6])
+                if size >= BATCH or len(rows) >= 10_000:
+                    yield made(rows)
+                    rows, size = [], 0
+        if rows:
+            yield made(rows)
 
     return run
 

@@ -2,6 +2,7 @@ import io
 import struct
 import zipfile
 
+import pyarrow as pa
 import pytest
 
 from docustrata.plans import documents
@@ -158,6 +159,32 @@ def test_model_of_a_folder(spark, tmp_path):
     assert [(r.kind, r.guid, r.version) for r in refs] == [("registered", "{00020430-0000-0000-C000-000000000046}", "2.0")]
 
 
+def test_folder_is_read_once(spark, tmp_path):
+    """With a scratch folder no table goes back to the many small files, and the same tables come from addresses as from their folder."""
+    (tmp_path / "in").mkdir()
+    for i in range(5):
+        (tmp_path / f"in/a b{i}.bas").write_bytes(b"Sub X()\r\nEnd Sub")
+    (tmp_path / "in/other.txt").write_bytes(b"hello")
+    m = documents.model(spark, str(tmp_path / "in"), str(tmp_path / "scratch"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert not [name for name in ("documents", "rejected", "source_files", "resources", "files") if "binaryFile" in plan(m[name])]
+    at = containers.addressed_documents(spark.createDataFrame([(f"file://{p}",) for p in (tmp_path / "in").iterdir()], "path string"))
+    found = documents.model(spark, at)
+    for name, columns in (("documents", ["file_name", "format"]), ("source_files", ["name", "text"]), ("rejected", ["file_name"])):
+        assert sorted(found[name].select(*columns).collect()) == sorted(m[name].select(*columns).collect())
+
+
+def test_decoders_hand_on_whole_batches():
+    """Rows of many containers come in one batch, a damaged one's error among them; none gives no batch."""
+    batch = pa.RecordBatch.from_arrays([pa.array([f"d{i}" for i in range(50)]), pa.array([project() if i != 7 else b"x" for i in range(50)])], ["doc_id", "content"])
+    got = list(containers._rows(lambda b: ((i, p, None, None, len(x), x, None) for i, (p, x) in enumerate(containers.CompoundFile(b).streams())))([batch, batch]))
+    each = len(dict(containers.CompoundFile(project()).streams()))
+    assert len(got) == 1 and len(got[0]) == 2 * (49 * each + 1) and got[0].column("error").drop_null().to_pylist() == ["no compound file header"] * 2
+    dirs = pa.RecordBatch.from_arrays([pa.array(["a", "b", "c"]), pa.array(["v"] * 3), pa.array([dir_stream([("A", 5, 0x21), ("B", 9, 0x22)]), b"", dir_stream([("C", 0, 0x21)])])], ["doc_id", "container", "content"])
+    rows = list(macros._decoded(macros.dir_modules, ["name", "stream_name", "text_offset", "module_type_id"], [pa.string(), pa.string(), pa.int64(), pa.int32()])([dirs]))
+    assert len(rows) == 1 and [(r["doc_id"], r["ord"], r["name"]) for r in rows[0].to_pylist()] == [("a", 0, "A"), ("a", 1, "B"), ("c", 0, "C")]
+
+
 def test_zip_sink(spark, tmp_path):
     files = spark.createDataFrame([("d", 0, "a.txt", bytearray(b"1")), ("d", 1, "a.txt", bytearray(b"2"))], "doc_id string, file_ord int, path string, content binary")
     row = containers.write_zips(files, str(tmp_path / "out")).first()
