@@ -160,3 +160,22 @@ def test_more_reports(spark):
     assert "\n- [ ] Replace or implement WinAPI: PtrSafe" in text and "cmd_ok.Click" in text and text.startswith("# Migration Checklist\n") and "- [ ] Forms: 0" in text
     plan = reports.migration_test_plan(events, S.procedure_uses(procs), S.call_edges(procs), S.dependencies(f)).first().text
     assert "\n- [ ] Trigger cmd_ok.Click" in plan and "- [ ] Validate the replacement of WinAPI: PtrSafe" in plan
+
+
+def test_word_edges_of_rules():
+    """A rule's expression finds what its plain form with ASCII edges does, and looks at a word's first letter before its edge."""
+    import random
+    import re
+
+    from docustrata.functions.patterns import SPACE, _first_letters, spark
+    from docustrata.operators import rules
+
+    patterns = [r[1] for r in (*rules.DEPENDENCIES, *rules.RISKS, *rules.USES)] + [r"\bab?c\b", r"\b(a|)b", r"\b(a|b)?c", r"\b(a|b*)c"]
+    words = [w for p in patterns for w in re.findall(r"[A-Za-z]+", p)]
+    draw = random.Random(1)
+    texts = ["".join(draw.choice([*words, " ", " ", "\n", "_", "é", "(", '"', ".", "1"]) + draw.choice(["", " ", "(", '"']) for _ in range(draw.randrange(1, 60))).swapcase() for _ in range(300)]
+    for p in patterns:
+        plain, fast = (re.compile(x, re.A | re.I) for x in (p.replace(r"\s", SPACE), spark(p)))
+        assert [m.span() for t in texts for m in plain.finditer(t)] == [m.span() for t in texts for m in fast.finditer(t)], p
+    assert [_first_letters(p) for p in ("(Ab|cd(e|f)|g?h)", "(a|)b", "(a|b)?c", "ab?c", "a?b", "(a|b(c|d))e", "a|b", "a(x|y)", "", "(?:a|b)")] == ["", "", "", "Aa", "", "ABab", "", "Aa", "", ""]
+    assert all(spark(p).startswith("(?i)(?-i:(?=[") for _, p, *_ in rules.DEPENDENCIES)
