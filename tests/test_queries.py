@@ -43,3 +43,8 @@ def test_source_queries_do_not_shuffle_lines(spark):
     files = spark.createDataFrame([(1, 0, "a.bas", "vba", "p", "Sub A()\nEnd Sub")], "doc_id long, file_ord int, name string, kind string, source_path string, text string")
     for df in (S.procedures(files), S.risk_markers(files), S.variables(files), S.events(S.procedures(files))):
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_call_graph_finds_calls_once(spark):
+    """The report reads its edges in three places; the bodies' words are not made and shuffled for each."""
+    assert "regexp_extract_all" not in QUERIES["call_graph_report"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
