@@ -227,3 +227,31 @@ def test_strings_by_mask_are_both_lists(spark):
     rest = intervals.left_over(own, taken, ["k"]).selectExpr("k", "cast(null as int) as bit", "cast(null as string) as name", "offset", "value")
     rows = lambda df: sorted(map(repr, map(tuple, df.collect())))
     assert rows(intervals.strings_by_mask(masks, own, ["k"], names)) == rows(taken.unionByName(rest))
+
+
+def test_exploded_lists_are_made_once(spark):
+    """Before an inner explode Spark puts a filter on the list's size, which makes the list, and what it is made from, again for each element."""
+    from docustrata.operators import controls as C
+    from docustrata.operators import forms
+    from docustrata.operators import source_code as S
+
+    files = spark.createDataFrame([("d", 0, "Form1.frm", "frm", "p", "Sub A_Click()\nShell 1\nEnd Sub\nSub B()\nA_Click\nEnd Sub")], "doc_id string, file_ord int, name string, kind string, source_path string, text string")
+    procs = S.procedures(files, with_body=True)
+    streams = spark.createDataFrame([("d", "c", 0, "Form1/i01/f", b"\0\x04" + bytes(40))], "doc_id string, container string, ord int, path string, content binary")
+    controls = forms.controls(streams, forms.form_streams(streams))
+    for df in (procs, S.events(procs), S.dependencies(files), S.risk_markers(files), S.calls(procs), C.event_links(S.events(procs), controls)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" in plan and not [line for line in plan.split("\n") if "Filter" in line and "(size(" in line and "transform(" in line]
+    assert [(r["name"], r["line_start"], r["line_end"]) for r in procs.orderBy("proc_ord").collect()] == [("A_Click", 1, 3), ("B", 4, 6)]
+    assert [r["path"] for r in controls.collect()] == ["Form1/i01"]
+
+
+def test_merged_sorts_once(spark):
+    """The sorted entries are one value: not sorted again for each entry that looks at its neighbours."""
+    from docustrata.operators import merges
+
+    rows = spark.createDataFrame([(1, [("a", "1"), ("b", "2"), ("a", "3"), (None, "4")])], "id int, e array<struct<name:string,value:string>>")
+    got = rows.select(merges.merged(rows["e"]).alias("m"))
+    assert list(got.first()["m"].items()) == [("a", "3"), ("b", "2")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString().replace("sort_array", "array_sort")
+    assert plan.count("array_sort(") == 2
