@@ -243,20 +243,18 @@ def controls(streams: DataFrame, analysed: DataFrame) -> DataFrame:
     # what each stream says, then folded in the order of streams: a control has few
     value = lambda k: F.get(F.transform(F.filter("own", lambda p: p["name"] == k), lambda p: p["value"]), F.lit(0))
     plain = lambda x: F.regexp_replace(x, r"\s+\(.+\)\z", "")
-    from ..functions.text import confidence, is_human_label, strip_confidence
+    from ..functions.text import bound, confidence, is_human_label, strip_confidence
 
     mine = lambda test: F.get(F.transform(F.filter("own", test), lambda p: p["value"]), F.lit(0))
     comp = F.endswith("stream", F.lit("/\x01CompObj"))
     prog = F.when(comp, plain(mine(lambda p: F.rlike(plain(p["value"]), F.lit(r"(?i)\AForms\.")))))
     named = F.when(comp, mine(lambda p: F.rlike(p["value"], F.lit("(?i)Microsoft Forms 2[.]0"))))
-    said_name, said_caption = strip_confidence(value("Decoded Name")), strip_confidence(value("Decoded Caption"))
+    said_name = bound(value("Decoded Name"), lambda v: bound(strip_confidence(v), lambda x: F.when(is_human_label(x) & (confidence(v) != "low"), x)))
+    said_caption = bound(strip_confidence(value("Decoded Caption")), lambda x: F.when(is_human_label(x), x))
     label = plain(mine(lambda p: F.startswith(p["name"], F.lit("Label ")) & is_human_label(p["value"])))
-    said = owned.withColumn("path", at(F.size("parts") - 1)).select(
-        *key, "ord", "stream", "own", prog.alias("prog_id"), F.coalesce(labels.prog_id_label(prog), prog, named).alias("type"),
-        F.when(is_human_label(said_name) & (confidence(value("Decoded Name")) != "low"), said_name).alias("said_name"),
-        F.when(is_human_label(said_caption), said_caption).alias("said_caption"), label.alias("label"),
-    )
-    rows = said.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("ord", "stream", "own", "prog_id", "type", "said_name", "said_caption", "label"))).alias("s"))
+    classed = bound(prog, lambda x: F.struct(x.alias("prog_id"), F.coalesce(labels.prog_id_label(x), x, named).alias("type")))
+    said = owned.withColumn("path", at(F.size("parts") - 1)).select(*key, "ord", "stream", "own", classed.alias("class"), said_name.alias("said_name"), said_caption.alias("said_caption"), label.alias("label"))
+    rows = said.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("ord", "stream", "own", "class.prog_id", "class.type", "said_name", "said_caption", "label"))).alias("s"))
     none = lambda: F.lit(None).cast("string")
     folded = F.aggregate(
         "s",
@@ -264,17 +262,14 @@ def controls(streams: DataFrame, analysed: DataFrame) -> DataFrame:
         lambda a, x: F.struct(F.coalesce(x["said_name"], a["name"], x["said_caption"], a["caption"], x["label"]).alias("name"), F.coalesce(x["said_caption"], a["caption"], x["label"]).alias("caption")),
     )
     last = lambda f: F.element_at(F.filter(F.transform("s", lambda x: x[f]), lambda v: v.isNotNull()), -1)
-    entries = said.select(*key, "ord", "stream", F.posexplode("own").alias("pos", "p")).select(*key, "ord", "stream", "pos", "p.*")
-    merged = merges.as_map(merges.last_wins(entries, key, ["ord", "stream", "pos"]), key)
     has = F.size("s") > 0
     some = lambda f: F.when(has & F.exists("s", lambda x: x[f].isNotNull()), last(f))
-    facts = rows.select(*key, folded.alias("f"), some("prog_id").alias("prog_id"), some("type").alias("type"), F.transform("s", lambda x: x["stream"]).alias("streams"))
-    facts = facts.join(merged, key, "left").withColumn("properties", F.coalesce("properties", F.expr("cast(map() as map<string,string>)")))
+    merged = merges.merged(F.flatten(F.transform("s", lambda x: F.coalesce(x["own"], F.array().cast("array<struct<name:string,value:string>>")))))
+    facts = rows.select(*key, folded.alias("f"), some("prog_id").alias("prog_id"), some("type").alias("type"), F.transform("s", lambda x: x["stream"]).alias("streams"), merged.alias("properties"))
     # bounds by the bytes of a control's first form stream
-    own_f = streams.where(F.endswith("path", F.lit("/f"))).withColumn("k", F.to_json(F.struct("doc_id", "container", "path"))).select("k", "content")
+    own_f = streams.where(F.endswith("path", F.lit("/f"))).select(F.struct("doc_id", "container", F.regexp_replace("path", r"/f\z", "").alias("path")).alias("k"), "content")
     guess = inferred_bounds(own_f, "k", "content")
-    get = lambda n: F.get_json_object("k", f"$.{n}")
-    guess = guess.select(get("doc_id").alias("doc_id"), get("container").alias("container"), F.regexp_replace(get("path"), r"/f\z", "").alias("path"), *(F.col(c).alias(f"g_{c}") for c in ("left", "top", "width", "height", "confidence")))
+    guess = guess.select("k.*", *(F.col(c).alias(f"g_{c}") for c in ("left", "top", "width", "height", "confidence")))
     out = tree.join(facts, key, "left").join(guess, key, "left")
     prop = lambda k: F.try_element_at("properties", F.lit(k))
     shown, logical, place = size_hint(prop("Decoded DisplayedSize")), size_hint(prop("Decoded LogicalSize")), position_hint(prop("Decoded SitePosition"))

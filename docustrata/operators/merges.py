@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
+
 
 def last_wins(entries: DataFrame, key: list[str], order: list[str], name: str = "name", value: str = "value") -> DataFrame:
     """(key, name, value, first): of each name the value with the highest order, and the lowest order of the name. Null names are left out."""
@@ -32,8 +34,9 @@ def as_map(entries: DataFrame, key: list[str], column: str = "properties") -> Da
 
 def merged(entries: Column, name: str = "name", value: str = "value") -> Column:
     """Map of a row's array of entries: the last value of each name, names by their first place. One sort, whatever the number of entries."""
-    placed = F.array_sort(F.transform(entries, lambda e, i: F.struct(e[name].alias("k"), i.alias("i"), e[value].alias("v"))))
-    ends = F.transform(placed, lambda e, i: F.struct(e["k"].alias("k"), e["i"].alias("i"), e["v"].alias("v"), (~F.get(placed, i - 1)["k"].eqNullSafe(e["k"])).alias("begins"), (~F.get(placed, i + 1)["k"].eqNullSafe(e["k"])).alias("ends")))
-    begins, last = F.filter(ends, lambda e: e["begins"]), F.filter(ends, lambda e: e["ends"])
-    by_first = F.array_sort(F.transform(F.arrays_zip(begins.alias("a"), last.alias("b")), lambda p: F.struct(p["a"]["i"].alias("i"), p["b"]["k"].alias("k"), p["b"]["v"].alias("v"))))
+    placed = F.sort_array(F.transform(entries, lambda e, i: F.struct(e[name].alias("k"), i.alias("i"), e[value].alias("v"))))
+    begins = lambda p, e, i: ~F.get(p, i - 1)["k"].eqNullSafe(e["k"])
+    ends = lambda p, e, i: ~F.get(p, i + 1)["k"].eqNullSafe(e["k"])
+    pairs = lambda p: F.arrays_zip(F.filter(p, lambda e, i: begins(p, e, i)).alias("a"), F.filter(p, lambda e, i: ends(p, e, i)).alias("b"))
+    by_first = F.sort_array(F.transform(bound(placed, pairs), lambda p: F.struct(p["a"]["i"].alias("i"), p["b"]["k"].alias("k"), p["b"]["v"].alias("v"))))
     return F.map_from_entries(F.transform(F.filter(by_first, lambda e: e["k"].isNotNull()), lambda e: F.struct(e["k"], e["v"])))
