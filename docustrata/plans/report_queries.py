@@ -9,6 +9,7 @@ from ..operators import rules
 from ..operators import source_code as S
 from . import rendered
 from .queries import _CALLS, _EVENTS, _G, _PROCS, _RISKS, QUERIES, SQL, _list_of
+from .rendered_documents import stored
 
 
 def _found() -> str:
@@ -126,22 +127,24 @@ vars AS (SELECT doc_id, file_ord, module, line, {_G(rules.VARIABLE, 2)} AS name,
 _DOCS = "SELECT DISTINCT doc_id FROM files"
 
 
-def model(spark, sf_dir) -> dict:
-    """The tables of ``documents.model`` that reports read, from the rendered sources."""
+def model(spark, sf_dir, *once: str) -> dict:
+    """The tables of ``documents.model`` that reports read, from the rendered sources. Those named ``once``, and the sources that they are made from, are made once and stored."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     table = lambda n: spark.sql(_TABLES[n], **{t: read(t) for t in ("supplier", "customer") if f"{{{t}}}" in _TABLES[n]})
+    keep = lambda rows, name: stored(rows, name) if name in once else rows
     files, controls = rendered.files(spark, sf_dir), rendered.controls(spark, sf_dir)
+    files = stored(files, "source_files") if once else files
     procs = S.procedure_uses(S.procedures(files, with_body=True))
-    events = S.events(procs)
+    events = keep(S.events(procs), "events")
     return {
         "documents": files.select("doc_id").distinct(), "source_files": files, "modules": S.modules(files), "procedures": procs.drop("body"), "bodies": procs, "variables": S.variables(files), "events": events,
-        "risk_markers": S.risk_markers(files), "dependencies": S.dependencies(files), "references": table("refs"), "activex_controls": table("ax"), "media": table("media"), "form_properties": table("props"),
-        "controls": controls, "forms": controls.select("doc_id", "form").distinct(), "event_links": C.event_links(events, controls), "preview": C.preview_layout(controls),
+        "risk_markers": S.risk_markers(files), "dependencies": keep(S.dependencies(files), "dependencies"), "references": table("refs"), "activex_controls": table("ax"), "media": table("media"), "form_properties": table("props"),
+        "controls": controls, "forms": controls.select("doc_id", "form").distinct(), "event_links": keep(C.event_links(events, controls), "event_links"), "preview": C.preview_layout(controls),
     }
 
 
-def _registered(name: str, make, sql: str) -> None:
-    QUERIES[name], SQL[name] = lambda spark, sf_dir: make(model(spark, sf_dir)), sql
+def _registered(name: str, make, sql: str, *once: str) -> None:
+    QUERIES[name], SQL[name] = lambda spark, sf_dir: make(model(spark, sf_dir, *once)), sql
 
 
 _registered(
@@ -201,6 +204,7 @@ _registered(
         "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY min(place)) AS k1, 0 AS k2, '- ' || category AS line FROM dep GROUP BY doc_id, category",
         more=_MORE,
     ),
+    "event_links",
 )
 
 _registered(
@@ -227,6 +231,7 @@ _registered(
         "SELECT doc_id, m AS k1, 0 AS k2, '- ' || category || ': ' || value || ' from ' || file_name || ': ' || reason AS line FROM own",
         more=_MORE,
     ),
+    "events", "event_links", "dependencies",
 )
 
 _registered(

@@ -48,3 +48,9 @@ def test_source_queries_do_not_shuffle_lines(spark):
 def test_call_graph_finds_calls_once(spark):
     """The report reads its edges in three places; the bodies' words are not made and shuffled for each."""
     assert "regexp_extract_all" not in QUERIES["call_graph_report"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["rebuild_brief", "dependency_report", "frontend_plan", "migration_test_plan"])
+def test_reports_render_sources_once(spark, name):
+    """What a report reads in several places is stored: its plan reads sources and does not render them in each place."""
+    assert "kernel32" not in QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
