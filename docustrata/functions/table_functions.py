@@ -1,14 +1,17 @@
-"""Table functions over bytes, for SQL: what a container, a stream or a macro project holds, as rows.
+"""Table functions over bytes: what a container, a stream or a macro project holds, as rows.
 
-Each has two forms. ``name(content)`` is called per row, after ``LATERAL``. ``name_of(TABLE(...))`` takes a table of
+For SQL each has two forms. ``name(content)`` is called per row, after ``LATERAL``. ``name_of(TABLE(...))`` takes a table of
 (key, content) in Arrow batches and gives the key with the rows, without a shuffle unless ``PARTITION BY`` asks for one:
 
     SELECT d.doc_id, s.* FROM docs d, LATERAL strings(d.content) s
     SELECT * FROM strings_of(TABLE(SELECT doc_id, content FROM docs))
 
-The key of a table is a string. A null or empty content, and one that is not of the format, gives no rows. In a damaged container
-the rows before the damage count where the format can be read that far. With ``PARTITION BY`` a key's rows are
-read one after another, each by itself.
+Of a batched function in SQL, Spark holds the input rows, contents too, until their task ends, on disk when memory is short. For large
+tables there is a third form, ``found(docs.select("doc_id", "content"), "strings")``: the same batches and columns, and no row is held.
+
+The key of a table is a string; in the third form it keeps its type. A null or empty content, and one that is not of the format,
+gives no rows. In a damaged container the rows before the damage count where the format can be read that far. With
+``PARTITION BY`` a key's rows are read one after another, each by itself.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import struct
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import arrow_udtf, udtf
 
 from ..operators import binary, forms, pictures
@@ -110,39 +113,63 @@ def _lateral(columns: str, find: Callable[..., Iterator[tuple]], named: bool):
     return udtf(PerNamedRow if named else PerRow, returnType=columns, useArrow=False)
 
 
-def _batched(columns: str, find: Callable[..., Iterator[tuple]], named: bool):
-    """Columns of the table by position: key, content and, for form streams, the stream's name."""
+def _decoder(columns: str, find: Callable[..., Iterator[tuple]], named: bool):
+    """From a batch, columns by position (key, content and, for form streams, the stream's name), and its keys: tables of the rows found."""
     fields = [f.rsplit(" ", 1) for f in columns.split(", ")]
 
     names = ["key", *("key_name" if n == "key" else n for n, _ in fields)]
 
     heavy = [i for i, (_, t) in enumerate(fields) if t in ("string", "binary")]
 
-    def table(keys, rows):
-        return pa.table([pa.array(keys, pa.string()), *(pa.array(c, _ARROW[t]) for c, (_, t) in zip(zip(*rows), fields, strict=True))], names=names)
+    def table(keys, places, rows):
+        return pa.table([keys.take(pa.array(places, pa.int64())), *(pa.array(c, _ARROW[t]) for c, (_, t) in zip(zip(*rows), fields, strict=True))], names=names)
+
+    def decode(rows, keys):
+        contents, more = rows.column(1), ()
+        places, found, held = [], [], 0
+        for at in range(rows.num_rows):  # a content at a time; a table for many contents, as each table handed on costs as much as many rows
+            if named:
+                more = (rows.column(2)[at].as_py() or "",)
+            for row in _rows(find, contents[at].as_py(), *more):
+                places.append(at)
+                found.append(row)
+                for i in heavy:
+                    held += len(row[i] or "")
+                if len(found) >= ROWS or held >= BYTES:
+                    yield table(keys, places, found)
+                    places, found, held = [], [], 0
+        if found:
+            yield table(keys, places, found)
+
+    return decode
+
+
+def _batched(columns: str, find: Callable[..., Iterator[tuple]], named: bool):
+    decode = _decoder(columns, find, named)
 
     class PerBatch:
         def eval(self, rows):
-            keys, found, held = [], [], 0
-            for at in range(rows.num_rows):  # a content at a time; a table for many contents, as each table handed on costs as much as many rows
-                more = [rows.column(2)[at].as_py() or ""] if named else []
-                key = str(rows.column(0)[at].as_py())
-                for row in _rows(find, rows.column(1)[at].as_py(), *more):
-                    keys.append(key)
-                    found.append(row)
-                    for i in heavy:
-                        held += len(row[i] or "")
-                    if len(found) >= ROWS or held >= BYTES:
-                        yield table(keys, found)
-                        keys, found, held = [], [], 0
-            if found:
-                yield table(keys, found)
+            yield from decode(rows, pa.array(map(str, rows.column(0).to_pylist()), pa.string()))
 
     return arrow_udtf(PerBatch, returnType=f"key string, {columns}")
 
 
+def found(table: DataFrame, name: str) -> DataFrame:
+    """The rows that function ``name`` finds in a table of (key, content) or, for ``oforms``, (key, content, stream): key, and the function's columns."""
+    columns, find = FUNCTIONS[name]
+    decode = _decoder(columns, find, name == "oforms")
+
+    def run(batches):
+        for rows in batches:
+            for t in decode(rows, rows.column(0)):
+                yield from t.to_batches()
+
+    run.__name__ = f"{name}_of"  # as plans show it
+    return table.mapInArrow(run, f"key {table.schema[0].dataType.simpleString()}, {columns}")
+
+
 def register(spark: SparkSession) -> list[str]:
-    """Registers both forms of every function; returns their names."""
+    """Registers both SQL forms of every function; returns their names."""
     out = []
     for name, (columns, find) in FUNCTIONS.items():
         named = name == "oforms"

@@ -1,4 +1,4 @@
-"""Registered queries over bytes that Spark renders from ``orders``: table functions called from SQL.
+"""Registered queries over bytes that Spark renders from ``orders``: table functions, called from SQL or (``of``) on whole tables.
 
 ``k`` is an order's key. Each content is written as hexadecimal text by SQL; the SQL for DuckDB states what must be found in it.
 """
@@ -31,8 +31,13 @@ def _raw_container(data: str) -> str:
     return f"'01' || {_le(f'(12288 + length({data}) / 2 - 1)', 2)} || {data}"
 
 
-def _query(name: str, sql: str, select: str, steps: dict[str, str] | None = None, **columns: str):
-    """``steps``: named texts that later columns build on. ``select``: SQL over ``{t}``, the rendered rows."""
+def _bytes(content: str | list[str]):
+    """Bytes of hexadecimal text. Of a list each item is read by itself, so that what is alike in all rows is read when the query is planned."""
+    return F.unhex(F.expr(content)) if isinstance(content, str) else F.concat(*(F.unhex(F.expr(c)) for c in content))
+
+
+def _query(name: str, sql: str, select: str, steps: dict[str, str] | None = None, of: str | None = None, **columns: str | list[str]):
+    """``steps``: named texts that later columns build on. ``select``: SQL over ``{t}``, the rendered rows, or what function ``of`` finds in them."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         table_functions.register(spark)
@@ -40,8 +45,8 @@ def _query(name: str, sql: str, select: str, steps: dict[str, str] | None = None
         rows = rows.repartition(spark.sparkContext.defaultParallelism, "k")
         for n, v in (steps or {}).items():
             rows = rows.withColumn(n, F.expr(v))
-        rows = rows.select("k", *(F.unhex(F.expr(v)).alias(n) if n.startswith("content") else F.expr(v).alias(n) for n, v in columns.items()))
-        return spark.sql(select, t=rows)
+        rows = rows.select("k", *(_bytes(v).alias(n) if n.startswith("content") else F.expr(v).alias(n) for n, v in columns.items()))
+        return spark.sql(select, t=table_functions.found(rows, of) if of else rows)
 
     QUERIES[name], SQL[name] = run, sql
 
@@ -65,7 +70,8 @@ _query(
     "guids_in_bytes",
     f"""WITH g AS (SELECT k, hex(lpad(k::VARCHAR, 8, '0')) || lpad(hex(128 + k % 64), 2, '0') || hex(lpad((k * 7 % 10000000)::VARCHAR, 7, '0')) AS h FROM {_K})
     SELECT k AS o_orderkey, (k % 5)::BIGINT AS "offset", {_GUID("h")} AS guid FROM g UNION ALL SELECT k, k % 5 + 16, {_GUID("h")} FROM g WHERE k % 2 = 0""",
-    "SELECT cast(key AS BIGINT) AS o_orderkey, offset, guid FROM guids_of(TABLE(SELECT k, content FROM {t}))",
+    "SELECT cast(key AS BIGINT) AS o_orderkey, offset, guid FROM {t}",
+    of="guids",
     content=GUID_CONTENT,
 )
 
@@ -85,7 +91,8 @@ _query(
 _query(
     "media_in_bytes",
     SQL["picture_scan"],
-    "SELECT cast(key AS BIGINT) AS o_orderkey, offset, extension, mime_type, length, cast(octet_length(bytes) AS BIGINT) AS n_bytes, place FROM recover_media_of(TABLE(SELECT k, content FROM {t}))",
+    "SELECT cast(key AS BIGINT) AS o_orderkey, offset, extension, mime_type, length, cast(octet_length(bytes) AS BIGINT) AS n_bytes, place FROM {t}",
+    of="recover_media",
     content=f"repeat('41', cast(k % 13 AS INT)) || {_PICTURE} || '4141'",
 )
 
@@ -110,16 +117,18 @@ _DIR = {
 _query(
     "modules_in_bytes",
     f"SELECT k AS o_orderkey, 0 AS ord, 'Mod' || k AS name, 'Mod' || k || 's' AS stream_name, (k * 3)::BIGINT AS text_offset, 33 AS module_type_id FROM {_K} UNION ALL SELECT k, 1, 'Cls' || k, 'Cls' || k || 's', k % 1000, 34 FROM {_K}",
-    "SELECT cast(key AS BIGINT) AS o_orderkey, ord, name, stream_name, text_offset, module_type_id FROM dir_modules_of(TABLE(SELECT k, content FROM {t}))",
+    "SELECT cast(key AS BIGINT) AS o_orderkey, ord, name, stream_name, text_offset, module_type_id FROM {t}",
     _DIR | {"all": "refs || mods"},
+    of="dir_modules",
     content=_raw_container('`all`'),
 )
 _query(
     "references_in_bytes",
     rf"""SELECT *, CASE kind WHEN 'registered' THEN 'record 0x000D ' ELSE 'record 0x000E ' END || lib_id AS raw FROM (SELECT k AS o_orderkey, 0 AS ord, 'registered' AS kind, 'lib' || k AS name, '*\G{{00020430-0000-0000-C000-0000' || lpad(k::VARCHAR, 8, '0') || '}}#2.' || k % 10 || '#0#C:/x.dll#Some library' AS lib_id FROM {_K}
     UNION ALL SELECT k, 1, 'project', 'other', '..\a.xls' FROM {_K} WHERE k % 2 = 0)""",
-    "SELECT cast(key AS BIGINT) AS o_orderkey, ord, kind, name, lib_id, raw FROM dir_references_of(TABLE(SELECT k, content FROM {t}))",
+    "SELECT cast(key AS BIGINT) AS o_orderkey, ord, kind, name, lib_id, raw FROM {t}",
     _DIR | {"all": "refs || mods"},
+    of="dir_references",
     content=_raw_container('`all`'),
 )
 
@@ -145,9 +154,9 @@ _query(
     content=PACKAGE_CONTENT,
 )
 
-_ENTRY = lambda name, kind, child, first, size: f"rpad({_utf16(name)}, 128, '0') || {_le(f'(2 * length({name}) + 2)', 2)} || '{kind}01FFFFFFFFFFFFFFFF{child}' || repeat('00', 36) || '{first}' || {_le(size, 8)}"
+_ENTRY = lambda name, kind, child, first, size: f"{_utf16(name)} || repeat('00', cast(64 - 2 * length({name}) as int)) || {_le(f'(2 * length({name}) + 2)', 2)} || '{kind}01FFFFFFFFFFFFFFFF{child}' || repeat('00', 36) || '{first}' || {_le(size, 8)}"
 #: A compound file of a storage with one stream: header, table, directory, small table, small streams.
-COMPOUND = " || ".join([
+COMPOUND = [
     "'D0CF11E0A1B11AE1' || repeat('00', 16) || '3E000300FEFF09000600000000000000' || '00000000' || '01000000' || '01000000' || '00000000' || '00100000' || '02000000' || '01000000' || 'FEFFFFFF' || '00000000' || '00000000' || repeat('FF', 432)",
     "'FDFFFFFFFEFFFFFFFEFFFFFFFEFFFFFF' || repeat('FF', 496)",
     _ENTRY("'Root Entry'", "05", "01000000", "03000000", "512"),
@@ -155,12 +164,14 @@ COMPOUND = " || ".join([
     _ENTRY("concat('m', k)", "02", "FFFFFFFF", "00000000", _LEN),
     "repeat('00', 128)",
     "'FEFFFFFF' || repeat('FF', 508)",
-    f"rpad({_TEXT}, 1024, '0')",
-])
+    _TEXT,
+    f"repeat('00', cast(512 - length({_TEXT}) / 2 as int))",
+]
 _query(
     "streams_in_bytes",
     f"SELECT k AS o_orderkey, 0 AS ord, 'VBA/m' || k AS path, {_LEN}::BIGINT AS size, 'Order ' || k AS text FROM {_K}",
-    "SELECT cast(key AS BIGINT) AS o_orderkey, ord, path, size, cast(content AS STRING) AS text FROM cfb_streams_of(TABLE(SELECT k, content FROM {t}))",
+    "SELECT cast(key AS BIGINT) AS o_orderkey, ord, path, size, cast(content AS STRING) AS text FROM {t}",
+    of="cfb_streams",
     content=COMPOUND,
 )
 
@@ -169,8 +180,10 @@ FORM_CONTENT = f"'0004' || {_le(f'(12 + length({_CAPTION}))', 2)} || '00040800'
 _query(
     "form_records_in_bytes",
     f"SELECT k AS o_orderkey, i::INTEGER AS prop_ord, v[i + 1][1] AS name, v[i + 1][2] AS value FROM (SELECT k, {_FORM_VALUES} AS v FROM {_K}), range(8) r(i)",
-    "SELECT cast(key AS BIGINT) AS o_orderkey, prop_ord, name, value FROM oforms_of(TABLE(SELECT k, content, 'Form/f' FROM {t}))",
+    "SELECT cast(key AS BIGINT) AS o_orderkey, prop_ord, name, value FROM {t}",
+    of="oforms",
     content=FORM_CONTENT,
+    stream="'Form/f'",
 )
 
 _M = "(40 + k % 60)"
@@ -188,7 +201,8 @@ _query(
       WHEN 0 THEN ['ico', 'image/x-icon', (27 + k % 60)::VARCHAR, 'ICO icon'] WHEN 1 THEN ['cur', 'image/x-icon', (27 + k % 60)::VARCHAR, 'CUR cursor'] WHEN 2 THEN ['jpg', 'image/jpeg', (44 + k % 60)::VARCHAR, 'JPEG image']
       WHEN 3 THEN ['tif', 'image/tiff', (47 + k % 60)::VARCHAR, 'TIFF image'] WHEN 4 THEN ['wmf', 'image/wmf', (47 + k % 60)::VARCHAR, 'Placeable WMF image'] WHEN 5 THEN ['emf', 'image/emf', (100 + k % 60)::VARCHAR, 'EMF image']
       ELSE ['wmf', 'image/wmf', '28', 'MS-OFORMS StdPicture WMF image'] END AS x FROM {_K})""",
-    "SELECT cast(key AS BIGINT) AS o_orderkey, offset, extension, mime_type, length, regexp_replace(place, ' at 0x[0-9A-F]+$', '') AS label FROM recover_media_of(TABLE(SELECT k, content FROM {t}))",
+    "SELECT cast(key AS BIGINT) AS o_orderkey, offset, extension, mime_type, length, regexp_replace(place, ' at 0x[0-9A-F]+$', '') AS label FROM {t}",
+    of="recover_media",
     content=f"repeat('41', cast(k % 11 as int)) || {_PICTURES} || '414141'",
 )
 
@@ -196,11 +210,12 @@ _query(
     "nested_pictures",
     f"""SELECT k AS o_orderkey, (k % 5)::BIGINT AS "offset", 'gif' AS extension, 'Nested OLE at 0x000' || k % 5 || ' / VBA/m' || k || ' / GIF image at 0x0002' AS place FROM {_K} UNION ALL
     SELECT k, k % 5 + 2050, 'gif', 'GIF image at 0x' || lpad(hex(k % 5 + 2050), 4, '0') FROM {_K}""",
-    "SELECT cast(key AS BIGINT) AS o_orderkey, offset, extension, place FROM recover_media_of(TABLE(SELECT k, content FROM {t}))",
-    content="repeat('41', cast(k % 5 as int)) || " + COMPOUND.replace(_TEXT, "hex('xxGIF89a') || repeat('00', 7) || '2C3B'").replace(_LEN, "17"),
+    "SELECT cast(key AS BIGINT) AS o_orderkey, offset, extension, place FROM {t}",
+    of="recover_media",
+    content=["repeat('41', cast(k % 5 as int))", *(c.replace(_TEXT, "hex('xxGIF89a') || repeat('00', 7) || '2C3B'").replace(_LEN, "17") for c in COMPOUND)],
 )
 
-_EXTENDED = "SELECT cast(key AS BIGINT) AS o_orderkey, kind, record_ord, offset, size, name, value FROM oforms_of(TABLE(SELECT k, content, stream FROM {t}))"
+_EXTENDED = "SELECT cast(key AS BIGINT) AS o_orderkey, kind, record_ord, offset, size, name, value FROM {t}"
 _query(
     "extended_streams",
     f"""SELECT k AS o_orderkey, kind, record_ord, "offset", size, name, value FROM (
@@ -208,6 +223,7 @@ _query(
       UNION ALL SELECT k, 'COM compound object', 0, 0, 12 + length('Form ' || k) + 1 + 20, 'ASCII string @ 0x000C', 'Form ' || k FROM {_K}
       UNION ALL SELECT k, 'COM compound object', 0, 0, 12 + length('Form ' || k) + 1 + 20, 'ASCII string @ 0x' || lpad(hex(13 + length('Form ' || k)), 4, '0'), 'Microsoft Forms 2.00' FROM {_K})""",
     _EXTENDED,
+    of="oforms",
     content=" || ".join(f"case when k % 3 >= {i} then {_le(f'(k + {i})', 4)} || {_le(str(3 * i), 4)} else '' end" for i in range(3)),
     stream="'Form/x'",
 )
@@ -220,7 +236,7 @@ def _both_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k")).repartition(spark.sparkContext.defaultParallelism, "k")
     content = "repeat('00', 12) || hex(concat('Form ', k)) || '00' || hex('Microsoft Forms 2.00')"
     rows = keys.select("k", F.lit("Form/\x01CompObj").alias("stream"), F.unhex(F.expr(content)).alias("content"))
-    more = spark.sql(_EXTENDED, t=rows)
+    more = spark.sql(_EXTENDED, t=table_functions.found(rows.select("k", "content", "stream"), "oforms"))
     return _plain_extended(spark, sf_dir).unionByName(more)
 
 

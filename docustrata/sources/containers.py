@@ -88,43 +88,53 @@ _END, _FREE = 0xFFFFFFFE, 0xFFFFFFFF
 _NONE = 0xFFFFFFFF
 
 
+#: An entry of a directory: name, its length, type, left, right, child, first sector, size.
+_ENTRY = struct.Struct("<64sHBxIII36xII4x")
+_HEAD = struct.Struct("<HH14xI4xIIIII")  # from byte 30: sizes of sectors, first of the directory, cutoff, small table, further tables
+_WORD = struct.Struct("<I")
+
+
 class CompoundFile:
-    """Streams of a compound file (public MS-CFB format): sectors chained by tables, small streams inside the root's."""
+    """Streams of a compound file (public MS-CFB format): sectors chained by tables, small streams inside the root's.
+
+    Tables stay bytes: a word is read when a chain comes to it.
+    """
 
     def __init__(self, data: bytes):
         self.data = data
         if len(data) < 512:
             raise ValueError("no compound file header")
-        shift, small_shift = struct.unpack_from("<HH", data, 30)
-        first_dir, self.cutoff = struct.unpack_from("<I4xI", data, 48)
-        first_small, _, first_extra, extras = struct.unpack_from("<IIII", data, 60)
+        shift, small_shift, first_dir, self.cutoff, first_small, _, first_extra, extras = _HEAD.unpack_from(data, 30)
         self.size, self.small_size = 1 << shift, 1 << small_shift
-        tables = [s for s in struct.unpack_from("<109I", data, 76) if s < _END - 3]
+        tables = [s for s in self._words(data[76:512].rstrip(b"\xff") + b"\xff\xff\xff") if s < _END - 3]
         seen: set[int] = set()
         while extras and first_extra < _END - 3 and first_extra not in seen:
             seen.add(first_extra)
             words = self._words(self._sector(first_extra))
             tables += [s for s in words[:-1] if s < _END - 3]
             first_extra = words[-1] if words else _END
-        self.next = [w for s in tables for w in self._words(self._sector(s))]
-        self.small_next = self._words(self._chain(first_small))
+        self.next = b"".join([t[: len(t) & ~3] for t in map(self._sector, tables)])
+        self.small_next = self._chain(first_small)
         self.entries = self._directory(self._chain(first_dir))
-        root = next((e for e in self.entries if e and e[1] == 5), None)
-        self.small = self._chain(root[5]) if root else b""
+        self.root = next((i for i, e in enumerate(self.entries) if e and e[1] == 5), None)
+        self.small = self._chain(self.entries[self.root][5]) if self.root is not None else b""
 
     @staticmethod
-    def _words(data: bytes) -> list[int]:
-        return list(struct.unpack(f"<{len(data) // 4}I", data[: len(data) // 4 * 4]))
+    def _words(data: bytes) -> tuple[int, ...]:
+        return struct.unpack(f"<{len(data) // 4}I", data[: len(data) & ~3])
 
     def _sector(self, i: int) -> bytes:
         return self.data[(i + 1) * self.size : (i + 2) * self.size]
 
-    def _follow(self, first: int, table: list[int]) -> Iterator[int]:
-        seen: set[int] = set()
-        while first < len(table) and first not in seen:
+    @staticmethod
+    def _follow(first: int, table: bytes) -> list[int]:
+        """A chain's numbers, to its end or to one that it has held before."""
+        n, out, seen = len(table) // 4, [], set()
+        while first < n and first not in seen:
             seen.add(first)
-            yield first
-            first = table[first]
+            out.append(first)
+            (first,) = _WORD.unpack_from(table, 4 * first)
+        return out
 
     def _chain(self, first: int) -> bytes:
         return b"".join(map(self._sector, self._follow(first, self.next)))
@@ -133,11 +143,9 @@ class CompoundFile:
     def _directory(data: bytes) -> list[tuple | None]:
         """(name, type, left, right, child, first sector, size) by number; None for unused entries."""
         out: list[tuple | None] = []
-        for at in range(0, len(data) - 127, 128):
-            length, kind, left, right, child = struct.unpack_from("<HBxIII", data, at + 64)
-            first, size = struct.unpack_from("<II", data, at + 116)
-            name = data[at : at + max(0, min(length, 64) - 2)].decode("utf-16-le", "replace")
-            out.append((name, kind, left, right, child, first, size) if name and kind else None)
+        for name, length, kind, left, right, child, first, size in _ENTRY.iter_unpack(data[: len(data) & ~127]):
+            name = name[: max(0, min(length, 64) - 2)].decode("utf-16-le", "replace") if kind else ""
+            out.append((name, kind, left, right, child, first, size) if name else None)
         return out
 
     def streams(self) -> Iterator[tuple[str, bytes]]:
@@ -146,9 +154,8 @@ class CompoundFile:
 
     def listed(self, wanted: Callable[[str], bool]) -> Iterator[tuple[str, int, bytes | None]]:
         """(path, size, bytes) of all streams; bytes of the wanted ones only."""
-        root = next((i for i, e in enumerate(self.entries) if e and e[1] == 5), None)
         found: dict[str, tuple[int, int]] = {}
-        todo, seen = [(self.entries[root][4], "", False)] if root is not None else [], set()
+        todo, seen = [(self.entries[self.root][4], "", False)] if self.root is not None else [], set()
         while todo:
             i, folder, open_ = todo.pop()
             if i >= len(self.entries) or (e := self.entries[i]) is None or ((i, open_) in seen):

@@ -227,3 +227,43 @@ def test_form_sizes_of_large_keys(spark, tmp_path):
     duck.sql(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet'")
     assert got == sorted(duck.sql(f"SELECT k, file, form, name, value FROM ({SQL['document_form_properties']})").fetchall())
     assert sum("low" in v for _, _, _, n, v in got if n == "Decoded DisplayedSize") == 2 and len(got) == 7 * 8 - 3
+
+
+@pytest.mark.parametrize("name, function", [("streams_in_bytes", "cfb_streams"), ("nested_pictures", "recover_media"), ("media_in_bytes", "recover_media"), ("picture_formats", "recover_media"), ("guids_in_bytes", "guids"), ("modules_in_bytes", "dir_modules"), ("references_in_bytes", "dir_references"), ("form_records_in_bytes", "oforms"), ("extended_streams", "oforms"), ("record_texts", "strings")])
+def test_queries_over_bytes_hold_no_contents(spark, name, function):
+    """Spark queues the whole input of a batched table function until its task ends; these queries map their batches."""
+    from docustrata.plans import byte_queries, structure_queries  # noqa: F401
+    from docustrata.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark.newSession(), "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPythonUDTF" not in plan and f"MapInArrow {function}_of(" in plan
+
+
+def test_rows_found_in_a_table(spark):
+    """As the SQL form gives them, but keys keep their type, a null one too."""
+    table_functions.register(spark)
+    data = [(1, b"\0Order 12\0" * 3000), (2, None), (3, b""), (4, package({"x": b"1"})), (None, compound({"VBA/M": b"m" * 70})), (6, dir_stream([("A", 5, 0x21)])), (7, ovba(SOURCE)), (8, b"PK\x05\x06"), (9, b"\x01\x00"), (10, compound({"A": b"x" * 9000})[:1500])]
+    t = spark.createDataFrame([(k, None if v is None else bytearray(v)) for k, v in data], "k long, content binary").coalesce(1)
+    for name, (columns, _) in table_functions.FUNCTIONS.items():
+        own = t.selectExpr("*", "'Form/f' AS stream") if name == "oforms" else t
+        got = table_functions.found(own, name)
+        want = spark.sql(f"SELECT * FROM {name}_of(TABLE(SELECT * FROM {{t}}))", t=own)
+        assert got.dtypes[0] == ("key", "bigint") and got.dtypes[1:] == want.dtypes[1:]
+        assert sorted(str((str(k), *r)) for k, *r in got.collect()) == sorted(str(tuple(r)) for r in want.collect()), name
+
+
+def test_tables_of_compound_files_stay_bytes():
+    """A table of a large file is not spread into a list of numbers; chains end, and end where they come back to themselves."""
+    import struct
+
+    from docustrata.sources.containers import CompoundFile
+
+    data = compound({"A": b"a" * 9000, "B": b"b" * 70})
+    file = CompoundFile(data)
+    assert isinstance(file.next, bytes) and isinstance(file.small_next, bytes)
+    assert dict(file.streams()) == {"A": b"a" * 9000, "B": b"b" * 70}
+    first = next(e[5] for e in file.entries if e and e[0] == "A")
+    (table,) = struct.unpack_from("<I", data, 76)
+    back = bytearray(data)
+    struct.pack_into("<I", back, (table + 1) * 512 + 4 * (first + 1), first)
+    assert dict(CompoundFile(bytes(back)).streams()) == {"A": b"a" * 1024, "B": b"b" * 70}
