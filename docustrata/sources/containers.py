@@ -6,6 +6,7 @@ parts as rows, which stay in the same partition. A damaged container gives a row
 
 from __future__ import annotations
 
+import codecs
 import struct
 import uuid
 from collections.abc import Callable, Iterator
@@ -144,8 +145,11 @@ class CompoundFile:
         """(name, type, left, right, child, first sector, size) by number; None for unused entries."""
         out: list[tuple | None] = []
         for name, length, kind, left, right, child, first, size in _ENTRY.iter_unpack(data[: len(data) & ~127]):
-            name = name[: max(0, min(length, 64) - 2)].decode("utf-16-le", "replace") if kind else ""
-            out.append((name, kind, left, right, child, first, size) if name else None)
+            if kind and length > 2:
+                name, _ = codecs.utf_16_le_decode(name[: min(length, 64) - 2], "replace", True)
+                out.append((name, kind, left, right, child, first, size))
+            else:
+                out.append(None)
         return out
 
     def streams(self) -> Iterator[tuple[str, bytes]]:
@@ -154,17 +158,24 @@ class CompoundFile:
 
     def listed(self, wanted: Callable[[str], bool]) -> Iterator[tuple[str, int, bytes | None]]:
         """(path, size, bytes) of all streams; bytes of the wanted ones only."""
+        entries, n = self.entries, len(self.entries)
         found: dict[str, tuple[int, int]] = {}
-        todo, seen = [(self.entries[self.root][4], "", False)] if self.root is not None else [], set()
+        todo, seen = [(entries[self.root][4], "", False)] if self.root is not None else [], set()
         while todo:
-            i, folder, open_ = todo.pop()
-            if i >= len(self.entries) or (e := self.entries[i]) is None or ((i, open_) in seen):
+            i, folder, passed = todo.pop()  # passed: what is left of it is done
+            if i >= n or (e := entries[i]) is None:
                 continue
-            seen.add((i, open_))
             name, kind, left, right, child, first, size = e
-            if not open_:
-                todo += [(right, folder, False), (i, folder, True), (left, folder, False)]
-            elif kind == 2:
+            if not passed:
+                if i in seen:
+                    continue
+                seen.add(i)
+                if right < n:
+                    todo.append((right, folder, False))
+                if left < n:
+                    todo += [(i, folder, True), (left, folder, False)]
+                    continue
+            if kind == 2:
                 found[folder + name] = (first, size)
             elif kind == 1:
                 todo.append((child, f"{folder}{name}/", False))
