@@ -54,3 +54,22 @@ def test_call_graph_finds_calls_once(spark):
 def test_reports_render_sources_once(spark, name):
     """What a report reads in several places is stored: its plan reads sources and does not render them in each place."""
     assert "kernel32" not in QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+
+
+#: Texts that are absent, empty, one byte, one byte many times, and of a line's length, with bytes that are not printed.
+ODD_TEXTS = [(1, None), (2, ""), (3, "a"), (4, "bbbbbbbb"), (5, "0123456789abcdef"), (6, "\0é€\x7f\n" * 40), (7, "ab" * 64), (8, " ")]
+
+
+def odd_documents(spark, tmp_path, name):
+    """Rows of a query over odd texts, and those of its SQL, as they are printed: zeros have a sign."""
+    docs = spark.createDataFrame(ODD_TEXTS, "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()]
+    return sorted(map(repr, got)), sorted(map(repr, c.sql(SQL[name]).fetchall()))
+
+
+def test_hex_dump_of_odd_texts(spark, tmp_path):
+    got, want = odd_documents(spark, tmp_path, "hex_dump")
+    assert got == want and len(got) == 6
