@@ -73,3 +73,8 @@ def odd_documents(spark, tmp_path, name):
 def test_hex_dump_of_odd_texts(spark, tmp_path):
     got, want = odd_documents(spark, tmp_path, "hex_dump")
     assert got == want and len(got) == 6
+
+
+def test_text_entropy_of_odd_texts(spark, tmp_path):
+    got, want = odd_documents(spark, tmp_path, "text_entropy")
+    assert got == want and len(got) == 6
