@@ -78,6 +78,10 @@ def _oforms(data: bytes, name: str) -> Iterator[tuple]:
             yield kind, sure, r, offset, what, size, p, key, value
 
 
+def _object_records(data: bytes) -> Iterator[tuple]:
+    yield from ((n, *r, len(data)) for n, r in enumerate(forms.object_records(data)))
+
+
 #: Name of a function -> its columns, and the rows that a content gives.
 FUNCTIONS: dict[str, tuple[str, Callable[..., Iterator[tuple]]]] = {
     "zip_entries": ("ord int, name string, method int, compressed_size long, size long, local_offset long", _zip_entries),
@@ -90,6 +94,7 @@ FUNCTIONS: dict[str, tuple[str, Callable[..., Iterator[tuple]]]] = {
     "guids": ("offset long, guid string", _guids),
     "signatures": ("offset long, label string, detail string", _signatures),
     "oforms": ("kind string, confidence string, record_ord int, offset long, type string, size long, prop_ord int, name string, value string", _oforms),
+    "object_records": ("record_ord int, offset long, size long, mask long, stream_size long", _object_records),
 }
 
 
@@ -168,6 +173,41 @@ def found(table: DataFrame, name: str) -> DataFrame:
     return table.mapInArrow(run, f"key {table.schema[0].dataType.simpleString()}, {columns}")
 
 
+def lists(table: DataFrame, names: list[str]) -> DataFrame:
+    """The rows that several functions find in a table of (key, content), in lists of structs named as the functions: one row per content, nothing to be joined again."""
+    fields = [[f.rsplit(" ", 1) for f in FUNCTIONS[n][0].split(", ")] for n in names]
+    types = [pa.struct([(f, _ARROW[t]) for f, t in own]) for own in fields]
+
+    def packed(keys, places, found, ends):
+        held = []
+        for rows, end, kind in zip(found, ends, types, strict=True):
+            columns = zip(*rows) if rows else ((),) * kind.num_fields
+            held.append(pa.ListArray.from_arrays(pa.array(end, pa.int32()), pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], fields=list(kind))))
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(places, pa.int64())), *held], ["key", *names])
+
+    def run(batches):
+        for rows in batches:
+            contents, places = rows.column(1), []
+            for at in range(rows.num_rows):
+                if not places:
+                    found, ends, held = [[] for _ in names], [[0] for _ in names], 0
+                content = contents[at].as_py()
+                for n, own, end in zip(names, found, ends, strict=True):
+                    own.extend(_rows(FUNCTIONS[n][1], content))
+                    end.append(len(own))
+                places.append(at)
+                held += len(content or b"")
+                if max(map(len, found)) >= ROWS or held >= BYTES:
+                    yield packed(rows.column(0), places, found, ends)
+                    places = []
+            if places:
+                yield packed(rows.column(0), places, found, ends)
+
+    run.__name__ = "_".join(names) + "_lists"  # as plans show it
+    listed = ", ".join(f"{n} array<struct<{', '.join(f'{f}:{t}' for f, t in own)}>>" for n, own in zip(names, fields, strict=True))
+    return table.mapInArrow(run, f"key {table.schema[0].dataType.simpleString()}, {listed}")
+
+
 def register(spark: SparkSession) -> list[str]:
     """Registers both SQL forms of every function; returns their names."""
     out = []

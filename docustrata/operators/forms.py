@@ -88,14 +88,20 @@ def _texts_of(mask: int, form: bool, own: list, behind: list) -> list[tuple[str,
     return caption + [(f"Decoded Child/Page Label {i + 1}", f"{labels.labelled(v)} (low)") for i, v in enumerate(human[1:8])]
 
 
-def control_record(data: bytes, at: int, kind: str, form: bool, strings: list) -> tuple | None:
-    """(offset, type, size, properties) of the record at an offset; none without a valid header."""
+def record_header(data: bytes, at: int) -> tuple[int, int, int, int] | None:
+    """(minor version, major version, size, property mask) of the record at an offset; none without a valid header."""
     if at + 8 > len(data):
         return None
     minor, major, size, mask = struct.unpack_from("<BBHI", data, at)
-    end = at + 4 + size
-    if minor or major not in (2, 4) or not 4 <= size <= len(data) - at:
+    return None if minor or major not in (2, 4) or not 4 <= size <= len(data) - at else (minor, major, size, mask)
+
+
+def control_record(data: bytes, at: int, kind: str, form: bool, strings: list) -> tuple | None:
+    """(offset, type, size, properties) of the record at an offset; none without a valid header."""
+    if not (header := record_header(data, at)):
         return None
+    minor, major, size, mask = header
+    end = at + 4 + size
     flags = FORM_FLAGS if form else SITE_FLAGS
     names = ", ".join(n for b, n in flags.items() if mask >> b & 1) or "no known flags"
     out = [("MinorVersion", to_hex(minor, 2)), ("MajorVersion", to_hex(major, 2)), ("cb", f"{size} bytes"), ("PropMask", f"{to_hex(mask, 8)} ({names})")]
@@ -123,17 +129,27 @@ def control_record(data: bytes, at: int, kind: str, form: bool, strings: list) -
     return at, kind, min(end, len(data)) - at, out
 
 
-def _site_records(data: bytes, strings: list) -> list[tuple]:
-    out, at, header = [], 0, re.compile(rb"\x00[\x02\x04]")
-    while len(out) < RECORDS and (m := header.search(data, at)):
+_VERSION = re.compile(rb"\x00[\x02\x04]")
+
+
+def object_records(data: bytes) -> list[tuple[int, int, int]]:
+    """(offset, size, property mask) of the records of an object stream, by their headers alone."""
+    out, at = [], 0
+    while len(out) < RECORDS and (m := _VERSION.search(data, at)):
         at = m.start()
-        got = control_record(data, at, "Nested OleSite/control record" if at else "OleSiteConcrete control", False, strings)
-        if got:
-            out.append(got)
-        at += max(got[2], 1) if got else 1
+        if header := record_header(data, at):
+            size = min(4 + header[2], len(data) - at)
+            out.append((at, size, header[3]))
+            at += size
+        else:
+            at += 1
     return out
 
 
+def _site_records(data: bytes, strings: list) -> list[tuple]:
+    return [control_record(data, at, "Nested OleSite/control record" if at else "OleSiteConcrete control", False, strings) for at, _, _ in object_records(data)]
+
+
 def stream_records(path: str, data: bytes) -> tuple[str, str, list[tuple]] | None:
     """(kind, confidence, records) of a designer stream; none where it has no structure that is known."""
     name, strings = path.rsplit("/", 1)[-1], find_strings(data)

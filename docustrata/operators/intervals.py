@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
+
 
 def interval_join(points: DataFrame, intervals: DataFrame, key: list[str], at: str = "offset", start: str = "start", end: str = "end", width: int = 128) -> DataFrame:
     """Pairs of points and intervals [start, end) of the same key that hold them; columns of both, names must differ but for the key.
@@ -54,6 +56,20 @@ def record_texts(records: DataFrame, strings: DataFrame, key: list[str]) -> Data
     return found.withColumn("n", order).where("n < most").select(*key, "record_ord", "place", "n", F.col("at").alias("offset"), "value")
 
 
+def texts_of_record(record: Column, strings: Column) -> Column:
+    """``record_texts`` of one record (offset, size, stream_size) whose strings (offset, value; by offset) lie in its row: inside ones, then those behind, both by offset."""
+    to = record["offset"] + record["size"]
+    between = lambda start, end, most: F.slice(F.filter(strings, lambda s: (s["offset"] >= start) & (s["offset"] < end)), 1, most)
+    return F.concat(between(record["offset"] + 8, to, RECORD_TEXTS), between(to, F.least(record["stream_size"], to + REACH), STREAM_TEXTS))
+
+
+def values_by_mask(rows: DataFrame, key: list[str], mask: Column, strings: Column, names: dict[int, str]) -> DataFrame:
+    """``strings_by_mask`` where a key has one row with its strings (offset, value) in a list, by offset: nothing is shuffled."""
+    named = bound(set_bits(mask, names), lambda bits: F.transform(strings, lambda s, i: F.struct(F.get(bits, i).alias("b"), s.alias("s"))))
+    each = rows.select(*key, F.explode_outer(named).alias("v")).where("v is not null")  # of an inner explode Spark would make the list twice
+    return each.select(*key, "v.b.bit", "v.b.name", "v.s.offset", "v.s.value")
+
+
 def ordinal_properties(masks: DataFrame, strings: DataFrame, key: list[str], names: dict[int, str]) -> DataFrame:
     """Values of the properties whose bits are set (mask), in the order of the bits, from the strings (offset, value) in theirs: key, bit, name, offset, value.
 

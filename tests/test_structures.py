@@ -255,3 +255,36 @@ def test_merged_sorts_once(spark):
     assert list(got.first()["m"].items()) == [("a", "3"), ("b", "2")]
     plan = got._jdf.queryExecution().optimizedPlan().toString().replace("sort_array", "array_sort")
     assert plan.count("array_sort(") == 2
+
+
+def test_texts_and_values_in_the_row(spark):
+    """What the joins of records, strings and masks give, where a stream's strings lie in its row; none without a record."""
+    from docustrata.functions import table_functions
+    from docustrata.operators import forms
+
+    r, streams = random.Random(6), []
+    for n in range(60):
+        data = b"\1" * r.randint(0, 3)
+        for _ in range(r.randint(0, 4)):
+            body = b"".join(r.choice([b"text%03d\0" % r.randint(0, 99), b"\0" * r.randint(1, 9), "wide".encode("utf-16-le") + b"\0\0"]) for _ in range(r.randint(0, 30)))
+            data += b"\0\x02" + (4 + len(body)).to_bytes(2, "little") + r.randint(0, 255).to_bytes(4, "little") + body
+        streams.append((n, bytearray(data + b"behind\0" * r.randint(0, 20))))
+    t = spark.createDataFrame([*streams, (60, None), (61, bytearray())], "key long, content binary")
+    rows = table_functions.lists(t, ["object_records", "strings"]).withColumn("first", F.get("object_records", F.lit(0)))
+    got = intervals.values_by_mask(rows, ["key"], F.col("first.mask"), intervals.texts_of_record(F.col("first"), F.col("strings")), forms._STRING_BITS)
+    first = table_functions.found(t, "object_records").where("record_ord = 0")
+    mine = intervals.record_texts(first, table_functions.found(t, "strings"), ["key"])
+    want = intervals.strings_by_mask(first, mine, ["key"], forms._STRING_BITS)
+    listed = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    assert listed(got) == listed(want) and got.columns == want.columns and got.count() > 300 and rows.count() == 62
+    for n, data in streams:  # headers alone tell the records that decoding gives
+        decoded = [(o, size, int(dict(p)["PropMask"][2:10], 16)) for o, _, size, p in (forms.stream_records("F/o", bytes(data)) or (0, 0, []))[2]]
+        assert forms.object_records(bytes(data)) == decoded
+
+
+def test_mask_values_shuffle_keys_only(spark):
+    """Records and strings of a stream are found and matched in its row: one shuffle, of keys, no join and no window."""
+    from docustrata.plans import structure_queries
+
+    plan = structure_queries.mask_values(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan and "Window" not in plan and "UDTF" not in plan
