@@ -288,3 +288,53 @@ def test_mask_values_shuffle_keys_only(spark):
 
     plan = structure_queries.mask_values(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and "Join" not in plan and "Window" not in plan and "UDTF" not in plan
+
+
+def shuffled_rows(spark, df) -> int:
+    """Rows that a run of a query writes for its shuffles."""
+    sc, jvm = spark.sparkContext._jsc.sc(), spark._jvm
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = written()
+    df.write.format("noop").mode("overwrite").save()
+    return sum(n for stage, n in written().items() if stage not in before)
+
+
+def test_words_that_no_name_resembles_stay(spark):
+    """Of 9,000 words only those that may be names are shuffled, and no place of a word where no name is a phrase."""
+    text = " ".join(f"{a}{b}{c}x{i}" for i, (a, b, c) in enumerate((a, b, c) for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrstu" for c in "abcdefghijklmnopqrstu"))
+    files = spark.createDataFrame([("d", "Mod1.bas", text + " MOD2"), ("d", "Mod2.bas", "mod1 mod22 mod3"), ("e", "Mod3.bas", "mod1")], "doc_id string, name string, text string")
+    df = source_code.module_references(files)
+    assert sorted(map(tuple, df.collect())) == [("d", "Mod1", "Mod2"), ("d", "Mod2", "Mod1")]
+    assert len(set(text.split())) > 8000 and shuffled_rows(spark, df) < 100
+    odd = spark.createDataFrame([("d", "(-).bas", text + " a(-)b"), ("d", "two words.bas", "x(-)y"), ("d", "z.bas", text + " Two WORDS")], "doc_id string, name string, text string")
+    df = source_code.module_references(odd)
+    assert sorted(map(tuple, df.collect())) == [("d", "two words", "(-)"), ("d", "z", "two words")] and shuffled_rows(spark, df) < 2000
+
+
+def test_sketch_passes_its_words(spark):
+    """Each word of a sketch passes, others of the same letters do, and few of the rest; a sketch of nothing is null."""
+    words = [f"name{i}_{'abcdefgh'[i % 8]}" for i in range(500)]
+    kept = spark.createDataFrame([(w,) for w in words], "w string")
+    known = source_code.sketch(kept, "w")
+    passed = lambda rows: rows.where(source_code.in_sketch(F.col("w"), known)).count()
+    assert passed(kept) == 500 and passed(spark.range(2000).selectExpr("concat('w', translate(md5(string(id)), '0123456789', 'ghijklmnop')) as w")) < 20
+    assert passed(spark.createDataFrame([("name99999_c",), ("name_c",)], "w string")) == 2
+    assert kept.limit(1).select(source_code.sketch(kept.where("false"), "w").isNull()).first()[0]
+
+
+def test_sources_are_rendered_behind_the_shuffle(spark, tmp_path):
+    """Keys are shuffled, not texts; those of a customer without a number, and of none, are rendered as before."""
+    from docustrata.plans import rendered
+
+    spark.createDataFrame([(7, 17), (7, 34), (7, 5), (None, 17), (None, 3), (8, None), (9, 250_000)], "o_custkey long, o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    df = rendered.files(spark, str(tmp_path))
+    assert "partial_collect_list(o_orderkey" in df._jdf.queryExecution().executedPlan().toString()
+    got = {(r.doc_id, r.name): r.text for r in df.collect()}
+    orders = spark.read.parquet(str(tmp_path / "orders.parquet"))
+    part = {(r.o_custkey, r.o_orderkey): r.part for r in orders.select("*", F.expr(rendered.PART).alias("part")).collect()}
+    assert got == {(0, "Customer7.cls"): "\n".join(part[7, k] for k in (5, 17, 34)), (None, None): part[None, 3], (0, "Customer8.frm"): "", (0, "Customer9_2.bas"): part[9, 250_000]}
