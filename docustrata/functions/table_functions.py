@@ -94,8 +94,9 @@ FUNCTIONS: dict[str, tuple[str, Callable[..., Iterator[tuple]]]] = {
     "guids": ("offset long, guid string", _guids),
     "signatures": ("offset long, label string, detail string", _signatures),
     "oforms": ("kind string, confidence string, record_ord int, offset long, type string, size long, prop_ord int, name string, value string", _oforms),
-    "object_records": ("record_ord int, offset long, size long, mask long, stream_size long", _object_records),
 }
+#: Those of the third form and of ``lists``: the same, and what is no function of SQL.
+FOUND = FUNCTIONS | {"object_records": ("record_ord int, offset long, size long, mask long, stream_size long", _object_records)}
 
 
 def _rows(find: Callable[..., Iterator[tuple]], content: bytes | None, *more) -> Iterator[tuple]:
@@ -161,7 +162,7 @@ def _batched(columns: str, find: Callable[..., Iterator[tuple]], named: bool):
 
 def found(table: DataFrame, name: str) -> DataFrame:
     """The rows that function ``name`` finds in a table of (key, content) or, for ``oforms``, (key, content, stream): key, and the function's columns."""
-    columns, find = FUNCTIONS[name]
+    columns, find = FOUND[name]
     decode = _decoder(columns, find, name == "oforms")
 
     def run(batches):
@@ -175,7 +176,7 @@ def found(table: DataFrame, name: str) -> DataFrame:
 
 def lists(table: DataFrame, names: list[str]) -> DataFrame:
     """The rows that several functions find in a table of (key, content), in lists of structs named as the functions: one row per content, nothing to be joined again."""
-    fields = [[f.rsplit(" ", 1) for f in FUNCTIONS[n][0].split(", ")] for n in names]
+    fields = [[f.rsplit(" ", 1) for f in FOUND[n][0].split(", ")] for n in names]
     types = [pa.struct([(f, _ARROW[t]) for f, t in own]) for own in fields]
 
     def packed(keys, places, found, ends):
@@ -193,7 +194,7 @@ def lists(table: DataFrame, names: list[str]) -> DataFrame:
                     found, ends, held = [[] for _ in names], [[0] for _ in names], 0
                 content = contents[at].as_py()
                 for n, own, end in zip(names, found, ends, strict=True):
-                    own.extend(_rows(FUNCTIONS[n][1], content))
+                    own.extend(_rows(FOUND[n][1], content))
                     end.append(len(own))
                 places.append(at)
                 held += len(content or b"")
